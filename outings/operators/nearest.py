@@ -1,17 +1,19 @@
 """Best k partners of every row, by blocks.
 
 Comparing all rows of two sides is the work of an exact search. What must not happen is that all pairs become
-rows, or that one group of pairs lands in one task. Both sides are therefore cut into blocks of bounded size; each
-task gets a few left blocks and one right block, scores them as a matrix, and gives back at most k rows per left
-row. A last window merges those.
+rows, or that one group of pairs lands in one task. Both sides are therefore cut into blocks of bounded size and
+every pair of blocks becomes one row, which holds the two blocks as lists. Scoring such a row as a matrix gives
+back at most k partners per left row; a last window merges those. Pairs of blocks of one group spread over all
+tasks, and many small groups share an Arrow batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,10 +21,10 @@ from pyspark.sql.types import StructType
 
 from outings.operators.keyed import top_per_group
 
-Cost = Callable[[pa.Table, pa.Table], np.ndarray]
+Rows = pa.RecordBatch
+Cost = Callable[[Rows, Rows], np.ndarray]
 
 BLOCK_ROWS = 1024
-LEFT_BLOCKS_PER_TASK = 4
 
 
 def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, k: int,
@@ -30,9 +32,9 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
                   block_rows: int = BLOCK_ROWS, k_column: str | None = None) -> DataFrame:
     """The k right rows with the least cost for every left row, among those that agree on the ``on`` columns.
 
-    ``cost`` gets two Arrow tables and returns a matrix (left rows x right rows) in which not-a-number means "no
-    partner". Ties go to the smaller right id. Ids must be unique on each side within a group.
-    With ``k_column`` every left row has its own limit, at most ``k``.
+    ``cost`` gets two Arrow batches and returns a matrix (left rows x right rows) in which not-a-number means "no
+    partner". Rows with a null value take no part. Ties go to the smaller right id. Ids must be unique on each
+    side within a group. With ``k_column`` every left row has its own limit, at most ``k``.
     Result: the ``on`` columns, both ids, ``cost`` and ``rank``.
     """
     on = list(on)
@@ -46,61 +48,90 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
     def blocks_per_group(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
-    sizes = (blocks_per_group(left, "_left_blocks").join(blocks_per_group(right, "_right_blocks"), group)
-             .withColumn("_left_parts", F.ceil(F.col("_left_blocks") / LEFT_BLOCKS_PER_TASK).cast("int")))
+    sizes = blocks_per_group(left, "_left_blocks").join(blocks_per_group(right, "_right_blocks"), group)
+    pair = [*group, "_left_block", "_right_block"]
 
-    def block(identifier: str, blocks: Column) -> Column:
-        return F.pmod(F.xxhash64(identifier), blocks).cast("int")
+    def block(identifier: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(identifier), F.col(blocks)).cast("int")
 
-    def numbers_below(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    def every_block(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    task = [*group, "_left_part", "_right_block"]
-    spread_left = (left.join(sizes, group)
-                   .withColumn("_left_part", block("_left", F.col("_left_parts")))
-                   .select(*group, "_left_part", numbers_below("_right_blocks").alias("_right_block"),
-                           "_left", "_k", *left_values))
-    spread_right = (right.join(sizes, group)
-                    .withColumn("_right_block", block("_right", F.col("_right_blocks")))
-                    .select(*group, numbers_below("_left_parts").alias("_left_part"), "_right_block",
-                            "_right", *right_values))
+    left_blocks = (left.join(sizes, group)
+                   .select(*group, block("_left", "_left_blocks").alias("_left_block"),
+                           every_block("_right_blocks").alias("_right_block"), "_left", "_k", *left_values)
+                   .groupBy(*pair).agg(F.collect_list(F.struct("_left", "_k", *left_values)).alias("_lefts")))
+    right_blocks = (right.join(sizes, group)
+                    .select(*group, every_block("_left_blocks").alias("_left_block"),
+                            block("_right", "_right_blocks").alias("_right_block"), "_right", *right_values)
+                    .groupBy(*pair).agg(F.collect_list(F.struct("_right", *right_values)).alias("_rights")))
+    pairs = left_blocks.join(right_blocks, pair).select(*group, "_lefts", "_rights")
 
     names = {f.name: f for f in (*left.schema.fields, *right.schema.fields)}
     schema = StructType([names[c] for c in (*group, "_left", "_k", "_right")]).add("cost", "double")
-    no_partners = to_arrow_schema(schema).empty_table()
-
-    def score(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        if left_rows.num_rows == 0 or right_rows.num_rows == 0:
-            return no_partners
-        right_rows = right_rows.sort_by("_right")
-        costs = cost(left_rows, right_rows)
-        costs = np.where(np.isnan(costs), np.inf, costs)
-        order = np.argsort(costs, axis=1, kind="stable")[:, :k]
-        least = np.take_along_axis(costs, order, axis=1)
-        limits = left_rows["_k"].to_numpy()
-        rows, ranks = np.nonzero(np.isfinite(least) & (np.arange(order.shape[1])[None, :] < limits[:, None]))
-        columns = {c: left_rows[c].take(pa.array(rows)) for c in (*group, "_left", "_k")}
-        columns["_right"] = right_rows["_right"].take(pa.array(order[rows, ranks]))
-        columns["cost"] = pa.array(least[rows, ranks])
-        return pa.table(columns)
-
-    partial = spread_left.groupBy(*task).cogroup(spread_right.groupBy(*task)).applyInArrow(score, schema)
+    arrow_schema = to_arrow_schema(schema)
+
+    def score(batches: Iterator[Rows]) -> Iterator[Rows]:
+        for batch in batches:
+            found = [_best(batch.column("_lefts")[i].values, batch.column("_rights")[i].values, cost, k)
+                     for i in range(batch.num_rows)]
+            if not found:
+                continue
+            row_of = pa.array(np.repeat(np.arange(len(found)), [len(part[0]) for part in found]))
+            columns = [batch.column(c).take(row_of) for c in group]
+            columns += [pa.concat_arrays([part[j] for part in found]) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema)],
+                                             schema=arrow_schema)
+
+    partial = pairs.mapInArrow(score, schema)
     ranked = top_per_group(partial, [*group, "_left"], [F.col("cost"), F.col("_right")], k, "rank")
     return (ranked.where(F.col("rank") <= F.col("_k"))
             .select(*on, F.col("_left").alias(left_id), F.col("_right").alias(right_id), "cost", "rank"))
 
 
-def matrix(rows: pa.Table, column: str) -> np.ndarray:
+def _best(lefts: pa.StructArray, rights: pa.StructArray, cost: Cost, k: int) -> tuple[pa.Array, ...]:
+    """Left ids, their limits, right ids and costs of the best pairs of two blocks."""
+    left, right = _complete(lefts), _complete(rights)
+    if left.num_rows == 0 or right.num_rows == 0:
+        nothing = pa.array([], pa.float64())
+        return left.column("_left").slice(0, 0), left.column("_k").slice(0, 0), right.column("_right").slice(0, 0), nothing
+    by_id = pc.sort_indices(right.column("_right")).to_numpy()
+    costs = cost(left, right)[:, by_id]
+    costs = np.where(np.isnan(costs), np.inf, costs)
+    if costs.shape[1] > 4 * k:
+        # Only costs up to the k-th least can be among the best; equal ones stay in, so ties are still by id.
+        limit = np.partition(costs, k - 1, axis=1)[:, k - 1:k]
+        rows, columns = np.nonzero((costs <= limit) & np.isfinite(costs))
+    else:
+        rows, columns = np.nonzero(np.isfinite(costs))
+    values = costs[rows, columns]
+    order = np.lexsort((columns, values, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    starts = np.searchsorted(rows, np.arange(left.num_rows))
+    limits = np.minimum(left.column("_k").to_numpy(), k)
+    kept = np.arange(len(rows)) - starts[rows] < limits[rows]
+    rows, columns, values = pa.array(rows[kept]), pa.array(by_id[columns[kept]]), pa.array(values[kept])
+    return (left.column("_left").take(rows), left.column("_k").take(rows), right.column("_right").take(columns),
+            values)
+
+
+def _complete(block: pa.StructArray) -> Rows:
+    rows = pa.RecordBatch.from_struct_array(block)
+    for name in rows.schema.names:
+        if rows.column(name).null_count:
+            rows = rows.filter(pc.is_valid(rows.column(name)))
+    return rows
+
+
+def matrix(rows: Rows, column: str) -> np.ndarray:
     """A list column as a matrix, without a Python object per row."""
-    values = rows[column].combine_chunks()
-    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1).astype(np.float64)
+    return rows.column(column).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1).astype(np.float64)
 
 
 def cosine_cost(left_vector: str, right_vector: str, digits: int = 9) -> Cost:
     """Minus the cosine similarity. Rounding makes equal similarities equal, whatever the order of the sums."""
 
-    def cost(left: pa.Table, right: pa.Table) -> np.ndarray:
+    def cost(left: Rows, right: Rows) -> np.ndarray:
         a, b = matrix(left, left_vector), matrix(right, right_vector)
         with np.errstate(invalid="ignore", divide="ignore"):
             a = a / np.linalg.norm(a, axis=1, keepdims=True)
@@ -115,7 +146,7 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int, on: Sequence[
                     item_vector: str = "embedding", k_column: str | None = None,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact top-k by cosine similarity: the ``on`` columns, query id, item id, similarity and rank."""
-    left = queries.where(F.col(query_vector).isNotNull()).withColumnRenamed(query_vector, "_query_vector")
+    left = queries.withColumnRenamed(query_vector, "_query_vector")
     right = corpus.where(F.col(item_vector).isNotNull()).withColumnRenamed(item_vector, "_item_vector")
     found = best_partners(left, right, on, query_id, item_id, k, cosine_cost("_query_vector", "_item_vector"),
                           ["_query_vector"], ["_item_vector"], block_rows, k_column)

@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outings.functions.geo import EARTH_RADIUS_M, RadiusGrid
 from outings.operators.keyed import top_per_group
-from outings.operators.nearest import best_partners
+from outings.operators.nearest import Rows, best_partners
 
 
 def radius_cost(radius_m: float):
     """Whole metres between the points of two tables; not a number beyond the radius."""
 
-    def cost(left: pa.Table, right: pa.Table) -> np.ndarray:
-        lat1, lon1 = (np.radians(left[c].to_numpy())[:, None] for c in ("_lat", "_lon"))
-        lat2, lon2 = (np.radians(right[c].to_numpy())[None, :] for c in ("_place_lat", "_place_lon"))
+    def cost(left: Rows, right: Rows) -> np.ndarray:
+        lat1, lon1 = (np.radians(left.column(c).to_numpy())[:, None] for c in ("_lat", "_lon"))
+        lat2, lon2 = (np.radians(right.column(c).to_numpy())[None, :] for c in ("_place_lat", "_place_lon"))
         chord = (np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2)
         chord = np.minimum(chord, 1.0)
         metres = np.round(2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(chord), np.sqrt(1 - chord)))

@@ -13,6 +13,7 @@ from outings.operators.mutation import Mutation, partial_update
 from outings.plans.search import rank_activities
 from outings.plans.weather import trip_weather
 from outings.settings import DEFAULTS, Settings
+from outings.sources.tables import materialized
 
 # Start and end of the slots of a day.
 SLOTS = (("09:00", "11:00"), ("12:30", "14:30"), ("15:30", "17:00"), ("18:00", "19:30"))
@@ -53,14 +54,13 @@ def generate_itinerary(trips: DataFrame, users: DataFrame, activities: DataFrame
     wanted = (wishes.groupBy("destination_id", "interests").agg((F.max(days) * n).alias("k"))
               .withColumn("indoor_only", F.explode(F.array(F.lit(False), F.lit(True))))
               .withColumn("query", query_text(F.col("interests"), F.col("indoor_only"))))
-    longest = _longest_trip(wishes) * n
-    ranked = rank_activities(wanted.drop("interests"), activities, longest, embedder, k_column="k")
-    order = F.sort_array(F.collect_list(F.struct("rank", "activity_id")))
-    rankings = (ranked.groupBy("destination_id", "indoor_only", "query").agg(order["activity_id"].alias("ids")))
-    by_kind = (wanted.join(rankings, ["destination_id", "indoor_only", "query"])
-               .groupBy("destination_id", "interests")
-               .agg(F.max_by("ids", F.when(F.col("indoor_only"), 1)).alias("indoor"),
-                    F.max_by("ids", F.when(~F.col("indoor_only"), 1)).alias("any")))
+    ranked = rank_activities(wanted, activities, None, embedder, query_id="interests")
+
+    def ranking(kind: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(kind, F.struct("rank", "activity_id"))))["activity_id"]
+
+    by_kind = (ranked.groupBy("destination_id", "interests")
+               .agg(ranking(F.col("indoor_only")).alias("indoor"), ranking(~F.col("indoor_only")).alias("any")))
     bad_days = (trip_weather(trips, weather, settings).where("is_bad")
                 .groupBy("trip_id").agg(F.collect_set("forecast_date").alias("bad_days")))
 
@@ -80,7 +80,6 @@ def generate_itinerary(trips: DataFrame, users: DataFrame, activities: DataFrame
     planned = (wishes.join(by_kind, ["destination_id", "interests"])
                .join(bad_days, "trip_id", "left")
                .withColumn("bad_days", F.coalesce("bad_days", F.array().cast("array<date>")))
-               .withColumn("indoor", F.coalesce("indoor", no_ids)).withColumn("any", F.coalesce("any", no_ids))
                .withColumn("days", day_list)
                .select("trip_id", F.inline(F.aggregate("days", start, plan_day, lambda state: state["plan"])))
                .select("trip_id", "day_date", F.col("indoor").alias("indoor_only"),
@@ -100,11 +99,6 @@ def generate_itinerary(trips: DataFrame, users: DataFrame, activities: DataFrame
         (~F.col("is_outdoor")).alias("indoor"))
 
 
-def _longest_trip(trips: DataFrame) -> int:
-    """Days of the longest trip: one number, which bounds the rankings."""
-    return trips.agg(F.max(F.datediff("end_date", "start_date") + 1)).first()[0] or 1
-
-
 @dataclass(frozen=True)
 class Reschedule:
     changes: DataFrame
@@ -117,25 +111,29 @@ def reschedule_for_weather(trips: DataFrame, items: DataFrame, activities: DataF
     """Take outdoor items off bad days: to the first good day of the trip; if it has none, swap in the best indoor
     activity; if there is none either, flag the item. All trips change together or not at all.
 
-    Items of any status are considered, and a moved item keeps its position in the day.
+    Items of any status are considered, and a moved item keeps its position in the day. The changes are computed
+    once, into the shared folder; the new items follow from them.
     """
-    days = trip_weather(trips, weather, settings)
-    bad = days.where("is_bad").select("trip_id", "destination_id", F.col("forecast_date").alias("day_date"),
-                                      "bad_reason")
-    good = days.where(~F.col("is_bad")).groupBy("trip_id").agg(F.min("forecast_date").alias("to_day"))
+    is_bad = F.col("is_bad")
+    forecast = (trip_weather(trips, weather, settings).groupBy("trip_id", "destination_id")
+                .agg(F.min(F.when(~is_bad, F.col("forecast_date"))).alias("to_day"),
+                     F.map_from_entries(F.collect_list(F.when(is_bad, F.struct("forecast_date", "bad_reason"))))
+                     .alias("bad_days")).where(F.size("bad_days") > 0))
     outdoor = activities.where("is_outdoor").select("activity_id")
     affected = (items.select("item_id", "trip_id", "day_date", "activity_id", "title")
-                .join(bad, ["trip_id", "day_date"])
-                .join(outdoor, "activity_id", "left_semi")
-                .join(good, "trip_id", "left")
+                .join(forecast, "trip_id")
+                .withColumn("bad_reason", F.try_element_at("bad_days", "day_date")).drop("bad_days")
+                .where(F.col("bad_reason").isNotNull())
+                .join(outdoor, "activity_id", "left_semi").drop("activity_id")
                 .withColumn("query", F.when(F.col("to_day").isNull(),
                                             F.concat(F.lit("indoor alternative to "), F.col("title")))))
+    affected = materialized(affected, "affected-items")
     wanted = (affected.where(F.col("query").isNotNull())
               .select("destination_id", "query", F.lit(True).alias("indoor_only")).distinct())
     names = activities.select("activity_id", F.col("name").alias("to_title"))
     best = (rank_activities(wanted, activities, 1, embedder).join(names, "activity_id")
             .select("destination_id", "query", F.col("activity_id").alias("to_activity_id"), "to_title"))
-    decided = affected.drop("activity_id").join(best, ["destination_id", "query"], "left")
+    decided = affected.join(best, ["destination_id", "query"], "left")
 
     moved, swapped = F.col("to_day").isNotNull(), F.col("to_activity_id").isNotNull()
     why = F.col("bad_reason")
@@ -148,6 +146,7 @@ def reschedule_for_weather(trips: DataFrame, items: DataFrame, activities: DataF
         "item_id", "trip_id", "title", F.when(moved, "moved").when(swapped, "swapped").otherwise("flagged")
         .alias("action"), F.col("day_date").alias("from_day"), "to_day", "to_activity_id", "to_title",
         F.col("bad_reason").alias("cause"), reason.alias("reason"))
+    changes = materialized(changes, "reschedule-changes")
     values = {"day_date": F.coalesce("_new_to_day", "day_date"),
               "activity_id": F.coalesce("_new_to_activity_id", "activity_id"),
               "title": F.coalesce("_new_to_title", "title"), "status": F.lit("rescheduled"),

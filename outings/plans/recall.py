@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outings.sources.tables import materialized
+
 
 def recall_per_query(queries: DataFrame, exact: DataFrame, approximate: DataFrame, query_id: str = "query_id",
                      item_id: str = "item_id") -> DataFrame:
@@ -26,3 +30,15 @@ def recall_summary(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.bround(F.avg("_recall"), 3).alias("mean_recall_at_k"),
                          F.bround(F.avg("returned"), 2).alias("mean_rows_returned"),
                          F.count(F.lit(1)).alias("n_probes"))
+
+
+def recall_report(queries: DataFrame, exact: DataFrame, searches: Mapping[str, DataFrame],
+                  query_id: str = "query_id", item_id: str = "item_id") -> DataFrame:
+    """One summary row per search. The exact result is computed once, into the shared folder."""
+    truth = materialized(exact.select(query_id, item_id), "exact-neighbours")
+    report = None
+    for label, found in searches.items():
+        row = recall_summary(recall_per_query(queries, truth, found, query_id, item_id))
+        row = row.select(F.lit(label).alias("search"), "*")
+        report = row if report is None else report.unionByName(row)
+    return report

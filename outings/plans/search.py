@@ -9,6 +9,7 @@ from outings.functions.scalars import round_half_up
 from outings.functions.vectors import Embedder, cosine_similarity, embed
 from outings.operators.nearest import nearest_vectors
 from outings.settings import DEFAULTS
+from outings.sources.tables import materialized
 
 # Probe texts of the retrieval report.
 PROBES = (
@@ -24,23 +25,32 @@ PROBES = (
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder, batch: int = DEFAULTS.embed_batch) -> DataFrame:
-    """Adds ``query_vector``; every distinct ``query`` text is embedded once."""
-    vectors = queries.select("query").distinct().withColumn("query_vector", embed("query", embedder, batch))
-    return queries.join(vectors, "query")
+    """Adds ``query_vector``. Every distinct ``query`` text is embedded once, by as many tasks as there are cores;
+    the result is written out, so that later uses do not call the embedder again."""
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    texts = queries.select("query").distinct().repartition(tasks)
+    vectors = texts.withColumn("query_vector", embed("query", embedder, batch))
+    return materialized(queries.join(vectors, "query"), "query-vectors")
 
 
-def rank_activities(wanted: DataFrame, activities: DataFrame, k: int, embedder: Embedder,
-                    k_column: str | None = None) -> DataFrame:
-    """Top activities for distinct (destination_id, indoor_only, query) rows: those columns, activity_id,
-    similarity and rank. An activity takes part in the open searches of its destination and, when indoors, in the
-    indoor ones."""
+def rank_activities(wanted: DataFrame, activities: DataFrame, k: int | None, embedder: Embedder,
+                    query_id: str = "query") -> DataFrame:
+    """Top activities for distinct (destination_id, indoor_only, query) rows: destination_id, indoor_only,
+    ``query_id``, activity_id, similarity and rank.
+
+    An activity takes part in the open searches of its destination and, when indoors, in the indoor ones.
+    ``query_id`` names the query within its destination. Without ``k`` the rows have limits of their own, in ``k``.
+    """
     flags = F.when(F.col("is_outdoor"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     corpus = (activities.where(F.col("requirements_embedding").isNotNull())
               .select("destination_id", F.explode(flags).alias("indoor_only"), "activity_id",
                       "requirements_embedding"))
-    return nearest_vectors(embed_queries(wanted, embedder), corpus, k, on=["destination_id", "indoor_only"],
-                           query_id="query", item_id="activity_id", item_vector="requirements_embedding",
-                           k_column=k_column)
+    embedded = embed_queries(wanted, embedder)
+    k_column = None
+    if k is None:
+        k, k_column = embedded.agg(F.max("k")).first()[0] or 1, "k"
+    return nearest_vectors(embedded, corpus, k, on=["destination_id", "indoor_only"], query_id=query_id,
+                           item_id="activity_id", item_vector="requirements_embedding", k_column=k_column)
 
 
 def semantic_search(queries: DataFrame, activities: DataFrame, embedder: Embedder,

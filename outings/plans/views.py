@@ -26,37 +26,38 @@ def list_destinations(destinations: DataFrame) -> DataFrame:
                     blurb("description").alias("blurb")))
 
 
-def _paged(df: DataFrame, group: list[str], page_rows: int) -> DataFrame:
+def _page_numbers(rows: DataFrame, group: list[str], page_rows: int) -> DataFrame:
     """Spread the rows of a group over pages of about ``page_rows`` by their key hash; a small group has page 0."""
-    pages = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("_pages"))
-    return (df.join(pages, group)
-            .withColumn("page", F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int")).drop("_pages"))
+    pages = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("_pages"))
+    return (rows.join(pages, group)
+            .withColumn("page", F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int")).drop("_pages", "_key"))
 
 
 def trip_bundle(header: DataFrame, weather: DataFrame, items: DataFrame, packing: DataFrame,
                 page_rows: int = PAGE_ROWS) -> DataFrame:
     """Each trip with its weather days, items and packing list as one nested record.
 
-    A trip with more entries than a page holds gets several records, numbered by ``page``, so that no record and no
-    task grows with the trip. Every entry is in exactly one page, and the lists of a page are in display order.
+    A trip with more items and packing entries than a page holds gets several records, numbered by ``page``, so
+    that no record and no task grows with the trip. Every entry is in exactly one page, and the lists of a page are
+    in display order. The weather, which the length of the trip bounds, is in page 0.
     """
-    sections: dict[str, tuple[DataFrame, list[str], list[str]]] = {
-        "weather": (weather, ["forecast_date"], ["forecast_date"]),
-        "itinerary": (items, ["day_date", "sort_order", "item_id"], ["item_id"]),
-        "packing": (packing, ["category", "item_name"], ["item_name"]),
-    }
-    types = {}
-    for name, (df, order, _) in sections.items():
-        columns = [*order, *[c for c in df.columns if c not in (*order, "trip_id", "destination_id")]]
-        types[name] = F.struct(*columns)
-    rows = None
-    for name, (df, _, key) in sections.items():
-        entries = [(types[n] if n == name else _null_like(sections[n][0], types[n])).alias(n) for n in sections]
-        part = df.select("trip_id", F.concat_ws("\u001f", F.lit(name), *[F.col(c).cast("string") for c in key])
-                         .alias("_key"), *entries)
-        rows = part if rows is None else rows.unionByName(part)
+    sections = {"weather": weather, "itinerary": items, "packing": packing}
+    order = {"weather": ["forecast_date"], "itinerary": ["day_date", "sort_order", "item_id"],
+             "packing": ["category", "item_name"]}
+    entry = {name: F.struct(*order[name], *[c for c in df.columns
+                                            if c not in (*order[name], "trip_id", "destination_id")])
+             for name, df in sections.items()}
+
+    def rows(name: str, *extra: Column) -> DataFrame:
+        entries = [(entry[n] if n == name else _null_like(sections[n], entry[n])).alias(n) for n in sections]
+        return sections[name].select("trip_id", *extra, *entries)
+
+    countable = (rows("itinerary", F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("_key"))
+                 .unionByName(rows("packing", F.concat(F.lit("p"), F.col("item_name")).alias("_key"))))
+    entries = (_page_numbers(countable, ["trip_id"], page_rows)
+               .unionByName(rows("weather", F.lit(0).alias("page"))))
     lists = [F.sort_array(F.collect_list(name)).alias(name) for name in sections]
-    pages = _paged(rows, ["trip_id"], page_rows).groupBy("trip_id", "page").agg(*lists)
+    pages = entries.groupBy("trip_id", "page").agg(*lists)
     return (header.join(pages, "trip_id", "left")
             .withColumn("page", F.coalesce("page", F.lit(0))))
 
@@ -70,7 +71,7 @@ def itinerary_by_day(items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     columns = ["sort_order", "item_id", *[c for c in items.columns
                                           if c not in ("sort_order", "item_id", "trip_id", "day_date")]]
     rows = items.select("trip_id", "day_date", F.col("item_id").alias("_key"), F.struct(*columns).alias("item"))
-    return (_paged(rows, ["trip_id", "day_date"], page_rows).groupBy("trip_id", "day_date", "page")
+    return (_page_numbers(rows, ["trip_id", "day_date"], page_rows).groupBy("trip_id", "day_date", "page")
             .agg(F.sort_array(F.collect_list("item")).alias("items")))
 
 

@@ -8,13 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 # Adaptive execution splits the partitions of a join in which one key holds a large share of the rows, also where
-# the split costs one more shuffle; all stored instants are UTC.
+# the split costs one more shuffle; all stored instants are UTC. Arrow batches are bounded by size, because a row may
+# hold a whole block of vectors. Small partitions may stay apart, because the work per byte of a plan or a search is high.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 

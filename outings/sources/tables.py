@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import tempfile
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -106,10 +107,12 @@ def append_bronze(df: DataFrame, path: str, now=None) -> None:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the one the cluster shares for checkpoints."""
+    """A new folder below the one the cluster names for checkpoints; only a local session may go without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        base = tempfile.mkdtemp(prefix="outings-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

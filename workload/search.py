@@ -10,7 +10,7 @@ from outings.operators.approximate import build_cells, search_buckets, search_ce
 from outings.operators.nearest import nearest_vectors
 from outings.plans.embedding import embed_missing, embedding_coverage
 from outings.plans.itinerary import generate_itinerary, reschedule_for_weather
-from outings.plans.recall import recall_per_query, recall_summary
+from outings.plans.recall import recall_per_query, recall_report
 from outings.plans.search import global_search, semantic_search
 from outings.settings import Settings
 from workload.registry import query
@@ -131,14 +131,9 @@ def _neighbours_all_cells(t):
 @query("recall_cells")
 def _recall_cells(t):
     queries, corpus = _vectors(t)
-    exact = nearest_vectors(queries, corpus, 5)
     index = build_cells(corpus, CELLS)
-    rows = None
-    for probes in (1, 4, CELLS):
-        per_query = recall_per_query(queries, exact, search_cells(queries, index, 5, probes))
-        row = recall_summary(per_query).withColumn("cells_searched", F.lit(probes))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    searches = {f"{probes} of {CELLS} cells": search_cells(queries, index, 5, probes) for probes in (1, 4, CELLS)}
+    return recall_report(queries, nearest_vectors(queries, corpus, 5), searches)
 
 
 @query("recall_buckets")
