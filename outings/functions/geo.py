@@ -16,7 +16,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     half_lon = F.radians(lon2 - lon1) / 2
     chord = (F.sin(half_lat) * F.sin(half_lat)
              + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lon) * F.sin(half_lon))
-    chord = F.least(chord, F.lit(1.0))
+    chord = F.when(chord > 1.0, 1.0).otherwise(chord)
     return F.bround(2 * EARTH_RADIUS_M * F.atan2(F.sqrt(chord), F.sqrt(1 - chord)), 0)
 
 

@@ -37,31 +37,31 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
     side within a group. With ``k_column`` every left row has its own limit, at most ``k``.
     Result: the ``on`` columns, both ids, ``cost`` and ``rank``.
     """
-    on = list(on)
-    group = on or ["_all"]
-    left = left.select(*on, F.col(left_id).alias("_left"), *left_values,
+    group = list(on)
+    left = left.select(*group, F.col(left_id).alias("_left"), *left_values,
                        (F.col(k_column) if k_column else F.lit(k)).cast("int").alias("_k"))
-    right = right.select(*on, F.col(right_id).alias("_right"), *right_values)
-    if not on:
-        left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
-
-    def blocks_per_group(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-
-    sizes = blocks_per_group(left, "_left_blocks").join(blocks_per_group(right, "_right_blocks"), group)
+    right = right.select(*group, F.col(right_id).alias("_right"), *right_values)
+    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
+    if group:
+        sizes = (left.groupBy(*group).agg(blocks.alias("_left_blocks"))
+                 .join(right.groupBy(*group).agg(blocks.alias("_right_blocks")), group))
+        sized_left, sized_right = left.join(sizes, group), right.join(sizes, group)
+    else:
+        numbers = {"_left_blocks": left.agg(blocks).scalar(), "_right_blocks": right.agg(blocks).scalar()}
+        sized_left, sized_right = left.withColumns(numbers), right.withColumns(numbers)
     pair = [*group, "_left_block", "_right_block"]
 
-    def block(identifier: str, blocks: str) -> Column:
-        return F.pmod(F.xxhash64(identifier), F.col(blocks)).cast("int")
+    def block(identifier: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(identifier), F.col(count)).cast("int")
 
-    def every_block(blocks: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    def every_block(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    left_blocks = (left.join(sizes, group)
+    left_blocks = (sized_left
                    .select(*group, block("_left", "_left_blocks").alias("_left_block"),
                            every_block("_right_blocks").alias("_right_block"), "_left", "_k", *left_values)
                    .groupBy(*pair).agg(F.collect_list(F.struct("_left", "_k", *left_values)).alias("_lefts")))
-    right_blocks = (right.join(sizes, group)
+    right_blocks = (sized_right
                     .select(*group, every_block("_left_blocks").alias("_left_block"),
                             block("_right", "_right_blocks").alias("_right_block"), "_right", *right_values)
                     .groupBy(*pair).agg(F.collect_list(F.struct("_right", *right_values)).alias("_rights")))
@@ -86,7 +86,7 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
     partial = pairs.mapInArrow(score, schema)
     ranked = top_per_group(partial, [*group, "_left"], [F.col("cost"), F.col("_right")], k, "rank")
     return (ranked.where(F.col("rank") <= F.col("_k"))
-            .select(*on, F.col("_left").alias(left_id), F.col("_right").alias(right_id), "cost", "rank"))
+            .select(*group, F.col("_left").alias(left_id), F.col("_right").alias(right_id), "cost", "rank"))
 
 
 def _best(lefts: pa.StructArray, rights: pa.StructArray, cost: Cost, k: int) -> tuple[pa.Array, ...]:

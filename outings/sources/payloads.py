@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outings.functions.geo import haversine_m
-from outings.functions.scalars import to_whole
+from outings.functions.scalars import col, to_whole
 
 # Payload variable, column and type. Whole numbers arrive as doubles and are rounded.
 WEATHER_VARIABLES = {
@@ -65,8 +65,7 @@ def air_hours(payloads: DataFrame, payload: str = "payload", keep: Sequence[str]
 
 def to_instant(local: Column | str, zone: Column | str) -> Column:
     """The instant of a local wall time in a destination's time zone."""
-    local = F.col(local) if isinstance(local, str) else local
-    return F.to_utc_timestamp(local.cast("timestamp"), zone)
+    return F.to_utc_timestamp(col(local).cast("timestamp"), col(zone))
 
 
 def geocode_candidates(payloads: DataFrame, count: int = 1, payload: str = "payload",
