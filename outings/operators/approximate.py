@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outings.operators.keyed import top_per_group
@@ -26,7 +26,7 @@ class CellIndex:
 
 def build_cells(vectors: DataFrame, cells: int, vector: str = "embedding", seed: int = 7,
                 iterations: int = 20) -> CellIndex:
-    """Cluster the vectors by cosine. To search from storage, write ``vectors`` partitioned by ``cell``."""
+    """Cluster the vectors by cosine."""
     usable = vectors.where(F.col(vector).isNotNull()).withColumn("_features", array_to_vector(vector))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine", featuresCol="_features",
                    predictionCol="cell").fit(usable.select("_features"))
@@ -36,6 +36,17 @@ def build_cells(vectors: DataFrame, cells: int, vector: str = "embedding", seed:
     return CellIndex(indexed, centre_frame)
 
 
+def store_cells(index: CellIndex, path: str, item_id: str = "item_id") -> None:
+    """Write an index with one folder per cell. Ranges of (cell, id) share the work evenly, however full a cell is."""
+    (index.vectors.repartitionByRange("cell", item_id).write.partitionBy("cell").parquet(f"{path}/vectors"))
+    index.centres.write.parquet(f"{path}/centres")
+
+
+def load_cells(spark: SparkSession, path: str) -> CellIndex:
+    vectors = spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("long"))
+    return CellIndex(vectors, spark.read.parquet(f"{path}/centres"))
+
+
 def search_cells(queries: DataFrame, index: CellIndex, k: int, probes: int, query_id: str = "query_id",
                  query_vector: str = "query_vector", item_id: str = "item_id",
                  item_vector: str = "embedding") -> DataFrame:

@@ -24,7 +24,9 @@ from outings.operators.keyed import top_per_group
 Rows = pa.RecordBatch
 Cost = Callable[[Rows, Rows], np.ndarray]
 
-BLOCK_ROWS = 1024
+# A pair of blocks is one row: 2048 vectors of 1024 floats are 8 MB a side. It is scored some left rows at a time.
+BLOCK_ROWS = 2048
+TILE_ROWS = 512
 
 
 def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, k: int,
@@ -92,27 +94,33 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
 def _best(lefts: pa.StructArray, rights: pa.StructArray, cost: Cost, k: int) -> tuple[pa.Array, ...]:
     """Left ids, their limits, right ids and costs of the best pairs of two blocks."""
     left, right = _complete(lefts), _complete(rights)
-    if left.num_rows == 0 or right.num_rows == 0:
+    by_id = pc.sort_indices(right.column("_right"))
+    right = right.take(by_id) if right.num_rows else right
+    tiles = [_best_of_tile(left.slice(start, TILE_ROWS), right, cost, k)
+             for start in range(0, left.num_rows if right.num_rows else 0, TILE_ROWS)]
+    if not tiles:
         nothing = pa.array([], pa.float64())
-        return left.column("_left").slice(0, 0), left.column("_k").slice(0, 0), right.column("_right").slice(0, 0), nothing
-    by_id = pc.sort_indices(right.column("_right")).to_numpy()
-    costs = cost(left, right)[:, by_id]
+        return (*[left.column(c).slice(0, 0) for c in ("_left", "_k")], right.column("_right").slice(0, 0), nothing)
+    return tuple(pa.concat_arrays([tile[j] for tile in tiles]) for j in range(4))
+
+
+def _best_of_tile(left: Rows, right: Rows, cost: Cost, k: int) -> tuple[pa.Array, ...]:
+    """The right rows are in the order of their ids, so that the smaller column wins a tie."""
+    costs = cost(left, right)
     costs = np.where(np.isnan(costs), np.inf, costs)
+    usable = np.isfinite(costs)
     if costs.shape[1] > 4 * k:
-        # Only costs up to the k-th least can be among the best; equal ones stay in, so ties are still by id.
-        limit = np.partition(costs, k - 1, axis=1)[:, k - 1:k]
-        rows, columns = np.nonzero((costs <= limit) & np.isfinite(costs))
-    else:
-        rows, columns = np.nonzero(np.isfinite(costs))
+        # Only costs up to the k-th least can be among the best; equal ones stay in.
+        usable &= costs <= np.partition(costs, k - 1, axis=1)[:, k - 1:k]
+    rows, columns = np.nonzero(usable)
     values = costs[rows, columns]
     order = np.lexsort((columns, values, rows))
     rows, columns, values = rows[order], columns[order], values[order]
-    starts = np.searchsorted(rows, np.arange(left.num_rows))
-    limits = np.minimum(left.column("_k").to_numpy(), k)
-    kept = np.arange(len(rows)) - starts[rows] < limits[rows]
-    rows, columns, values = pa.array(rows[kept]), pa.array(by_id[columns[kept]]), pa.array(values[kept])
+    place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(left.num_rows))[rows]
+    kept = place < np.minimum(left.column("_k").to_numpy(), k)[rows]
+    rows, columns = pa.array(rows[kept]), pa.array(columns[kept])
     return (left.column("_left").take(rows), left.column("_k").take(rows), right.column("_right").take(columns),
-            values)
+            pa.array(values[kept]))
 
 
 def _complete(block: pa.StructArray) -> Rows:

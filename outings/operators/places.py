@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from outings.functions.geo import EARTH_RADIUS_M, RadiusGrid
 from outings.operators.keyed import top_per_group
 from outings.operators.nearest import Rows, best_partners
+from outings.sources.tables import materialized
 
 
 def radius_cost(radius_m: float):
@@ -25,29 +26,64 @@ def radius_cost(radius_m: float):
     return cost
 
 
+# Places in the fullest cell from which on a search starts with a smaller radius.
+CROWDED_CELL = 8192
+
+
 def places_within_radius(centres: DataFrame, places: DataFrame, radius_m: float = 10_000, limit: int = 10,
-                         centre_id: str = "centre_id", place_id: str = "place_id") -> DataFrame:
+                         centre_id: str = "centre_id", place_id: str = "place_id",
+                         crowded: int = CROWDED_CELL) -> DataFrame:
     """The nearest ``limit`` places within the radius of every centre: both ids, distance_m and rank.
 
     Both frames have latitude and longitude; ids are whole numbers. Centres with the same coordinates are
     searched once, and of the places with the same coordinates only the ``limit`` smallest ids can ever be in a
-    result, so a crowded point costs no more than any other.
+    result, so a crowded point costs no more than any other. Where a neighbourhood is crowded, the search begins
+    with a small radius: a centre that finds ``limit`` places has its result, the others go on with a larger one.
     """
-    grid = RadiusGrid(radius_m)
     lat, lon = F.col("latitude"), F.col("longitude")
     located = centres.where(lat.isNotNull() & lon.isNotNull())
     points = located.groupBy("latitude", "longitude").agg(F.min(centre_id).alias("_point"))
+    targets = top_per_group(places.where(lat.isNotNull() & lon.isNotNull()), ["latitude", "longitude"],
+                            [F.col(place_id)], limit).select(place_id, "latitude", "longitude")
+    radii = _radii(targets, radius_m, crowded)
+    best, waiting = None, points
+    for radius in radii:
+        found = _search(waiting, targets, radius, limit, place_id)
+        if radius != radii[-1]:
+            found = materialized(found, "places-found")
+            done = found.where(F.col("rank") == limit).select("_point")
+            waiting = waiting.join(done, "_point", "left_anti")
+            found = found.join(done, "_point", "left_semi")
+        best = found if best is None else best.unionByName(found)
+    members = (located.select(centre_id, "latitude", "longitude")
+               .join(points, ["latitude", "longitude"]).select(centre_id, "_point"))
+    return members.join(best, "_point").select(centre_id, place_id, F.col("cost").alias("distance_m"), "rank")
+
+
+def _radii(places: DataFrame, radius_m: float, crowded: int) -> list[float]:
+    """The radii to try, the last being the full one. Places per cell grow with the square of the radius."""
+    grid = RadiusGrid(radius_m)
+    lat, lon = F.col("latitude"), F.col("longitude")
+    cells = places.groupBy(grid.band(lat).alias("_band"), grid.cell(lat, lon).alias("_cell"))
+    fullest = cells.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    radii = [radius_m]
+    while fullest > crowded and radii[0] > 1:
+        radii.insert(0, radii[0] / 4)
+        fullest /= 16
+    return radii
+
+
+def _search(points: DataFrame, places: DataFrame, radius_m: float, limit: int, place_id: str) -> DataFrame:
+    """The nearest places of distinct points, by way of the cells that the radius reaches."""
+    grid = RadiusGrid(radius_m)
+    lat, lon = F.col("latitude"), F.col("longitude")
     probes = (points.select("_point", lat.alias("_lat"), lon.alias("_lon"),
                             F.explode(grid.reached_bands(lat)).alias("_band"))
               .select("*", F.explode(grid.reached_cells(F.col("_lat"), F.col("_lon"), F.col("_band")))
                       .alias("_cell")))
-    targets = top_per_group(places.where(lat.isNotNull() & lon.isNotNull()), ["latitude", "longitude"],
-                            [F.col(place_id)], limit)
-    targets = targets.select(place_id, lat.alias("_place_lat"), lon.alias("_place_lon"),
-                             grid.band(lat).alias("_band"), grid.cell(lat, lon).alias("_cell"))
+    targets = places.select(place_id, lat.alias("_place_lat"), lon.alias("_place_lon"),
+                            grid.band(lat).alias("_band"), grid.cell(lat, lon).alias("_cell"))
     found = best_partners(probes, targets, ["_band", "_cell"], "_point", place_id, limit, radius_cost(radius_m),
                           ["_lat", "_lon"], ["_place_lat", "_place_lon"])
-    best = top_per_group(found.drop("rank"), ["_point"], [F.col("cost"), F.col(place_id)], limit, "rank")
-    members = (located.select(centre_id, "latitude", "longitude")
-               .join(points, ["latitude", "longitude"]).select(centre_id, "_point"))
-    return members.join(best, "_point").select(centre_id, place_id, F.col("cost").alias("distance_m"), "rank")
+    return top_per_group(found.drop("rank"), ["_point"], [F.col("cost"), F.col(place_id)], limit, "rank").select(
+        "_point", place_id, "cost", "rank")

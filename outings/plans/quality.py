@@ -107,6 +107,18 @@ def count_repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.agg(F.count_if(F.col("_rows") > 1).alias("bad"))
 
 
+def reference_report(tables: Mapping[str, DataFrame], references: Sequence[Reference] = tuple(REFERENCES)) -> DataFrame:
+    """Orphans per reference between the given tables."""
+    report = None
+    for r in references:
+        if r.child not in tables or r.parent not in tables:
+            continue
+        part = count_orphans(tables[r.child], r.column, tables[r.parent], r.key).select(
+            F.lit(r.child).alias("child"), F.lit(r.parent).alias("parent"), F.col("bad").alias("orphans"))
+        report = part if report is None else report.unionByName(part)
+    return report
+
+
 def quality_report(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """One row per check: name, passed, detail, severity."""
     counted = []

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outings.functions.vectors import Embedder
+from outings.operators.nearest import nearest_vectors
+from outings.plans.search import PROBES, embed_queries, probe_queries
+from outings.settings import DEFAULTS
 from outings.sources.tables import materialized
 
 
@@ -42,3 +46,13 @@ def recall_report(queries: DataFrame, exact: DataFrame, searches: Mapping[str, D
         row = row.select(F.lit(label).alias("search"), "*")
         report = row if report is None else report.unionByName(row)
     return report
+
+
+def evaluate_retrieval(activities: DataFrame, embedder: Embedder, approximate: Callable[[DataFrame, DataFrame, int], DataFrame],
+                       k: int = DEFAULTS.top_k, probes: Sequence[str] = PROBES) -> DataFrame:
+    """Recall of ``approximate(queries, corpus, k)`` for probe texts over all activities that have a vector."""
+    queries = embed_queries(probe_queries(activities.sparkSession, probes), embedder)
+    corpus = (activities.where(F.col("requirements_embedding").isNotNull())
+              .select(F.col("activity_id").alias("item_id"), F.col("requirements_embedding").alias("embedding")))
+    scored = recall_per_query(queries, nearest_vectors(queries, corpus, k), approximate(queries, corpus, k))
+    return queries.select("query_id", "query").join(scored, "query_id")

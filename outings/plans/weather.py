@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outings.functions.scalars import aqi_colour, aqi_label, joined, month_day, round_half_up
 from outings.operators.keyed import latest_per_key
 from outings.operators.mutation import Mutation, upsert
+from outings.schemas import DDL
 from outings.settings import DEFAULTS, Settings
+from outings.sources.tables import materialized, replace_partitions
 
 HOUR_KEY = ["destination_id", "forecast_ts"]
 # An upsert leaves forecast_date and source of a known hour as they are.
@@ -41,9 +43,11 @@ def trip_weather(trips: DataFrame, weather: DataFrame, settings: Settings = DEFA
     """The forecast days inside every trip, with a bad-day flag and its reason.
 
     Hours are rolled up and judged once per destination and day. Trips are laid out by day, so that the join is an
-    equality on both columns and no destination is a single join key.
+    equality on both columns and no destination is a single join key. Only the span of the trips is read from the
+    weather, which prunes the day folders of a partitioned table.
     """
-    days = daily_weather(weather).withColumn("bad_reason", bad_reason(settings))
+    first, last = (trips.agg(end).scalar() for end in (F.min("start_date"), F.max("end_date")))
+    days = daily_weather(weather.where(F.col("forecast_date").between(first, last))).withColumn("bad_reason", bad_reason(settings))
     trip_days = (trips.where(F.col("end_date") >= F.col("start_date"))
                  .select("trip_id", "destination_id",
                          F.explode(F.sequence("start_date", "end_date")).alias("forecast_date")))
@@ -105,6 +109,20 @@ def upsert_weather(target: DataFrame, source: DataFrame, now: Column | None = No
                   insert_values=inserts, update_values=updates, newest_first=newest_first)
 
 
+def upsert_weather_days(spark: SparkSession, path: str, source: DataFrame, now: Column | None = None,
+                        newest_first: Sequence[Column] | None = None) -> list:
+    """Upsert into a table of files in day folders, reading and rewriting only the days the source has.
+
+    The day of an hour must be its ``forecast_date`` on both sides. The merged days are written to the shared folder
+    first, so a lost task or driver never leaves a day half merged. Returns the days.
+    """
+    days = [r[0] for r in source.select("forecast_date").distinct().collect()]  # at most the days of the calendar
+    target = spark.read.schema(DDL["weather_snapshots"]).parquet(path).where(F.col("forecast_date").isin(days))
+    merged = materialized(upsert_weather(target, source, now, newest_first).snapshot, "weather-days")
+    replace_partitions(merged, path, "forecast_date")
+    return days
+
+
 @dataclass(frozen=True)
 class WeatherIngest:
     """The stages of one ingest, as lazy frames."""

@@ -17,6 +17,9 @@ from outings.settings import DEFAULTS, Settings
 
 log = logging.getLogger(__name__)
 
+# A partition is written by up to this many tasks, so that one with most of the rows does not wait for one task.
+FILES_PER_PARTITION = 16
+
 
 def read_table(spark: SparkSession, location: str, table: str | None = None) -> DataFrame:
     """Read Parquet files; the columns of a known table are read with its declared types."""
@@ -124,6 +127,12 @@ def write_snapshot(df: DataFrame, root: str, partition_by: str | None = None) ->
     return path
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:
+    """Replace the partitions that ``df`` has rows for and leave the others; ``df`` must not be read from ``path``."""
+    (df.repartition(partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_PARTITION)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
+
+
 def materialized(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: one computation, and no lineage to repeat."""
     path = shared_folder(df.sparkSession, purpose)

@@ -72,3 +72,10 @@ def fold_log(log: DataFrame, keys: Sequence[str], first_wins: Sequence[str] = ("
         ends.append(F.min_by(F.struct(*oldest), F.col(order)).alias("_oldest"))
     folded = log.groupBy(*keys).agg(*ends)
     return folded.select(*keys, *[F.col(f"_oldest.{c}" if c in oldest else f"_newest.{c}").alias(c) for c in values])
+
+
+def compacted(base: DataFrame, base_batch: int, log: DataFrame, keys: Sequence[str],
+              first_wins: Sequence[str] = ("forecast_date", "source")) -> DataFrame:
+    """The serving table from a snapshot folded up to ``base_batch`` and the batches after it."""
+    newer = log.where(F.col("batch_id") > base_batch)
+    return fold_log(base.withColumn("batch_id", F.lit(base_batch).cast("long")).unionByName(newer), keys, first_wins)

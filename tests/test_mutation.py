@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from outings.operators.keyed import assign_ids, latest_per_key, number_in_group
 from outings.operators.mutation import (add_items, align_trips, append_in_group, delete_cascade, delete_rows,
                                         insert_absent, move_items, snapshot_diff, swap_items, upsert)
-from outings.plans.weather import upsert_weather
+from outings.plans.weather import upsert_weather, upsert_weather_days
 
 few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 rows = st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3), st.integers(0, 100)), max_size=12)
@@ -89,6 +89,21 @@ def test_upsert_weather_keeps_date_and_source(seeds):
     assert old.captured_at.year == 2030 and new.forecast_date == date(1999, 1, 1) and len(table) == 12
 
 
+def test_only_touched_days_are_rewritten(spark, seeds, tmp_path):
+    path = str(tmp_path / "weather")
+    seeds["weather_snapshots"].write.partitionBy("forecast_date").parquet(path)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "weather").glob("*/*.parquet")}
+    source = (seeds["weather_snapshots"].where("day(forecast_date) = 15")
+              .select("destination_id", "forecast_ts", "forecast_date", F.lit(99.0).alias("temperature_c")))
+    source = source.union(source.withColumn("destination_id", F.lit(2).cast("long")))
+    assert upsert_weather_days(spark, path, source) == [date(2026, 8, 15)]
+    after = spark.read.parquet(path).select("destination_id", "forecast_date", "temperature_c", "us_aqi").collect()
+    assert len(after) == 8
+    assert {r.temperature_c for r in after if r.forecast_date.day == 15} == {99.0}
+    kept = {p for p in (tmp_path / "weather").glob("*/*.parquet") if p in files}
+    assert kept == {p for p in files if "2026-08-15" not in str(p)}
+
+
 def test_move_keeps_what_is_not_given(spark, seeds):
     moves = spark.createDataFrame([(1, "soon", "", None, "why"), (2, "2030-01-01", "10:00", "11:00", " ")],
                                   "item_id long, day_date string, start_time string, end_time string, reason string")

@@ -3,12 +3,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from outings.functions.geo import EARTH_RADIUS_M, haversine_m
 from outings.functions.vectors import HashEmbedder, cosine_similarity, embed
-from outings.operators.approximate import build_cells, search_buckets, search_cells
+from outings.operators.approximate import build_cells, load_cells, search_buckets, search_cells, store_cells
 from outings.operators.nearest import nearest_vectors
 from outings.operators.places import places_within_radius
 from outings.plans.recall import recall_per_query, recall_report, recall_summary
@@ -50,6 +51,16 @@ def test_exact_search(spark, on, block_rows):
         k: [(i, round(s, 9) + 0.0) for i, s in v] for k, v in expected.items()}
 
 
+def test_arrow_batches_are_bounded(spark):
+    """Rows of one megabyte come in small batches, so pairs of blocks do."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = spark.range(0, 150, 1, 1).select(F.array_repeat(F.lit(1.0), 131_072).alias("v"))
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= 70
+
+
 def test_own_limits(spark):
     queries, _ = vectors(spark, 30, 1, "query_id", "query_vector")
     corpus, _ = vectors(spark, 90, 2, "item_id", "embedding")
@@ -66,7 +77,7 @@ def test_cosine_expression(spark):
     assert got[0] == pytest.approx(0.8) and got[1] is None
 
 
-def test_approximate_search(spark):
+def test_approximate_search(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, DIM)))]
     corpus = spark.createDataFrame(rows, "item_id long, embedding array<float>").cache()
@@ -78,6 +89,9 @@ def test_approximate_search(spark):
         found = search_cells(queries, index, 5, probes)
         means[probes] = recall_summary(recall_per_query(queries, exact, found)).first().mean_recall_at_k
     assert means[1] < means[3] < means[8] == 1.0
+    store_cells(index, str(tmp_path / "cells"))
+    stored = search_cells(queries, load_cells(spark, str(tmp_path / "cells")), 5, 3)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, search_cells(queries, index, 5, 3).collect()))
     hashed = recall_per_query(queries, exact, search_buckets(queries, corpus, 5, DIM, tables=12, bits=4))
     assert recall_summary(hashed).first().mean_recall_at_k > 0.6
     report = recall_report(queries, exact, {"all": search_cells(queries, index, 5, 8),
@@ -93,8 +107,8 @@ def metres(a, b):
     return round(EARTH_RADIUS_M * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h)))
 
 
-@pytest.mark.parametrize("radius_m", [50_000, 900_000, 15_000_000])
-def test_radius_search(spark, radius_m):
+@pytest.mark.parametrize("radius_m,crowded", [(50_000, 8192), (900_000, 8192), (900_000, 3), (15_000_000, 8192)])
+def test_radius_search(spark, radius_m, crowded):
     rng = np.random.default_rng(3)
     points = [(float(a), float(o)) for a, o in zip(rng.uniform(-90, 90, 120), rng.uniform(-180, 180, 120))]
     points += [(89.9, 10.0), (89.8, -170.0), (-90.0, 0.0), (-89.9, 77.0), (0.0, 180.0), (0.0, -180.0), (0.1, -179.9)]
@@ -102,7 +116,8 @@ def test_radius_search(spark, radius_m):
     places = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(999, None, 1.0)],
                                    "place_id long, latitude double, longitude double")
     got = {}
-    for r in places_within_radius(places.withColumnRenamed("place_id", "centre_id"), places, radius_m, 6).collect():
+    for r in places_within_radius(places.withColumnRenamed("place_id", "centre_id"), places, radius_m, 6,
+                                  crowded=crowded).collect():
         got.setdefault(r.centre_id, []).append((r.distance_m, r.place_id))
     expected = {}
     for i, a in enumerate(points):

@@ -5,7 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from outings.operators.mutation import upsert
-from outings.streaming.ingest import append_stream, distinct_hours, fold_log, new_files, new_json_payloads, read_log, upsert_stream
+from outings.streaming.ingest import append_stream, compacted, distinct_hours, fold_log, new_files, new_json_payloads, read_log, upsert_stream
 
 SCHEMA = "destination_id long, forecast_ts timestamp, forecast_date date, temperature_c double, seq long"
 KEYS = ["destination_id", "forecast_ts"]
@@ -29,6 +29,9 @@ def test_upsert_stream(spark, tmp_path):
     folded = fold_log(read_log(spark, log, SCHEMA), KEYS)
     expected = sorted(map(tuple, table.collect()))
     assert sorted(tuple(r) for r in folded.select(*table.columns).collect()) == expected
+    base = fold_log(read_log(spark, log, SCHEMA).where("batch_id <= 1"), KEYS)
+    shorter = compacted(base, 1, read_log(spark, log, SCHEMA), KEYS)
+    assert sorted(tuple(r) for r in shorter.select(*table.columns).collect()) == expected
     # The last batch runs again, as after a failure before its commit.
     again = spark.createDataFrame(batch(2), SCHEMA)
     from outings.operators.keyed import latest_per_key

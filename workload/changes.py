@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from outings.operators.keyed import assign_ids, latest_per_key
 from outings.operators.mutation import (CHANGE, add_items, align_trips, delete_cascade, delete_rows, insert_absent,
-                                        move_items, snapshot_diff, upsert)
+                                        move_items, snapshot_diff, swap_items, upsert)
 from outings.plans.packing import pack, packing_suggestions
 from outings.plans.places import bootstrap_destinations
 from workload.registry import query
@@ -204,6 +204,22 @@ def _move_items(t):
     return _moved(t)[1].snapshot
 
 
+SWAPS = """
+SELECT i.item_id, a.activity_id, a.name AS title, concat('closed: ', i.title) AS reason
+FROM {v_items} i JOIN {v_activities} a ON a.activity_id = i.activity_id + 1 WHERE i.status = 'done'"""
+
+
+@query("swap_items", """
+SELECT i.item_id, i.trip_id, coalesce(s.activity_id, i.activity_id) AS activity_id,
+       CAST(i.day_date AS VARCHAR) AS day_date, coalesce(s.title, i.title) AS title,
+       CASE WHEN s.item_id IS NULL THEN i.status ELSE 'rescheduled' END AS status, i.sort_order,
+       s.reason AS reschedule_reason
+FROM {v_items} i LEFT JOIN {swaps} s ON s.item_id = i.item_id""", {"swaps": SWAPS})
+def _swap_items(t):
+    items = t("v_items").withColumn("reschedule_reason", F.lit(None).cast("string"))
+    return swap_items(items, t.run(SWAPS, v_items=t("v_items"), v_activities=t("v_activities"))).snapshot
+
+
 @query("snapshot_diff", """
 SELECT m.* REPLACE (CAST(m.day_date AS VARCHAR) AS day_date) FROM {moved} m
 JOIN {v_items} i ON i.item_id = m.item_id WHERE m.status <> i.status OR i.sort_order = 6""", MOVED)

@@ -8,10 +8,10 @@ from outings.functions.scalars import round_half_up
 from outings.functions.vectors import HashEmbedder
 from outings.operators.approximate import build_cells, search_buckets, search_cells
 from outings.operators.nearest import nearest_vectors
-from outings.plans.embedding import embed_missing, embedding_coverage
+from outings.plans.embedding import activity_text, destination_text, embed_missing, embedding_coverage
 from outings.plans.itinerary import generate_itinerary, reschedule_for_weather
-from outings.plans.recall import recall_per_query, recall_report
-from outings.plans.search import global_search, semantic_search
+from outings.plans.recall import evaluate_retrieval, recall_per_query, recall_report
+from outings.plans.search import PROBES, global_search, semantic_search
 from outings.settings import Settings
 from workload.registry import query
 from workload.weather import TRIP_DAY_VIEWS
@@ -153,6 +153,33 @@ def _recall_exact(t):
     return recall_per_query(queries, nearest_vectors(queries, corpus, 5), found).drop("_recall")
 
 
+@query("probe_recall", """
+SELECT query, CAST(5 AS BIGINT) AS exact_k, CAST(5 AS BIGINT) AS returned, CAST(5 AS BIGINT) AS overlap,
+       CAST(1.0 AS DOUBLE) AS recall_at_k
+FROM (VALUES """ + ", ".join(f"('{text}')" for text in PROBES) + """) AS p(query)
+WHERE (SELECT count(*) FROM {v_activities} WHERE requirements_embedding IS NOT NULL) >= 5""")
+def _probe_recall(t):
+    def every_cell(queries, corpus, k):
+        return search_cells(queries, build_cells(corpus, CELLS), k, probes=CELLS)
+
+    scored = evaluate_retrieval(t("v_activities"), EMBEDDER, every_cell)
+    return scored.select("query", "exact_k", "returned", "overlap", "recall_at_k")
+
+
+@query("embedding_texts", """
+SELECT 'destination' AS kind, destination_id AS id, trim(concat(name, '. ', coalesce(description, ''))) AS text
+FROM {v_destinations}
+UNION ALL SELECT 'activity', activity_id, concat_ws(' ', nullif(name, ''), nullif(category, '')) FROM {v_activities}
+UNION ALL SELECT 'user', user_id, notes FROM {v_users} WHERE notes IS NOT NULL""")
+def _embedding_texts(t):
+    def texts(kind, view, key, text):
+        return t(view).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), text.alias("text"))
+
+    return (texts("destination", "v_destinations", "destination_id", destination_text())
+            .unionByName(texts("activity", "v_activities", "activity_id", activity_text("name", "category")))
+            .unionByName(texts("user", "v_users", "user_id", F.col("notes")).where("text IS NOT NULL")))
+
+
 @query("embed_text_hash", """
 SELECT d.doc_id, c.place, CAST(round(CAST(CAST(c.n / q.norm AS FLOAT) AS DOUBLE), 6) AS DOUBLE) AS weight
 FROM (SELECT DISTINCT doc_id, text AS query FROM {documents}) d JOIN {word_counts} c ON c.query = d.query

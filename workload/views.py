@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outings.functions.scalars import classify_place
+from outings.functions.scalars import (aqi_label, classify_place, hour_minute, month_day, page_slug, round_half_even,
+                                       round_half_up)
 from outings.operators.mutation import move_items
 from outings.operators.places import places_within_radius
 from outings.plans.itinerary import list_itinerary
 from outings.plans.packing import list_packing
-from outings.plans.quality import (count_orphans, default_checks, orphans, quality_report, report_summary)
+from outings.plans.quality import (count_orphans, default_checks, orphans, quality_report, reference_report,
+                                   report_summary)
 from outings.plans.scoring import combine, count_change, every_change_has_reason, no_outdoor_on_bad_day, score, tool_fired
 from outings.plans.views import (as_json, country_histogram, distinct_counts, itinerary_by_day, items_per_day,
                                  list_destinations, row_counts, scale_summary, trip_bundle, trip_header)
@@ -161,6 +163,34 @@ def _orphan_counts(t):
     return count_orphans(t("v_items"), "trip_id", t("v_trips").where("status <> 'booked'"), "trip_id")
 
 
+@query("reference_report", """
+SELECT 'trips' AS child, 'users' AS parent, count(*) AS orphans FROM {v_trips} c
+LEFT JOIN (SELECT user_id FROM {v_users} WHERE notes IS NOT NULL) p USING (user_id) WHERE p.user_id IS NULL
+UNION ALL SELECT 'trips', 'destinations', count(*) FROM {v_trips} c LEFT JOIN {v_destinations} p USING (destination_id)
+WHERE p.name IS NULL
+UNION ALL SELECT 'itinerary_items', 'trips', count(*) FROM {v_items} c LEFT JOIN {v_trips} p USING (trip_id)
+WHERE p.title IS NULL""")
+def _reference_report(t):
+    return reference_report({"users": t("v_users").where("notes IS NOT NULL"), "destinations": t("v_destinations"),
+                             "trips": t("v_trips"), "itinerary_items": t("v_items")})
+
+
+@query("scalar_functions", """
+SELECT o_orderkey AS id, CAST(round(CAST(o_totalprice / 8 AS DECIMAL(18,6)), 1) AS DOUBLE) AS half_up,
+       round_even(o_totalprice, 0) AS half_even, strftime(o_orderdate, '%m-%d') AS month_day,
+       replace(o_orderpriority, ' ', '_') AS slug, left(CAST(CAST(o_orderdate AS TIME) AS VARCHAR), 5) AS hour_minute,
+       CASE WHEN o_totalprice / 1000 < 50 THEN 'good' WHEN o_totalprice / 1000 < 100 THEN 'moderate'
+            WHEN o_totalprice / 1000 < 150 THEN 'unhealthy·sg' ELSE 'unhealthy' END AS label
+FROM {orders}""")
+def _scalar_functions(t):
+    price, day = F.col("o_totalprice"), F.col("o_orderdate")
+    return t("orders").select(
+        F.col("o_orderkey").alias("id"), round_half_up(price / 8, 1).alias("half_up"),
+        round_half_even(price).alias("half_even"), month_day(F.to_date(day)).alias("month_day"),
+        page_slug("o_orderpriority").alias("slug"), hour_minute(F.date_format(day, "HH:mm:ss")).alias("hour_minute"),
+        aqi_label(price / 1000).alias("label"))
+
+
 @query("row_minimums", "\nUNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS rows, CAST({MINIMUMS[name]} AS BIGINT) AS minimum, "
     f"count(*) >= {MINIMUMS[name]} AS pass FROM {{{view}}}" for name, view in STANDINS.items()))
