@@ -56,7 +56,10 @@ def _word_place(word: str, dim: int) -> int:
 
 
 def embed(text: Column | str, embedder: Embedder, batch: int = 100) -> Column:
-    """Embed a text column in Arrow batches; the embedder gets at most ``batch`` texts per call."""
+    """Embed a text column in Arrow batches; the embedder gets at most ``batch`` texts per call.
+
+    Declared as not deterministic, so that Spark does not call it a second time for a filter on its result.
+    """
 
     @F.pandas_udf("array<float>")
     def run(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -66,4 +69,4 @@ def embed(text: Column | str, embedder: Embedder, batch: int = 100) -> Column:
                 vectors.extend(np.asarray(embedder(texts.iloc[start:start + batch].tolist()), dtype=np.float32))
             yield pd.Series(vectors, dtype=object)
 
-    return run(F.col(text) if isinstance(text, str) else text)
+    return run.asNondeterministic()(F.col(text) if isinstance(text, str) else text)

@@ -60,7 +60,10 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int, probes: int, quer
 
 
 def hash_buckets(vector: Column | str, tables: int, bits: int, dim: int, seed: int = 7) -> Column:
-    """For every table the sign pattern of the vector against ``bits`` random directions."""
+    """For every table the sign pattern of the vector against ``bits`` random directions.
+
+    The directions follow from the seed. The function is declared as not deterministic only to be called once per row.
+    """
     directions = np.random.default_rng(seed).normal(size=(tables * bits, dim))
 
     @F.pandas_udf("array<long>")
@@ -73,7 +76,7 @@ def hash_buckets(vector: Column | str, tables: int, bits: int, dim: int, seed: i
             signs = np.stack(vectors.to_numpy()) @ directions.T > 0
             yield pd.Series(list(signs.reshape(-1, tables, bits) @ powers), dtype=object)
 
-    return buckets(vector)
+    return buckets.asNondeterministic()(vector)
 
 
 def search_buckets(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 8,

@@ -39,9 +39,7 @@ class Session:
         self.spark, self.sf_dir, self._tables = spark, sf_dir, {}
 
     def __call__(self, name: str) -> DataFrame:
-        if name not in self._tables:
-            self._tables[name] = table(self.spark, self.sf_dir, name)
-        return self._tables[name]
+        return table(self.spark, self.sf_dir, name, self._tables)
 
     def run(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
@@ -51,7 +49,3 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast("string").alias(f.name)
                        if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col(f.name)
                        for f in df.schema])
-
-
-def long_counts(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*[F.col(c).cast("long").alias(c) if c in columns else F.col(c) for c in df.columns])

@@ -65,12 +65,16 @@ FROM {customer}""",
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table or a stand-in view as a frame."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    inputs = {used: table(spark, sf_dir, used) for used in set(_NAME.findall(VIEWS[name]))}
-    return spark.sql(VIEWS[name], **inputs)
+def table(spark: SparkSession, sf_dir: str, name: str, built: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A test table or a stand-in view as a frame. ``built`` keeps the frames, so that each is made once."""
+    built = {} if built is None else built
+    if name not in built:
+        if name in VIEWS:
+            inputs = {used: table(spark, sf_dir, used, built) for used in dict.fromkeys(_NAME.findall(VIEWS[name]))}
+            built[name] = spark.sql(VIEWS[name], **inputs)
+        else:
+            built[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return built[name]
 
 
 @lru_cache(maxsize=None)
