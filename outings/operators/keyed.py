@@ -59,7 +59,9 @@ def assign_ids(df: DataFrame, id_column: str, unique_key: Sequence[str], start:
               .select("_bucket", F.coalesce(F.sum("_rows").over(everything_before), F.lit(0)).alias("_before")))
     in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy(*unique_key))
     start = F.lit(start) if isinstance(start, int) else start
-    numbered = df.withColumn("_in_bucket", in_bucket).join(F.broadcast(before), "_bucket")
+    if hex_digits <= 4:
+        before = F.broadcast(before)  # at most 65,536 rows of a short text and a number
+    numbered = df.withColumn("_in_bucket", in_bucket).join(before, "_bucket")
     new_id = (F.coalesce(start, F.lit(0)) + F.col("_before") + F.col("_in_bucket")).cast("long")
     return numbered.select(new_id.alias(id_column),
                            *[c for c in df.columns if c not in ("_bucket", id_column)])

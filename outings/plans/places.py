@@ -57,7 +57,7 @@ class Bootstrap:
 
 
 def bootstrap_destinations(catalog: DataFrame, destinations: DataFrame, answers: DataFrame,
-                           source: str = "bootstrap") -> Bootstrap:
+                           source: str = "phase8-bootstrap") -> Bootstrap:
     """Add the catalog destinations that are not there yet.
 
     ``catalog``: name, country. ``answers``: name, geocode and summary payloads, and an error text or null.

@@ -117,7 +117,7 @@ def test_bootstrap(spark, seeds):
     assert {r.status: r.names for r in bootstrap_summary(boot.report).collect()} == {
         "skipped": 3, "failed": 2, "inserted": 20}
     new = {r.name: r for r in boot.destinations.changed.collect()}
-    assert (new["Bergen"].country, new["Bergen"].description, new["Bergen"].source) == ("Norway", "short", "bootstrap")
+    assert (new["Bergen"].country, new["Bergen"].description, new["Bergen"].source) == ("Norway", "short", "phase8-bootstrap")
     assert sorted(r.destination_id for r in new.values()) == list(range(4, 24))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outings.functions.vectors import HashEmbedder
 from outings.operators.keyed import latest_per_key
+from outings.plans.itinerary import list_itinerary
 from outings.plans.packing import packing_suggestions
 from outings.plans.quality import count_orphans, default_checks, quality_report
 from outings.plans.search import global_search
@@ -72,3 +73,28 @@ def test_scan_reads_only_what_it_needs(t):
 
 def test_global_search_keeps_k_rows_per_task(t):
     assert "TakeOrderedAndProject" in plan(global_search(t("v_activities"), "museum", HashEmbedder(64)))
+
+
+def test_hot_join_key_is_split(spark):
+    """A third of the items refer to one activity: adaptive execution divides its partition."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        ids = spark.range(0, 300_000, 1, 8)
+        items = ids.select(F.col("id").alias("item_id"), (F.col("id") % 5000).alias("trip_id"),
+                           F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 997).alias("activity_id"),
+                           F.lit(None).cast("date").alias("day_date"), F.concat(F.lit("t"), F.col("id")).alias("title"),
+                           F.lit("planned").alias("status"), F.lit(1).alias("sort_order"))
+        activities = spark.range(0, 997).select(F.col("id").alias("activity_id"), (F.col("id") % 2 == 0).alias("is_outdoor"),
+                                                F.lit("c").alias("category"))
+        listed = list_itinerary(items, activities)
+        assert len(listed.collect()) == 300_000
+        assert "skew=true" in plan(listed)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -97,7 +97,7 @@ def _destinations_bootstrap(t):
 SELECT (SELECT max(destination_id) FROM {v_destinations} WHERE latitude >= 30)
        + row_number() OVER (ORDER BY left(md5(name), 3), name) AS destination_id, name,
        coalesce(nullif(geo_country, ''), catalog_country) AS country, concat('r-', name) AS admin_region, latitude,
-       longitude, 'UTC' AS timezone, coalesce(nullif(description, ''), 'a place') AS description, 'bootstrap' AS source
+       longitude, 'UTC' AS timezone, coalesce(nullif(description, ''), 'a place') AS description, 'phase8-bootstrap' AS source
 FROM {judged} WHERE status = 'inserted'""", JUDGED)
 def _destinations_inserted(t):
     return _bootstrap(t).destinations.changed.drop(CHANGE)
