@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outings.functions.scalars import blank_to_null, clamp_day, iso_date
-from outings.operators.keyed import latest_per_key, number_in_group, top_per_group
+from outings.operators.keyed import assign_ids, highest, latest_per_key, number_in_group, top_per_group
 from outings.schemas import REFERENCES
 
 CHANGE = "_change"
@@ -90,6 +90,17 @@ def insert_absent(target: DataFrame, source: DataFrame, keys: Sequence[str],
     return Mutation(target.withColumn(CHANGE, F.lit(None).cast("string")).unionByName(inserted))
 
 
+def insert_rows(target: DataFrame, rows: DataFrame, id_column: str, unique_key: Sequence[str],
+                values: Mapping[str, Column] | None = None) -> Mutation:
+    """Append rows with new ids after the highest one; columns the rows lack take ``values`` or null."""
+    values = dict(values or {})
+    numbered = assign_ids(rows, id_column, unique_key, highest(target, id_column))
+    columns = [(F.col(c) if c in numbered.columns else values.get(c, F.lit(None))).cast(f.dataType).alias(c)
+               for c, f in zip(target.columns, target.schema)]
+    inserted = numbered.select(*columns, F.lit("inserted").alias(CHANGE))
+    return Mutation(target.withColumn(CHANGE, F.lit(None).cast("string")).unionByName(inserted))
+
+
 def partial_update(target: DataFrame, changes: DataFrame, key: str, values: Mapping[str, Column]) -> Mutation:
     """Set ``values`` on the rows whose key is in ``changes``, which has one row per key.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from outings.functions.scalars import col
 from outings.functions.vectors import Embedder
-from outings.operators.mutation import Mutation, partial_update
+from outings.operators.mutation import Mutation, insert_rows, partial_update
 from outings.plans.search import rank_activities
 from outings.plans.weather import trip_weather
 from outings.settings import DEFAULTS, Settings
@@ -99,6 +99,16 @@ def generate_itinerary(trips: DataFrame, users: DataFrame, activities: DataFrame
         (~F.col("is_outdoor")).alias("indoor"))
 
 
+def apply_plan(items: DataFrame, plan: DataFrame, replaced: DataFrame | None = None,
+               now: Column | None = None) -> Mutation:
+    """The itinerary table with a generated plan; the items of the ``replaced`` trips go, planned anew or not."""
+    now = F.current_timestamp() if now is None else now
+    kept = items if replaced is None else items.join(replaced.select("trip_id"), "trip_id", "left_anti")
+    kept = kept.select(*items.columns)
+    return insert_rows(kept, plan, "item_id", ["trip_id", "day_date", "sort_order"],
+                       {"created_at": now, "updated_at": now})
+
+
 @dataclass(frozen=True)
 class Reschedule:
     changes: DataFrame

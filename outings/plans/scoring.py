@@ -7,6 +7,7 @@ scorer gives one row per run: run_id, task, passed, detail.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,3 +86,34 @@ def score(results: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     totals = results.groupBy(*per).agg(F.count_if("passed").alias("n_pass"), F.count(F.lit(1)).alias("n_tasks"))
     return totals.select(*per, F.concat(F.col("n_pass").cast("string"), F.lit("/"), F.col("n_tasks").cast("string"))
                          .alias("score"), F.bround(F.col("n_pass") / F.col("n_tasks"), 3).alias("pass_rate"))
+
+
+@dataclass(frozen=True)
+class Recording:
+    """What recorded runs left behind. Each run is asked to find indoor activities, reschedule for the weather,
+    build a packing list, add one item, and judge the air; ``transcript`` has the ``task`` of every step.
+
+    The snapshots have ``run_id`` in place of the trip; items also have ``is_outdoor``.
+    """
+
+    transcript: DataFrame
+    reschedule: tuple[DataFrame, DataFrame]
+    packing: tuple[DataFrame, DataFrame]
+    addition: tuple[DataFrame, DataFrame]
+    bad_days: DataFrame
+
+
+def evaluate_runs(runs: DataFrame, recording: Recording) -> DataFrame:
+    """The results of every run in the six tasks."""
+    def steps(task: str) -> DataFrame:
+        return recording.transcript.where(F.col("task") == task)
+
+    return combine([
+        tool_fired(runs, steps("retrieval"), "retrieval: searches for indoor activities", "search_activities"),
+        no_outdoor_on_bad_day(runs, *recording.reschedule, recording.bad_days,
+                              "reschedule: no outdoor item left on a bad day"),
+        every_change_has_reason(runs, recording.reschedule[1], "reschedule: every change has a reason"),
+        count_change(runs, *recording.packing, "packing: list is created"),
+        count_change(runs, *recording.addition, "add: exactly one item added", 1),
+        tool_fired(runs, steps("grounding"), "grounding: checks weather before answering", "weather_by_day"),
+    ])

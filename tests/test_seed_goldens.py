@@ -9,9 +9,10 @@ from outings.functions.scalars import (aqi_label, blank_to_null, clamp_day, clas
                                        month_day, page_slug, round_half_up, to_whole)
 from outings.functions.vectors import HashEmbedder
 from outings.plans.embedding import embed_activities, embed_destinations, embed_users, embedding_coverage
-from outings.plans.itinerary import generate_itinerary, reschedule_for_weather
+from outings.plans.itinerary import apply_plan, generate_itinerary, reschedule_for_weather
 from outings.plans.packing import pack, packing_suggestions, with_packing_ids
 from outings.plans.quality import QualityGateError, default_checks, gate, quality_report, report_summary
+from outings.plans.scoring import Recording, evaluate_runs, score
 from outings.plans.search import trip_search
 from outings.plans.views import distinct_counts, items_per_day, row_counts, scale_summary, trip_bundle, trip_header
 from outings.plans.weather import trip_weather
@@ -179,6 +180,46 @@ def test_itinerary(embedded):
     assert min(r.sort_order for r in again.collect() if r.trip_id == 1) == 4
 
 
+def test_plan_replaces_items(embedded):
+    trips = embedded["trips"].where("trip_id < 3")
+    plan = generate_itinerary(trips, embedded["users"], embedded["activities"], embedded["weather_snapshots"], EMBEDDER)
+    table = apply_plan(embedded["itinerary_items"], plan, trips).snapshot.collect()
+    assert len(table) == 8 and sorted(r.item_id for r in table) == list(range(1, 9)) and all(r.updated_at for r in table)
+    grown = apply_plan(embedded["itinerary_items"], plan)
+    assert grown.snapshot.count() == 17 and grown.changed.agg(F.min("item_id")).first()[0] == 10
+
+
+def test_recorded_runs(spark, embedded):
+    items = embedded["itinerary_items"].join(embedded["activities"].select("activity_id", "is_outdoor"), "activity_id")
+    done = reschedule_for_weather(embedded["trips"], embedded["itinerary_items"], embedded["activities"],
+                                  embedded["weather_snapshots"], EMBEDDER).items.snapshot
+    after = done.join(embedded["activities"].select("activity_id", "is_outdoor"), "activity_id")
+    bad = trip_weather(embedded["trips"], embedded["weather_snapshots"]).where("is_bad").select(
+        F.col("trip_id").alias("run_id"), F.col("forecast_date").alias("day_date"))
+
+    def runs_of(df):
+        return df.withColumnRenamed("trip_id", "run_id")
+
+    transcript = spark.createDataFrame([(1, "retrieval", 0, "search_activities", None), (1, "grounding", 0, "get_trip", None),
+                                        (2, "grounding", 0, "weather_by_day", "TimeoutError")],
+                                       "run_id long, task string, step int, tool string, error string")
+    none = runs_of(embedded["packing_items"]).limit(0)
+    recording = Recording(transcript, (runs_of(items), runs_of(after)), (none, runs_of(embedded["packing_items"])),
+                          (runs_of(items), runs_of(items).unionByName(runs_of(items).where("item_id = 1"))), bad)
+    results = evaluate_runs(embedded["trips"].select(F.col("trip_id").alias("run_id")), recording)
+    passed = {}
+    for r in results.collect():
+        passed.setdefault(r.run_id, {})[r.task.split(":")[0] + r.task[-6:]] = (r.passed, r.detail)
+    assert passed[1] == {"retrievalvities": (True, "tools=search_activities"),
+                         "reschedulead day": (True, "outdoor_before=4 still_on_bad_day_after=0"),
+                         "reschedulereason": (True, "rescheduled=1 with_reason=1"),
+                         "packingreated": (True, "before=0 after=6"), "add added": (True, "before=9 after=10"),
+                         "groundingwering": (False, "tools=get_trip")}
+    assert not any(ok for ok, _ in passed[2].values())
+    scores = {r.run_id: (r.score, r.pass_rate) for r in score(results, ["run_id"]).collect()}
+    assert scores[1] == ("5/6", 0.833) and scores[3] == ("0/6", 0.0)
+
+
 def test_bundle(seeds):
     header = trip_header(seeds["trips"], seeds["destinations"])
     weather = trip_weather(seeds["trips"], seeds["weather_snapshots"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from outings.operators.keyed import assign_ids, latest_per_key
 from outings.operators.mutation import (CHANGE, add_items, align_trips, delete_cascade, delete_rows, insert_absent,
-                                        move_items, snapshot_diff, swap_items, upsert)
+                                        insert_rows,                                        move_items, snapshot_diff, swap_items, upsert)
 from outings.plans.packing import pack, packing_suggestions
 from outings.plans.places import bootstrap_destinations
 from workload.registry import query
@@ -166,21 +166,41 @@ SELECT item_id AS request_id, trip_id, CASE WHEN status = 'done' THEN '' WHEN so
 FROM {v_items}"""
 
 
+PLACED = """
+SELECT q.*, CASE WHEN regexp_matches(q.day_date, '^[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]$')
+                       THEN greatest(t.start_date, least(t.end_date, TRY_CAST(q.day_date AS DATE))) ELSE t.start_date END AS day
+      FROM {requests} q JOIN {v_trips} t ON t.trip_id = q.trip_id"""
+
+
 @query("append_sort_order", """
 SELECT r.request_id, r.trip_id, CAST(r.day AS VARCHAR) AS day_date, coalesce(r.title, 'Untitled') AS title,
        a.activity_id, nullif(trim(r.start_time), '') AS start_time, r.end_time, r.notes, 'planned' AS status,
        CAST(coalesce(e.top, 0) + row_number() OVER (PARTITION BY r.trip_id, r.day ORDER BY r.request_id) AS INT) AS sort_order
-FROM (SELECT q.*, CASE WHEN regexp_matches(q.day_date, '^[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]$')
-                       THEN greatest(t.start_date, least(t.end_date, TRY_CAST(q.day_date AS DATE))) ELSE t.start_date END AS day
-      FROM {requests} q JOIN {v_trips} t ON t.trip_id = q.trip_id) r
+FROM {placed} r
 LEFT JOIN {v_activities} a ON a.activity_id = r.activity_id
 LEFT JOIN (SELECT trip_id, day_date, max(sort_order) AS top FROM {v_items} GROUP BY 1, 2) e
-  ON e.trip_id = r.trip_id AND e.day_date = r.day""", {"requests": REQUESTS})
+  ON e.trip_id = r.trip_id AND e.day_date = r.day""", {"requests": REQUESTS, "placed": PLACED})
 def _append_sort_order(t):
     requests = t.run(REQUESTS, v_items=t("v_items"))
     return add_items(t("v_items"), requests, t("v_trips"), t("v_activities"))
 
 
+@query("items_added", """
+SELECT item_id, trip_id, activity_id, CAST(day_date AS VARCHAR) AS day_date, title, status, sort_order, NULL AS change
+FROM {v_items}
+UNION ALL
+SELECT (SELECT max(item_id) FROM {v_items}) + row_number() OVER (ORDER BY left(md5(CAST(r.request_id AS VARCHAR)), 3), r.request_id),
+       r.trip_id, a.activity_id, CAST(r.day AS VARCHAR), coalesce(r.title, 'Untitled'), 'planned',
+       CAST(coalesce(e.top, 0) + row_number() OVER (PARTITION BY r.trip_id, r.day ORDER BY r.request_id) AS INT), 'inserted'
+FROM {placed} r LEFT JOIN {v_activities} a ON a.activity_id = r.activity_id
+LEFT JOIN (SELECT trip_id, day_date, max(sort_order) AS top FROM {v_items} GROUP BY 1, 2) e
+  ON e.trip_id = r.trip_id AND e.day_date = r.day""", {"requests": REQUESTS, "placed": PLACED})
+def _items_added(t):
+    requests = t.run(REQUESTS, v_items=t("v_items"))
+    added = add_items(t("v_items"), requests, t("v_trips"), t("v_activities"))
+    return insert_rows(t("v_items"), added, "item_id", ["request_id"]).frame.withColumnRenamed(CHANGE, "change")
+
+
 MOVES = """
 SELECT item_id, CASE WHEN sort_order = 1 THEN CAST(day_date + 1 AS STRING) WHEN sort_order = 2 THEN 'next week' END AS day_date,
        CAST(NULL AS STRING) AS start_time, CAST(NULL AS STRING) AS end_time,

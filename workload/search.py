@@ -9,7 +9,7 @@ from outings.functions.vectors import HashEmbedder
 from outings.operators.approximate import build_cells, search_buckets, search_cells
 from outings.operators.nearest import nearest_vectors
 from outings.plans.embedding import activity_text, destination_text, embed_missing, embedding_coverage
-from outings.plans.itinerary import generate_itinerary, reschedule_for_weather
+from outings.plans.itinerary import apply_plan, generate_itinerary, reschedule_for_weather
 from outings.plans.recall import evaluate_retrieval, recall_per_query, recall_report
 from outings.plans.search import PROBES, global_search, semantic_search
 from outings.settings import Settings
@@ -264,6 +264,26 @@ def _generate_itinerary(t):
                               Settings(activities_per_day=N))
 
 
+@query("itinerary_applied", """
+SELECT item_id, trip_id, activity_id, CAST(day_date AS VARCHAR) AS day_date, title, status, sort_order FROM {v_items}
+WHERE trip_id NOT IN (SELECT trip_id FROM {v_trips} WHERE status <> 'complete')
+UNION ALL
+SELECT (SELECT max(item_id) FROM {kept}) + row_number() OVER (
+         ORDER BY left(md5(concat_ws(chr(31), trip_id, day_date, pick)), 3), trip_id, day_date, pick),
+       trip_id, activity_id, CAST(day_date AS VARCHAR), name, 'planned', CAST(pick AS INT)
+FROM {planned} WHERE trip_id IN (SELECT trip_id FROM {v_trips} WHERE status <> 'complete')""", {
+    **PLAN_VIEWS, "planned": """
+SELECT * FROM {day0} UNION ALL SELECT * FROM {day1} UNION ALL SELECT * FROM {day2} UNION ALL SELECT * FROM {day3}""",
+    "kept": """
+SELECT item_id FROM {v_items} WHERE trip_id NOT IN (SELECT trip_id FROM {v_trips} WHERE status <> 'complete')"""})
+def _itinerary_applied(t):
+    """New plans for the trips still ahead; those that are over keep their items."""
+    ahead = t("v_trips").where("status <> 'complete'")
+    plan = generate_itinerary(ahead, _interests(t), t("v_activities"), t("v_weather"), EMBEDDER,
+                              Settings(activities_per_day=N))
+    return apply_plan(t("v_items"), plan, ahead).snapshot
+
+
 CHANGE_VIEWS = {
     **TRIP_DAY_VIEWS,
     "affected": """
