@@ -25,6 +25,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Co
     return top_per_group(df, keys, newest_first, 1)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, on: Sequence[str], spread_by: str, parts: int = 32) -> DataFrame:
+    """Left join with facts about groups, one row per group, where a group may hold a large share of the rows.
+
+    Every group is joined in ``parts`` parts by the hash of ``spread_by``, a column that differs between its rows, so
+    neither the join nor what is grouped more finely after it finds a whole group in one task.
+    """
+    part = F.pmod(F.hash(spread_by), F.lit(parts))
+    copies = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_part", part).join(copies, [*on, "_part"], "left").drop("_part")
+
+
 def number_in_group(df: DataFrame, group: Sequence[str], sequence: str, name: str,
                     block_rows: int = 1_000_000) -> DataFrame:
     """Number the rows of every group 1, 2, 3 ... by a unique whole-number column.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from outings.operators.keyed import top_per_group
+from outings.operators.keyed import join_groups, top_per_group
 
 Rows = pa.RecordBatch
 Cost = Callable[[Rows, Rows], np.ndarray]
@@ -45,9 +45,13 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
     right = right.select(*group, F.col(right_id).alias("_right"), *right_values)
     blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
     if group:
+        left, right = left.dropna(subset=group), right.dropna(subset=group)
         sizes = (left.groupBy(*group).agg(blocks.alias("_left_blocks"))
                  .join(right.groupBy(*group).agg(blocks.alias("_right_blocks")), group))
-        sized_left, sized_right = left.join(sizes, group), right.join(sizes, group)
+        large = sizes.where((F.col("_left_blocks") > 1) | (F.col("_right_blocks") > 1))
+        sized_left, sized_right = (
+            join_groups(side, large, group, identifier).na.fill(1, ["_left_blocks", "_right_blocks"])
+            for side, identifier in ((left, "_left"), (right, "_right")))
     else:
         numbers = {"_left_blocks": left.agg(blocks).scalar(), "_right_blocks": right.agg(blocks).scalar()}
         sized_left, sized_right = left.withColumns(numbers), right.withColumns(numbers)

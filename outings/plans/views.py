@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outings.functions.scalars import blurb
+from outings.operators.keyed import join_groups
 
 PAGE_ROWS = 1000
 
@@ -29,8 +30,9 @@ def list_destinations(destinations: DataFrame) -> DataFrame:
 def _page_numbers(rows: DataFrame, group: list[str], page_rows: int) -> DataFrame:
     """Spread the rows of a group over pages of about ``page_rows`` by their key hash; a small group has page 0."""
     pages = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("_pages"))
-    return (rows.join(pages, group)
-            .withColumn("page", F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int")).drop("_pages", "_key"))
+    paged = join_groups(rows, pages.where(F.col("_pages") > 1), group, "_key")
+    page = F.coalesce(F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int"), F.lit(0))
+    return paged.withColumn("page", page).drop("_pages", "_key")
 
 
 def trip_bundle(header: DataFrame, weather: DataFrame, items: DataFrame, packing: DataFrame,

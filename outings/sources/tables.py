@@ -17,9 +17,6 @@ from outings.settings import DEFAULTS, Settings
 
 log = logging.getLogger(__name__)
 
-# A partition is written by up to this many tasks, so that one with most of the rows does not wait for one task.
-FILES_PER_PARTITION = 16
-
 
 def read_table(spark: SparkSession, location: str, table: str | None = None) -> DataFrame:
     """Read Parquet files; the columns of a known table are read with its declared types."""
@@ -90,7 +87,7 @@ def save(df: DataFrame, table: str, mode: str, catalog: str | None = None, schem
             spark.sql(f"CREATE SCHEMA IF NOT EXISTS {where}")
         except Exception as error:
             log.warning("cannot create %s, using it as it is: %s", where, error)
-        writer = df.write.mode(mode).format("parquet")
+        writer = (by_partition(df, partition_by) if partition_by else df).write.mode(mode).format("parquet")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.saveAsTable(name)
@@ -105,7 +102,7 @@ def save(df: DataFrame, table: str, mode: str, catalog: str | None = None, schem
 def append_bronze(df: DataFrame, path: str, now=None) -> None:
     """Append raw rows with the time of the ingest, in one folder per ingest day."""
     stamped = df.withColumn("_ingested_at", F.current_timestamp() if now is None else now)
-    (stamped.withColumn("_ingest_date", F.to_date("_ingested_at"))
+    (by_partition(stamped.withColumn("_ingest_date", F.to_date("_ingested_at")), "_ingest_date")
      .write.mode("append").partitionBy("_ingest_date").parquet(path))
 
 
@@ -122,15 +119,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def write_snapshot(df: DataFrame, root: str, partition_by: str | None = None) -> str:
     """Write a new snapshot next to the older ones and return its path; nothing that is being read is touched."""
     path = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if partition_by:
+        by_partition(df, partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return path
 
 
+def by_partition(df: DataFrame, column: str) -> DataFrame:
+    """Rows of a partition together, in tasks of the advisory size: few files, and a large partition is split."""
+    return df.hint("rebalance", column)
+
+
 def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:
     """Replace the partitions that ``df`` has rows for and leave the others; ``df`` must not be read from ``path``."""
-    (df.repartition(partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_PARTITION)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
+    (by_partition(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_by).parquet(path))
 
 
 def materialized(df: DataFrame, purpose: str) -> DataFrame:

@@ -12,6 +12,7 @@ from outings.plans.packing import packing_suggestions
 from outings.plans.quality import count_orphans, default_checks, quality_report
 from outings.plans.search import global_search
 from outings.plans.weather import silver_weather, trip_weather
+from outings.sources.tables import by_partition
 import __spark_entry__ as spark_entry
 from workload.registry import Session
 
@@ -98,3 +99,8 @@ def test_hot_join_key_is_split(spark):
         for key in small:
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_partition_writes_are_rebalanced(spark):
+    shape = plan(by_partition(spark.range(10).withColumn("day", F.col("id") % 2), "day"))
+    assert "REBALANCE_PARTITIONS_BY_COL" in shape and "hashpartitioning(day" in shape
