@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import os
+import tempfile
+import zipfile
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +31,26 @@ def apply_sql_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_packages(spark: SparkSession, *packages: str) -> None:
+    """Send Python packages to the workers, once per application, so that plans with Python parts run on executors
+    where they are not installed. Always includes this one."""
+    context = spark.sparkContext
+    for name in ("outings", *packages):
+        key = f"{context.applicationId}/{name}"
+        if key in _shipped:
+            continue
+        folder = Path(importlib.import_module(name).__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(folder.rglob("*.py")):
+                out.write(file, file.relative_to(folder.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(key)
+
+
 @dataclass(frozen=True)
 class Settings:
     rain_prob_threshold: int = 60

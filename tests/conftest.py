@@ -10,7 +10,7 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from outings.settings import apply_sql_settings
+    from outings.settings import apply_sql_settings, ship_packages
 
     warehouse = tmp_path_factory.mktemp("warehouse")
     builder = (SparkSession.builder.master("local[8]").appName("outings-tests")
@@ -21,7 +21,8 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     if not session.conf.get("spark.checkpoint.dir", None):
         session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    yield apply_sql_settings(session)
+    ship_packages(apply_sql_settings(session))
+    yield session
     session.stop()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.settings import apply_sql_settings
+from outings.settings import apply_sql_settings, ship_packages
 from workload.standins import sql, table
 
 Tables = Callable[[str], DataFrame]
@@ -22,6 +22,7 @@ def query(name: str, oracle: str | None = None, ctes: dict[str, str] | None = No
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_sql_settings(spark)
+            ship_packages(spark, "workload")
             return plain(build(Session(spark, sf_dir)))
 
         QUERIES[name] = run
