@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outings.sources.tables import materialized
+
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
                   rank: str | None = None) -> DataFrame:
@@ -25,15 +27,23 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Co
     return top_per_group(df, keys, newest_first, 1)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: Sequence[str], spread_by: str, parts: int = 32) -> DataFrame:
-    """Left join with facts about groups, one row per group, where a group may hold a large share of the rows.
+# Groups, of a few numbers each, that may be broadcast.
+BROADCAST_GROUPS = 100_000
+
+
+def join_groups(groups: DataFrame, on: Sequence[str], *sides: tuple[DataFrame, str], parts: int = 32) -> list[DataFrame]:
+    """Left join of each side with facts about its large groups, one row per group.
 
-    Every group is joined in ``parts`` parts by the hash of ``spread_by``, a column that differs between its rows, so
-    neither the join nor what is grouped more finely after it finds a whole group in one task.
+    The groups are computed once and counted. Up to ``BROADCAST_GROUPS`` of them are broadcast, so the rows stay where
+    they are. Beyond that every group is joined in ``parts`` parts by the hash of the column named next to a side,
+    which differs between the rows of a group; so no task gets a whole group.
     """
-    part = F.pmod(F.hash(spread_by), F.lit(parts))
+    groups = materialized(groups, "large-groups")
+    if groups.count() <= BROADCAST_GROUPS:
+        return [rows.join(F.broadcast(groups), list(on), "left") for rows, _ in sides]
     copies = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return rows.withColumn("_part", part).join(copies, [*on, "_part"], "left").drop("_part")
+    return [rows.withColumn("_part", F.pmod(F.hash(spread_by), F.lit(parts)))
+            .join(copies, [*on, "_part"], "left").drop("_part") for rows, spread_by in sides]
 
 
 def number_in_group(df: DataFrame, group: Sequence[str], sequence: str, name: str,

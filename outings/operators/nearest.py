@@ -49,9 +49,8 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
         sizes = (left.groupBy(*group).agg(blocks.alias("_left_blocks"))
                  .join(right.groupBy(*group).agg(blocks.alias("_right_blocks")), group))
         large = sizes.where((F.col("_left_blocks") > 1) | (F.col("_right_blocks") > 1))
-        sized_left, sized_right = (
-            join_groups(side, large, group, identifier).na.fill(1, ["_left_blocks", "_right_blocks"])
-            for side, identifier in ((left, "_left"), (right, "_right")))
+        sized_left, sized_right = (side.na.fill(1, ["_left_blocks", "_right_blocks"]) for side in join_groups(
+            large, group, (left, "_left"), (right, "_right")))
     else:
         numbers = {"_left_blocks": left.agg(blocks).scalar(), "_right_blocks": right.agg(blocks).scalar()}
         sized_left, sized_right = left.withColumns(numbers), right.withColumns(numbers)

@@ -30,7 +30,7 @@ def list_destinations(destinations: DataFrame) -> DataFrame:
 def _page_numbers(rows: DataFrame, group: list[str], page_rows: int) -> DataFrame:
     """Spread the rows of a group over pages of about ``page_rows`` by their key hash; a small group has page 0."""
     pages = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("_pages"))
-    paged = join_groups(rows, pages.where(F.col("_pages") > 1), group, "_key")
+    (paged,) = join_groups(pages.where(F.col("_pages") > 1), group, (rows, "_key"))
     page = F.coalesce(F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int"), F.lit(0))
     return paged.withColumn("page", page).drop("_pages", "_key")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from outings.functions.geo import EARTH_RADIUS_M, haversine_m
 from outings.functions.vectors import HashEmbedder, cosine_similarity, embed
+from outings.operators import keyed
 from outings.operators.approximate import build_cells, load_cells, search_buckets, search_cells, store_cells
 from outings.operators.nearest import nearest_vectors
 from outings.operators.places import places_within_radius
@@ -39,8 +40,11 @@ def brute(queries, corpus, k, grouped):
     return {q: found for q, found in best.items() if found}
 
 
-@pytest.mark.parametrize("on,block_rows", [([], 7), (["g"], 7), (["g"], 1024)])
-def test_exact_search(spark, on, block_rows):
+@pytest.mark.parametrize("on,block_rows,salted", [([], 7, False), (["g"], 7, False), (["g"], 7, True),
+                                                  (["g"], 1024, False)])
+def test_exact_search(spark, monkeypatch, on, block_rows, salted):
+    if salted:
+        monkeypatch.setattr(keyed, "BROADCAST_GROUPS", 0)
     queries, q = vectors(spark, 60, 1, "query_id", "query_vector", 5)
     corpus, c = vectors(spark, 150, 2, "item_id", "embedding", 5)
     got = {}
