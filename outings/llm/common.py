@@ -155,22 +155,30 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_WORD = np.ones(256, np.int8)
+_WORD[[32, 9, 10, 11, 12, 13]] = 0
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of a byte array."""
+def token_hashes(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, 64-bit hash and class of every run of bytes of one class; class 0 separates."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
-    starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    kind = classes[data]
+    starts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+    stops = np.append(starts[1:], len(kind))
+    own = kind[starts]
+    starts, stops, own = starts[own > 0], stops[own > 0], own[own > 0]
     up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
         hashes = (total[stops] - total[starts]) * down[starts]
-        return starts, mixed(hashes + (stops - starts).astype(np.uint64) * MIX_1)
+        return starts, mixed(hashes + (stops - starts).astype(np.uint64) * MIX_1), own
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of a byte array."""
+    return token_hashes(data, _WORD)[:2]
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -186,7 +194,7 @@ def within_bitmap(keys: DataFrame, key: str, bits: int = 20) -> Callable[[DataFr
     """
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     words = (keys.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("_word"))
-             .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("_bits")))
+             .agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS int)))").alias("_bits")))
 
     def only(df: DataFrame, value: Column) -> DataFrame:
         at = F.pmod(F.xxhash64(value), F.lit(1 << bits))
@@ -197,14 +205,35 @@ def within_bitmap(keys: DataFrame, key: str, bits: int = 20) -> Callable[[DataFr
     return only
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one partition as stars around the smallest node of each of its components."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    stars = [(x, root(x)) for x in list(parent)]
+    u, v = [x for x, r in stars if x != r], [r for x, r in stars if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def connected(links: DataFrame, contract: bool = False, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); root is the smallest node that can be reached.
 
     Alternates large stars and small stars; each round is aggregations and joins on node ids and is written to the
-    shared folder, so that no lineage grows. The loop ends when a round changes nothing.
+    shared folder, so that no lineage grows. The loop ends when a round changes nothing. ``contract`` first reduces the
+    links of every partition to stars, in Python, which saves rounds.
     """
-    edges = materialized(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                         .where("u <> v").distinct(), "links")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = materialized(edges.mapInArrow(_contract, "u long, v long") if contract else edges, "links")
     before = None
     for _ in range(rounds):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -30,6 +30,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_vector_approximation_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from outings.llm.token_counts import token_counts
@@ -37,6 +51,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.language import fit, predict
+
+    docs = read(spark, sf_dir, "documents")
+    return predict(docs, fit(docs))
+
+
+@query("op4_lsh_forest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.near_dups import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op5_fuzzy_lines")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.lines import dedup_report
+
+    return dedup_report(read(spark, sf_dir, "documents"))
+
+
 @query("op6_rule_ledger", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -66,6 +102,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_rows(read(spark, sf_dir, "documents"))
 
 
+@query("op7_vector_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op8_piece_digests")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.pieces import piece_digests
+
+    return piece_digests(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op9_ordinal_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.quality import fit, grade_documents, graded
+
+    docs = read(spark, sf_dir, "documents")
+    return grade_documents(docs, fit(docs, graded(read(spark, sf_dir, "labels"))))
+
+
 @query("op10_feistel_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from outings.llm.shards import shard_rows
