@@ -193,8 +193,8 @@ def neighbours(rows: DataFrame, forest: Forest, reach: int) -> DataFrame:
     found = materialized(ordered.select(*names).mapInArrow(run, f"a long, b long, {kinds}"), "neighbours")
     edges = found.where("a is null").select(*names).distinct()
     side = Window.partitionBy("o").orderBy("k1", "k2", "cls")
-    later = F.explode(F.array(*[F.lead(F.struct(*names), d).over(side) for d in range(1, reach + 1)]))
-    part = edges.select("*", later.alias("later")).where("later is not null")
+    later = F.array(*[F.lead(F.struct(*names), d).over(side) for d in range(1, reach + 1)])
+    part = edges.withColumn("all_later", later).withColumn("later", F.explode("all_later")).where("later is not null")
     part = part.where(F.shiftrightunsigned(F.col("k1").bitwiseXOR(F.col("later.k1")), shift) == 0)
     one, other = (("comp", "hub"), ("cls", "hub")) if has_comp else (("cls",), ("cls",))
     part = part.where(F.col(one[0]) != F.col(f"later.{one[0]}")).select(F.inline(F.array(*[
