@@ -25,10 +25,6 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def unit_vector(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
 class HashEmbedder:
     """Offline embedder: unit-length counts of the words, each hashed to one of ``dim`` places.
 

@@ -27,23 +27,14 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Co
     return top_per_group(df, keys, newest_first, 1)
 
 
-# Groups, of a few numbers each, that may be broadcast.
-BROADCAST_GROUPS = 100_000
-
-
-def join_groups(groups: DataFrame, on: Sequence[str], *sides: tuple[DataFrame, str], parts: int = 32) -> list[DataFrame]:
+def join_groups(groups: DataFrame, on: Sequence[str], *sides: DataFrame) -> list[DataFrame]:
     """Left join of each side with facts about its large groups, one row per group.
 
-    The groups are computed once and counted. Up to ``BROADCAST_GROUPS`` of them are broadcast, so the rows stay where
-    they are. Beyond that every group is joined in ``parts`` parts by the hash of the column named next to a side,
-    which differs between the rows of a group; so no task gets a whole group.
+    The groups are written once, so that Spark knows their size in bytes when it plans the joins: few are broadcast, many
+    are joined by key, where adaptive execution splits a key that many rows share.
     """
     groups = materialized(groups, "large-groups")
-    if groups.count() <= BROADCAST_GROUPS:
-        return [rows.join(F.broadcast(groups), list(on), "left") for rows, _ in sides]
-    copies = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return [rows.withColumn("_part", F.pmod(F.hash(spread_by), F.lit(parts)))
-            .join(copies, [*on, "_part"], "left").drop("_part") for rows, spread_by in sides]
+    return [rows.join(groups, list(on), "left") for rows in sides]
 
 
 def number_in_group(df: DataFrame, group: Sequence[str], sequence: str, name: str,

@@ -50,7 +50,7 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
                  .join(right.groupBy(*group).agg(blocks.alias("_right_blocks")), group))
         large = sizes.where((F.col("_left_blocks") > 1) | (F.col("_right_blocks") > 1))
         sized_left, sized_right = (side.na.fill(1, ["_left_blocks", "_right_blocks"]) for side in join_groups(
-            large, group, (left, "_left"), (right, "_right")))
+            large, group, left, right))
     else:
         numbers = {"_left_blocks": left.agg(blocks).scalar(), "_right_blocks": right.agg(blocks).scalar()}
         sized_left, sized_right = left.withColumns(numbers), right.withColumns(numbers)
@@ -134,20 +134,31 @@ def _complete(block: pa.StructArray) -> Rows:
     return rows
 
 
-def matrix(rows: Rows, column: str) -> np.ndarray:
-    """A list column as a matrix, without a Python object per row."""
-    return rows.column(column).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1).astype(np.float64)
+def matrix(rows: Rows, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as a matrix, without a Python object per row, and the length of every list. Shorter lists are
+    filled with zeros."""
+    lists = rows.column(column)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = int(lengths.max(initial=0))
+    if (lengths == width).all():
+        return values.reshape(rows.num_rows, width), lengths
+    out = np.zeros((rows.num_rows, width))
+    out[np.arange(width) < lengths[:, None]] = values
+    return out, lengths
 
 
 def cosine_cost(left_vector: str, right_vector: str, digits: int = 9) -> Cost:
-    """Minus the cosine similarity. Rounding makes equal similarities equal, whatever the order of the sums."""
+    """Minus the cosine similarity; vectors of different lengths are no partners. Rounding makes equal similarities
+    equal, whatever the order of the sums."""
 
     def cost(left: Rows, right: Rows) -> np.ndarray:
-        a, b = matrix(left, left_vector), matrix(right, right_vector)
+        (a, a_length), (b, b_length) = matrix(left, left_vector), matrix(right, right_vector)
+        width = min(a.shape[1], b.shape[1])
         with np.errstate(invalid="ignore", divide="ignore"):
             a = a / np.linalg.norm(a, axis=1, keepdims=True)
             b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        return -np.round(a @ b.T, digits)
+        return np.where(a_length[:, None] == b_length, -np.round(a[:, :width] @ b[:, :width].T, digits), np.nan)
 
     return cost
 
@@ -156,7 +167,8 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int, on: Sequence[
                     query_id: str = "query_id", query_vector: str = "query_vector", item_id: str = "item_id",
                     item_vector: str = "embedding", k_column: str | None = None,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact top-k by cosine similarity: the ``on`` columns, query id, item id, similarity and rank."""
+    """Exact top-k by cosine similarity: the ``on`` columns, query id, item id, similarity and rank. A query meets only
+    vectors of its own length."""
     left = queries.withColumnRenamed(query_vector, "_query_vector")
     right = corpus.where(F.col(item_vector).isNotNull()).withColumnRenamed(item_vector, "_item_vector")
     found = best_partners(left, right, on, query_id, item_id, k, cosine_cost("_query_vector", "_item_vector"),

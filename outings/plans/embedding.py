@@ -11,6 +11,7 @@ from outings.functions.scalars import joined
 from outings.functions.vectors import Embedder, embed
 from outings.operators.mutation import CHANGE, Mutation
 from outings.settings import DEFAULTS, Settings
+from outings.sources.fetch import spread
 
 
 def destination_text() -> Column:
@@ -24,13 +25,12 @@ def activity_text(*columns: str) -> Column:
 def embed_missing(df: DataFrame, text: Column, vector: str, embedder: Embedder,
                   settings: Settings = DEFAULTS, eligible: Column | None = None) -> Mutation:
     """Fill the null vectors of the eligible rows. Only rows that need a vector reach the embedder; they are dealt
-    out evenly over the cores, as new rows tend to lie together. Key and vector travel in one row, so nothing is
+    out evenly in tasks of a few requests, as new rows tend to lie together. Key and vector travel in one row, so nothing is
     joined."""
     eligible = F.lit(True) if eligible is None else eligible
     needed = F.col(vector).isNull() & F.coalesce(eligible, F.lit(False))
     kept = df.where(~needed).withColumn(CHANGE, F.lit(None).cast("string"))
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    filled = (df.where(needed).repartition(tasks).withColumn(vector, embed(text, embedder, settings.embed_batch))
+    filled = (spread(df.where(needed), 4 * settings.embed_batch).withColumn(vector, embed(text, embedder, settings.embed_batch))
               .withColumn(CHANGE, F.lit("updated")))
     return Mutation(kept.unionByName(filled))
 

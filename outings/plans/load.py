@@ -22,22 +22,23 @@ def _counted(df: DataFrame, purpose: str) -> tuple[DataFrame, int]:
 
 
 def run_load(payloads: DataFrame, page_payloads: DataFrame, tables: Mapping[str, DataFrame],
-             settings: Settings = DEFAULTS, how: str = "full", check: bool = False) -> dict:
+             settings: Settings = DEFAULTS, how: str = "full", check: bool = False, on_error: str = "warn") -> dict:
     """Parse the payloads, save bronze and silver, and give the new serving tables with row counts.
 
     ``payloads``: destination_id, weather, air. ``page_payloads``: destination_id, latitude, longitude, payload.
-    Each stage is computed once, into the shared folder. With ``check`` a failed quality check raises.
+    Each stage is computed once, into the shared folder. With ``check`` a failed quality check raises, with
+    ``on_error="raise"`` a table that cannot be written.
     """
     hours = join_hours(weather_hours(payloads, "weather"), air_hours(payloads, "air"), how)
     bronze, fetched = _counted(hours.withColumn("_ingested_at", F.current_timestamp()), "weather-bronze")
-    bronze_table = save(bronze, "weather_bronze", "append", settings=settings, partition_by="forecast_date")
+    bronze_table = save(bronze, "weather_bronze", "append", settings=settings, partition_by="forecast_date", on_error=on_error)
     silver, silver_rows = _counted(silver_weather(bronze).drop("_ingested_at"), "weather-silver")
-    silver_table = save(silver, "weather_silver", "overwrite", settings=settings, partition_by="forecast_date")
+    silver_table = save(silver, "weather_silver", "overwrite", settings=settings, partition_by="forecast_date", on_error=on_error)
     weather = materialized(upsert_weather(tables["weather_snapshots"], silver).frame, "weather-serving")
 
     places = ingest_attractions(page_payloads, tables["activities"])
     pages, page_rows = _counted(places.bronze, "attractions-bronze")
-    pages_table = save(pages, "attractions_bronze", "append", settings=settings)
+    pages_table = save(pages, "attractions_bronze", "append", settings=settings, on_error=on_error)
     activities = materialized(places.activities.frame, "activities")
     inserted = activities.where(F.col("_change") == "inserted").count()
 

@@ -9,6 +9,7 @@ from outings.functions.scalars import round_half_up
 from outings.functions.vectors import Embedder, cosine_similarity, embed
 from outings.operators.nearest import nearest_vectors
 from outings.settings import DEFAULTS
+from outings.sources.fetch import spread
 from outings.sources.tables import materialized
 
 # Probe texts of the retrieval report.
@@ -25,10 +26,8 @@ PROBES = (
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder, batch: int = DEFAULTS.embed_batch) -> DataFrame:
-    """Adds ``query_vector``. Every distinct ``query`` text is embedded once, by as many tasks as there are cores;
-    the result is written out, so that later uses do not call the embedder again."""
-    tasks = queries.sparkSession.sparkContext.defaultParallelism
-    texts = queries.select("query").distinct().repartition(tasks)
+    """Adds ``query_vector``. Every distinct ``query`` text is embedded once, in tasks of a few requests; the result is written out, so that later uses do not call the embedder again."""
+    texts = spread(queries.select("query").distinct(), 4 * batch)
     vectors = texts.withColumn("query_vector", embed("query", embedder, batch))
     return materialized(queries.join(vectors, "query"), "query-vectors")
 
@@ -81,7 +80,8 @@ def global_search(activities: DataFrame, query: str, embedder: Embedder, k: int
     similarity = F.round(cosine_similarity(F.col("requirements_embedding"), vector), 9)
     return (activities.where(F.col("requirements_embedding").isNotNull())
             .select("activity_id", "name", "category", "is_outdoor", similarity.alias("similarity"))
-            .orderBy(F.col("similarity").desc_nulls_last(), "activity_id").limit(k)
+            .where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
+            .orderBy(F.col("similarity").desc(), "activity_id").limit(k)
             .withColumn("similarity", round_half_up("similarity", 3)))
 
 

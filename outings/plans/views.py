@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outings.functions.scalars import blurb
-from outings.operators.keyed import join_groups
-
-PAGE_ROWS = 1000
 
 
 def trip_header(trips: DataFrame, destinations: DataFrame) -> DataFrame:
@@ -27,54 +24,40 @@ def list_destinations(destinations: DataFrame) -> DataFrame:
                     blurb("description").alias("blurb")))
 
 
-def _page_numbers(rows: DataFrame, group: list[str], page_rows: int) -> DataFrame:
-    """Spread the rows of a group over pages of about ``page_rows`` by their key hash; a small group has page 0."""
-    pages = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("_pages"))
-    (paged,) = join_groups(pages.where(F.col("_pages") > 1), group, (rows, "_key"))
-    page = F.coalesce(F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int"), F.lit(0))
-    return paged.withColumn("page", page).drop("_pages", "_key")
-
-
-def trip_bundle(header: DataFrame, weather: DataFrame, items: DataFrame, packing: DataFrame,
-                page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Each trip with its weather days, items and packing list as one nested record.
+def trip_bundle(header: DataFrame, weather: DataFrame, items: DataFrame, packing: DataFrame) -> DataFrame:
+    """Each trip with its weather days, items and packing list, as one nested record per trip, section and day.
 
-    A trip with more items and packing entries than a page holds gets several records, numbered by ``page``, so
-    that no record and no task grows with the trip. Every entry is in exactly one page, and the lists of a page are
-    in display order. The weather, which the length of the trip bounds, is in page 0.
+    ``section`` is "weather", "itinerary" or "packing", and the list of that name holds the entries in display order; a
+    packing list has no day. The layout is the same whatever the size of a trip, a record grows with one day or packing
+    list only, and records in the order of (section, day) are the whole trip. A trip without entries has one record
+    without a section. All entries meet in one aggregation.
     """
     sections = {"weather": weather, "itinerary": items, "packing": packing}
-    order = {"weather": ["forecast_date"], "itinerary": ["day_date", "sort_order", "item_id"],
-             "packing": ["category", "item_name"]}
+    order = {"weather": ["forecast_date"], "itinerary": ["sort_order", "item_id"], "packing": ["category", "item_name"]}
+    day = {"weather": F.col("forecast_date"), "itinerary": F.col("day_date"), "packing": F.lit(None)}
     entry = {name: F.struct(*order[name], *[c for c in df.columns
                                             if c not in (*order[name], "trip_id", "destination_id")])
              for name, df in sections.items()}
 
-    def rows(name: str, *extra: Column) -> DataFrame:
+    def rows(name: str) -> DataFrame:
         entries = [(entry[n] if n == name else _null_like(sections[n], entry[n])).alias(n) for n in sections]
-        return sections[name].select("trip_id", *extra, *entries)
+        return sections[name].select("trip_id", F.lit(name).alias("section"), day[name].cast("date").alias("day"), *entries)
 
-    countable = (rows("itinerary", F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("_key"))
-                 .unionByName(rows("packing", F.concat(F.lit("p"), F.col("item_name")).alias("_key"))))
-    entries = (_page_numbers(countable, ["trip_id"], page_rows)
-               .unionByName(rows("weather", F.lit(0).alias("page"))))
+    entries = rows("weather").unionByName(rows("itinerary")).unionByName(rows("packing"))
     lists = [F.sort_array(F.collect_list(name)).alias(name) for name in sections]
-    pages = entries.groupBy("trip_id", "page").agg(*lists)
-    return (header.join(pages, "trip_id", "left")
-            .withColumn("page", F.coalesce("page", F.lit(0))))
+    return header.join(entries.groupBy("trip_id", "section", "day").agg(*lists), "trip_id", "left")
 
 
 def _null_like(df: DataFrame, struct: Column) -> Column:
     return F.lit(None).cast(df.select(struct.alias("x")).schema["x"].dataType)
 
 
-def itinerary_by_day(items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """The items of every trip day as one ordered list, in pages like those of a trip record."""
+def itinerary_by_day(items: DataFrame) -> DataFrame:
+    """The items of every trip day as one list in display order."""
     columns = ["sort_order", "item_id", *[c for c in items.columns
                                           if c not in ("sort_order", "item_id", "trip_id", "day_date")]]
-    rows = items.select("trip_id", "day_date", F.col("item_id").alias("_key"), F.struct(*columns).alias("item"))
-    return (_page_numbers(rows, ["trip_id", "day_date"], page_rows).groupBy("trip_id", "day_date", "page")
-            .agg(F.sort_array(F.collect_list("item")).alias("items")))
+    return (items.groupBy("trip_id", "day_date")
+            .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("items")))
 
 
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:

@@ -12,13 +12,22 @@ from pyspark.sql.types import StructType
 Fetcher = Callable[[dict], dict[str, str | None]]
 
 
+def spread(rows: DataFrame, per_task: int, partitions: int | None = None) -> DataFrame:
+    """The rows dealt out to tasks of about ``per_task`` rows, by a hash of the whole row."""
+    if partitions is None:
+        partitions = max(1, -(-rows.count() // per_task))
+    hashed = [f.name for f in rows.schema if f.dataType.typeName() != "map"]
+    return rows.repartition(partitions, F.xxhash64(*hashed))
+
+
 def fetch_payloads(requests: DataFrame, fetcher: Fetcher, payloads: tuple[str, ...] = ("payload",),
-                   key: str = "destination_id", partitions: int = 8) -> DataFrame:
+                   per_task: int = 32, partitions: int | None = None) -> DataFrame:
     """Call ``fetcher`` once per request row; it gets the row as a dict and returns the named payloads.
 
     The request columns come first. A call that raises gives null payloads and its message in ``error``, so
-    nothing is lost; ``where("error IS NULL")`` are the answers. Rows are spread by ``key``. Write the result before
-    using it more than once: a recomputed task calls the service again.
+    nothing is lost; ``where("error IS NULL")`` are the answers. Rows are dealt out evenly, about ``per_task`` to a
+    task, so the number of tasks follows the number of requests. Write the result before using it more than once: a
+    recomputed task calls the service again.
     """
     schema = StructType(list(requests.schema.fields))
     for name in (*payloads, "error"):
@@ -37,4 +46,4 @@ def fetch_payloads(requests: DataFrame, fetcher: Fetcher, payloads: tuple[str, .
                                    columns=[*payloads, "error"], index=chunk.index, dtype=object)
             yield pd.concat([chunk, answers], axis=1)
 
-    return requests.repartition(partitions, F.col(key)).mapInPandas(run, schema)
+    return spread(requests, per_task, partitions).mapInPandas(run, schema)

@@ -16,11 +16,10 @@ def spark(tmp_path_factory):
     builder = (SparkSession.builder.master("local[8]").appName("outings-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-               .config("spark.sql.warehouse.dir", str(warehouse)))
+               .config("spark.sql.warehouse.dir", str(warehouse))
+               .config("spark.checkpoint.dir", os.environ.get("TEST_SHARED", str(tmp_path_factory.mktemp("shared")))))
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     ship_packages(apply_sql_settings(session))
     yield session
     session.stop()

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from outings.functions.geo import EARTH_RADIUS_M, haversine_m
 from outings.functions.vectors import HashEmbedder, cosine_similarity, embed
-from outings.operators import keyed
 from outings.operators.approximate import build_cells, load_cells, search_buckets, search_cells, store_cells
 from outings.operators.nearest import nearest_vectors
 from outings.operators.places import places_within_radius
@@ -40,11 +39,22 @@ def brute(queries, corpus, k, grouped):
     return {q: found for q, found in best.items() if found}
 
 
-@pytest.mark.parametrize("on,block_rows,salted", [([], 7, False), (["g"], 7, False), (["g"], 7, True),
+@pytest.mark.parametrize("on,block_rows,shuffled", [([], 7, False), (["g"], 7, False), (["g"], 7, True),
                                                   (["g"], 1024, False)])
-def test_exact_search(spark, monkeypatch, on, block_rows, salted):
-    if salted:
-        monkeypatch.setattr(keyed, "BROADCAST_GROUPS", 0)
+def test_exact_search(spark, on, block_rows, shuffled):
+    """Also with the facts about large groups joined by key instead of broadcast."""
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    if shuffled:
+        for name in limits:
+            spark.conf.set(name, "-1")
+    try:
+        check_exact_search(spark, on, block_rows)
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+
+
+def check_exact_search(spark, on, block_rows):
     queries, q = vectors(spark, 60, 1, "query_id", "query_vector", 5)
     corpus, c = vectors(spark, 150, 2, "item_id", "embedding", 5)
     got = {}
@@ -55,6 +65,14 @@ def test_exact_search(spark, monkeypatch, on, block_rows, salted):
         k: [(i, round(s, 9) + 0.0) for i, s in v] for k, v in expected.items()}
 
 
+def test_vectors_of_unequal_length_never_meet(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "query_id long, query_vector array<double>")
+    corpus = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (11, [0.0, 1.0, 0.0, 0.0, 0.0]), (12, [1.0, 1.0, 0.0, 0.0]),
+                                    (13, [0.0, 2.0, 0.0])], "item_id long, embedding array<double>")
+    got = sorted((r.query_id, r.item_id, round(r.similarity, 3)) for r in nearest_vectors(queries, corpus, 4).collect())
+    assert got == [(1, 12, 0.707), (2, 10, 0.0), (2, 13, 1.0)]
+
+
 def test_arrow_batches_are_bounded(spark):
     """Rows of one megabyte come in small batches, so pairs of blocks do."""
     def sizes(batches):

@@ -2,10 +2,8 @@
 
 from datetime import date, datetime
 
-from pyspark.sql import functions as F
-
-from outings.operators.mutation import upsert
-from outings.streaming.ingest import append_stream, compacted, distinct_hours, fold_log, new_files, new_json_payloads, read_log, upsert_stream
+from outings.streaming.ingest import (append_stream, compacted_log, ends_per_key, fold_log, new_files, new_json_payloads,
+                                       read_log, upsert_stream)
 
 SCHEMA = "destination_id long, forecast_ts timestamp, forecast_date date, temperature_c double, seq long"
 KEYS = ["destination_id", "forecast_ts"]
@@ -20,35 +18,42 @@ def test_upsert_stream(spark, tmp_path):
     source, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
     (tmp_path / "in").mkdir()
     rows = new_files(spark, source, SCHEMA)
-    table = spark.createDataFrame([], SCHEMA)
-    for n in range(3):
-        part = spark.createDataFrame(batch(n), SCHEMA)
-        part.coalesce(1).write.mode("append").parquet(source)
-        upsert_stream(rows, log, check, KEYS, [F.col("seq").desc()]).awaitTermination()
-        table = upsert(table, part, KEYS, ["temperature_c", "seq"], newest_first=[F.col("seq").desc()]).snapshot
-    folded = fold_log(read_log(spark, log, SCHEMA), KEYS)
-    expected = sorted(map(tuple, table.collect()))
-    assert sorted(tuple(r) for r in folded.select(*table.columns).collect()) == expected
-    base = fold_log(read_log(spark, log, SCHEMA).where("batch_id <= 1"), KEYS)
-    shorter = compacted(base, 1, read_log(spark, log, SCHEMA), KEYS)
-    assert sorted(tuple(r) for r in shorter.select(*table.columns).collect()) == expected
+    everything = []
+    for n in (1, 0, 2):  # the first file to arrive is not the oldest
+        spark.createDataFrame(batch(n), SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        everything += batch(n)
+        upsert_stream(rows, log, check, KEYS, ["seq"]).awaitTermination()
+    expected = expected_table(everything)
+    whole = read_log(spark, log, SCHEMA)
+    assert table_of(fold_log(whole, KEYS, ["seq"])) == expected
+    assert table_of(fold_log(compacted_log(whole, KEYS, ["seq"], 1), KEYS, ["seq"])) == expected
     # The last batch runs again, as after a failure before its commit.
-    again = spark.createDataFrame(batch(2), SCHEMA)
-    from outings.operators.keyed import latest_per_key
-    latest_per_key(again, KEYS, [F.col("seq").desc()]).write.mode("overwrite").parquet(f"{log}/batch_id=2")
-    folded = fold_log(read_log(spark, log, SCHEMA), KEYS)
-    assert sorted(tuple(r) for r in folded.select(*table.columns).collect()) == expected
+    ends_per_key(spark.createDataFrame(batch(2), SCHEMA), KEYS, ["seq"]).write.mode("overwrite").parquet(f"{log}/batch_id=2")
+    assert table_of(fold_log(read_log(spark, log, SCHEMA), KEYS, ["seq"])) == expected
 
 
-def test_distinct_stream_goes_on_where_it_stopped(spark, tmp_path):
-    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
-    (tmp_path / "in").mkdir()
-    hours = distinct_hours(new_files(spark, source, SCHEMA), "forecast_ts", delay="1 day").select(*KEYS)
-    for n in range(2):
-        spark.createDataFrame(batch(n), SCHEMA).write.mode("append").parquet(source)
-        append_stream(hours, out, check).awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(out).collect()))
-    assert got == sorted({(r[0], r[1]) for n in range(2) for r in batch(n)})
+def expected_table(rows):
+    out = {}
+    for key in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: r[4])
+        out[key] = (*key, own[0][2], *own[-1][3:])
+    return sorted(out.values())
+
+
+def table_of(df):
+    return sorted(tuple(r) for r in df.select("destination_id", "forecast_ts", "forecast_date", "temperature_c", "seq").collect())
+
+
+def test_late_rows_and_old_sequence_numbers(spark, tmp_path):
+    """A row that arrives long after others is in the result; a newer row that arrived first stays the newest."""
+    source, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
+    rows = [(1, datetime(2026, 3, 1), date(2026, 3, 1), 1.0, 20), (2, datetime(2026, 3, 2), date(2026, 3, 2), 2.0, 21),
+            (2, datetime(2026, 1, 1), date(2026, 1, 1), 3.0, 22), (1, datetime(2026, 3, 1), date(2026, 3, 1), 4.0, 10)]
+    for row in rows:
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        upsert_stream(new_files(spark, source, SCHEMA, files_per_batch=1), log, check, KEYS, ["seq"]).awaitTermination()
+    got = table_of(fold_log(read_log(spark, log, SCHEMA), KEYS, ["seq"]))
+    assert [(r[0], r[1].month, r[3], r[4]) for r in got] == [(1, 3, 1.0, 20), (2, 1, 3.0, 22), (2, 3, 2.0, 21)]
 
 
 def test_json_payload_stream(spark, tmp_path):

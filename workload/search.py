@@ -118,6 +118,20 @@ def _neighbours_exact(t):
     return _shown(nearest_vectors(queries, corpus, 5))
 
 
+CUT = {"cut": "SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN embedding[1:32] ELSE embedding END AS embedding FROM {embeddings}"}
+
+
+@query("neighbours_mixed_lengths", EXACT.replace("{embeddings} a, {embeddings} b",
+                                                 "{cut} a JOIN {cut} b ON len(a.embedding) = len(b.embedding)"), CUT)
+def _neighbours_mixed_lengths(t):
+    """Some vectors are cut short: they meet only each other."""
+    queries, corpus = _vectors(t)
+    short = F.col("item_id") % 7 == 3
+    corpus = corpus.withColumn("embedding", F.when(short, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    queries = corpus.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _shown(nearest_vectors(queries, corpus, 5))
+
+
 CELLS = 16
 
 

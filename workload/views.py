@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from outings.functions.scalars import (aqi_label, classify_place, hour_minute, month_day, page_slug, round_half_even,
@@ -53,37 +55,30 @@ def _packing_listing(t):
 
 
 @query("trip_bundle", """
-SELECT h.trip_id, 0 AS page, h.title, h.destination, coalesce(w.n, 0) AS n_weather, coalesce(i.n, 0) AS n_items,
-       coalesce(p.n, 0) AS n_packing, coalesce(w.days, '') AS days, coalesce(i.titles, '') AS titles,
-       coalesce(p.names, '') AS names
-FROM {header} h
-LEFT JOIN (SELECT trip_id, count(*) AS n, string_agg(CAST(forecast_date AS VARCHAR), '|' ORDER BY forecast_date) AS days
-           FROM {trip_days} GROUP BY trip_id) w ON w.trip_id = h.trip_id
-LEFT JOIN (SELECT trip_id, count(*) AS n, string_agg(title, '|' ORDER BY day_date, sort_order, item_id) AS titles
-           FROM {v_items} GROUP BY trip_id) i ON i.trip_id = h.trip_id
-LEFT JOIN (SELECT trip_id, count(*) AS n, string_agg(item_name, '|' ORDER BY category, item_name) AS names
-           FROM {v_packing} GROUP BY trip_id) p ON p.trip_id = h.trip_id""", {**TRIP_DAY_VIEWS, "header": HEADER})
+SELECT h.trip_id, h.title, h.destination, s.section, CAST(s.day AS VARCHAR) AS day, coalesce(s.n, 0) AS n_entries,
+       coalesce(s.entries, '') AS entries
+FROM {header} h LEFT JOIN (
+  SELECT trip_id, 'weather' AS section, forecast_date AS day, count(*) AS n, string_agg(CAST(is_bad AS VARCHAR), '|') AS entries
+  FROM {trip_days} GROUP BY trip_id, forecast_date
+  UNION ALL SELECT trip_id, 'itinerary', day_date, count(*), string_agg(title, '|' ORDER BY sort_order, item_id)
+  FROM {v_items} GROUP BY trip_id, day_date
+  UNION ALL SELECT trip_id, 'packing', NULL, count(*), string_agg(item_name, '|' ORDER BY category, item_name)
+  FROM {v_packing} GROUP BY trip_id) s ON s.trip_id = h.trip_id""", {**TRIP_DAY_VIEWS, "header": HEADER})
 def _trip_bundle(t):
     bundle = trip_bundle(trip_header(t("v_trips"), t("v_destinations")), trip_weather(t("v_trips"), t("v_weather")),
                          t("v_items"), t("v_packing"))
-
-    def listed(section: str, field: str):
-        return F.coalesce(F.array_join(F.col(section)[field].cast("array<string>"), "|"), F.lit(""))
-
-    return bundle.select("trip_id", "page", "title", "destination",
-                         *[F.coalesce(F.array_size(s), F.lit(0)).cast("long").alias(n) for s, n in
-                           (("weather", "n_weather"), ("itinerary", "n_items"), ("packing", "n_packing"))],
-                         listed("weather", "forecast_date").alias("days"),
-                         listed("itinerary", "title").alias("titles"), listed("packing", "item_name").alias("names"))
+    fields = {"weather": "is_bad", "itinerary": "title", "packing": "item_name"}
+    entries = F.concat(*[F.coalesce(F.array_join(F.col(s)[f].cast("array<string>"), "|"), F.lit("")) for s, f in fields.items()])
+    sizes = [F.coalesce(F.array_size(s), F.lit(0)) for s in fields]
+    return bundle.select("trip_id", "title", "destination", "section", "day",
+                         (sizes[0] + sizes[1] + sizes[2]).cast("long").alias("n_entries"), entries.alias("entries"))
 
 
 @query("itinerary_by_day", """
-SELECT trip_id, CAST(day_date AS VARCHAR) AS day_date, 0 AS page,
-       string_agg(title, '|' ORDER BY sort_order, item_id) AS titles
+SELECT trip_id, CAST(day_date AS VARCHAR) AS day_date, string_agg(title, '|' ORDER BY sort_order, item_id) AS titles
 FROM {v_items} GROUP BY trip_id, day_date""")
 def _itinerary_by_day(t):
-    return itinerary_by_day(t("v_items")).select("trip_id", "day_date", "page",
-                                                 F.array_join("items.title", "|").alias("titles"))
+    return itinerary_by_day(t("v_items")).select("trip_id", "day_date", F.array_join("items.title", "|").alias("titles"))
 
 
 @query("trip_json", """
@@ -149,6 +144,62 @@ def _quality_summary(t):
     return report_summary(_quality_report(t))
 
 
+BROKEN = {
+    "b_weather": """
+SELECT destination_id, CASE WHEN event_id % 50 = 1 THEN NULL ELSE forecast_ts END AS forecast_ts,
+       CASE WHEN event_id % 40 = 2 THEN -1 WHEN event_id % 40 = 3 THEN 501 ELSE us_aqi END AS us_aqi,
+       CASE WHEN event_id % 30 = 4 THEN 101 ELSE precipitation_prob END AS precipitation_prob FROM {v_bronze}""",
+    "b_destinations": """
+SELECT d.destination_id, name, CASE WHEN d.destination_id % 5 = 1 THEN NULL ELSE latitude END AS latitude, longitude,
+       CASE WHEN d.destination_id % 4 = 0 THEN slice(e.embedding, 1, 3) ELSE e.embedding END AS description_embedding
+FROM {v_destinations} d LEFT JOIN {embeddings} e ON e.vec_id = d.destination_id""",
+    "b_activities": """
+SELECT activity_id, destination_id, CASE WHEN activity_id % 6 = 2 THEN slice(requirements_embedding, 1, 5)
+       ELSE requirements_embedding END AS requirements_embedding FROM {v_activities}""",
+    "b_trips": """
+SELECT trip_id, CASE WHEN trip_id % 9 = 4 THEN -user_id ELSE user_id END AS user_id,
+       CASE WHEN trip_id % 8 = 5 THEN -1 - destination_id ELSE destination_id END AS destination_id, title,
+       start_date, CASE WHEN trip_id % 7 = 6 THEN DATE '2023-01-01' ELSE end_date END AS end_date FROM {v_trips}""",
+}
+
+
+@query("quality_broken", """
+SELECT name, bad = 0 AS passed, concat(bad, ' ', what) AS detail, severity FROM (
+SELECT 'weather.forecast_ts not null' AS name, count(*) AS bad, 'null forecast_ts' AS what, 'error' AS severity
+FROM {b_weather} WHERE forecast_ts IS NULL
+UNION ALL SELECT 'destinations have coordinates', count(*), 'destinations missing lat/long', 'error'
+FROM {b_destinations} WHERE latitude IS NULL OR longitude IS NULL
+UNION ALL SELECT 'us_aqi within 0-500', count(*), 'rows with out-of-range AQI', 'error'
+FROM {b_weather} WHERE us_aqi < 0 OR us_aqi > 500
+UNION ALL SELECT 'precipitation_prob within 0-100', count(*), 'rows with out-of-range precip prob', 'error'
+FROM {b_weather} WHERE precipitation_prob < 0 OR precipitation_prob > 100
+UNION ALL SELECT 'trips end_date >= start_date', count(*), 'trips with end before start', 'error'
+FROM {b_trips} WHERE end_date < start_date
+UNION ALL SELECT 'embeddings are 64-dim', (SELECT count(*) FROM {b_destinations} WHERE len(description_embedding) <> 64)
+       + (SELECT count(*) FROM {b_activities} WHERE len(requirements_embedding) <> 64), 'embeddings with wrong dimension', 'error'
+UNION ALL SELECT 'all activities embedded', count(*), 'activities without an embedding', 'warn'
+FROM {b_activities} WHERE requirements_embedding IS NULL
+UNION ALL SELECT 'no orphan foreign keys', CAST(sum(n) AS BIGINT), 'orphan rows', 'error' FROM (
+  SELECT count(*) AS n FROM {b_trips} c LEFT JOIN {b_destinations} p USING (destination_id) WHERE p.name IS NULL
+  UNION ALL SELECT count(*) FROM {v_items} c LEFT JOIN {b_trips} p USING (trip_id) WHERE p.title IS NULL
+  UNION ALL SELECT count(*) FROM {b_weather} c LEFT JOIN {b_destinations} p USING (destination_id) WHERE p.name IS NULL
+  UNION ALL SELECT count(*) FROM {v_packing} c LEFT JOIN {b_trips} p USING (trip_id) WHERE p.title IS NULL) x
+UNION ALL SELECT 'every trip has a user', count(*), 'trips without a user', 'error'
+FROM {b_trips} c LEFT JOIN {v_users} p USING (user_id) WHERE p.email IS NULL
+UNION ALL SELECT 'weather_snapshots unique per (dest, hour)', count(*), 'duplicate (destination_id, forecast_ts) keys', 'error'
+FROM (SELECT destination_id, forecast_ts FROM {b_weather} GROUP BY 1, 2 HAVING count(*) > 1) d) z""",
+       {k: v.replace("slice(e.embedding, 1, 3)", "e.embedding[1:3]").replace("slice(requirements_embedding, 1, 5)",
+                                                                           "requirements_embedding[1:5]") for k, v in BROKEN.items()})
+def _quality_broken(t):
+    """Every check on tables in which it finds something, both vector tables included."""
+    def broken(name):
+        return t.run(BROKEN[name], **{used: t(used) for used in dict.fromkeys(re.findall(r"{(\w+)}", BROKEN[name]))})
+
+    tables = _tables(t) | {"weather_snapshots": broken("b_weather"), "destinations": broken("b_destinations"),
+                           "activities": broken("b_activities"), "trips": broken("b_trips")}
+    return quality_report(tables, default_checks(Settings(embedding_dim=64)))
+
+
 @query("orphan_rows", """
 SELECT i.trip_id, i.item_id FROM {v_items} i LEFT JOIN {v_trips} t ON t.trip_id = i.trip_id AND t.status <> 'booked'
 WHERE t.trip_id IS NULL""")

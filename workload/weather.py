@@ -14,7 +14,7 @@ from outings.plans.weather import (daily_weather, ingest_weather, join_hours, si
 from outings.sources.fetch import fetch_payloads
 from outings.sources.payloads import air_hours, weather_hours
 from outings.sources.tables import materialized, shared_folder
-from outings.streaming.ingest import append_stream, distinct_hours, fold_log, new_files, read_log, upsert_stream
+from outings.streaming.ingest import compacted_log, fold_log, new_files, read_log, upsert_stream
 from workload.registry import query
 from workload.standins import VIEWS
 
@@ -179,25 +179,34 @@ def _parallel_fetch(t):
     return join_hours(weather_hours(answers, "weather"), air_hours(answers, "air")).select(*HOUR_COLUMNS)
 
 
-def _bronze_stream(t) -> DataFrame:
-    events = new_files(t.spark, t.sf_dir, t("events").schema, glob="events.parquet")
-    return t.run(VIEWS["v_bronze"], events=events)
+ARRIVAL = ["ingested_at", "event_id"]
 
 
-@query("stream_silver", """
-SELECT DISTINCT destination_id, CAST(forecast_ts AS VARCHAR) AS forecast_ts FROM {v_bronze}""")
+def _bronze_log(t, name: str) -> DataFrame:
+    """The change log of the events, written as several files of which each spans the whole time, one file a batch."""
+    folder = shared_folder(t.spark, name)
+    t("events").repartition(5, "event_id").write.parquet(f"{folder}/in")
+    events = new_files(t.spark, f"{folder}/in", t("events").schema, files_per_batch=1)
+    rows = t.run(VIEWS["v_bronze"], events=events)
+    upsert_stream(rows, f"{folder}/log", f"{folder}/checkpoint", ["destination_id", "forecast_ts"], ARRIVAL).awaitTermination()
+    return read_log(t.spark, f"{folder}/log", rows.schema)
+
+
+@query("stream_silver", SILVER + "{v_weather}")
 def _stream_silver(t):
-    folder = shared_folder(t.spark, "stream-silver")
-    hours = distinct_hours(_bronze_stream(t), "forecast_ts", delay="30 days").select("destination_id", "forecast_ts")
-    append_stream(hours, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return t.spark.read.schema(hours.schema).parquet(f"{folder}/rows")
+    """Whole rows, the latest of each key, whatever file they came in."""
+    return fold_log(_bronze_log(t, "stream-silver"), ["destination_id", "forecast_ts"], ARRIVAL, first_wins=()).select(*HOUR_COLUMNS)
 
 
-@query("stream_upsert", SILVER + "{v_weather}")
+@query("stream_upsert", SILVER + """(
+SELECT w.destination_id, w.forecast_ts, w.forecast_date, w.temperature_c, w.precipitation_mm, w.precipitation_prob,
+       f.first_aqi AS us_aqi FROM {v_weather} w JOIN {firsts} f USING (destination_id, forecast_ts)) x""",
+       {"firsts": """
+SELECT destination_id, forecast_ts, us_aqi AS first_aqi FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY destination_id, forecast_ts ORDER BY ingested_at, event_id) AS rn
+  FROM {v_bronze} b) x WHERE rn = 1"""})
 def _stream_upsert(t):
-    folder = shared_folder(t.spark, "stream-upsert")
-    rows = _bronze_stream(t)
-    upsert_stream(rows, f"{folder}/log", f"{folder}/checkpoint", ["destination_id", "forecast_ts"],
-                  newest()).awaitTermination()
-    log = read_log(t.spark, f"{folder}/log", rows.schema)
-    return fold_log(log, ["destination_id", "forecast_ts"]).select(*HOUR_COLUMNS)
+    """The first air quality of an hour stays, all else is the latest; the log is compacted on the way."""
+    key = ["destination_id", "forecast_ts"]
+    log = compacted_log(_bronze_log(t, "stream-upsert"), key, ARRIVAL, up_to=2)
+    return fold_log(log, key, ARRIVAL, first_wins=("us_aqi",)).select(*HOUR_COLUMNS)
