@@ -18,7 +18,7 @@ def con():
 
 
 # The corpus operators have tests of their own.
-OWN = sorted(n for n in spark_entry.queries() if not n.startswith("op") and n != "pipeline" or n.startswith("orphan"))
+OWN = sorted(n for n in spark_entry.queries() if not n.startswith("op") and n != "pipeline")
 
 
 @pytest.mark.parametrize("name", OWN)
