@@ -272,8 +272,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), rounds: int = 4,
                     text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: components of documents with similar shingle sets.
 
-    Equal sets are one class from the start, however many copies there are. First every class meets its two nearest
-    neighbours on either side in all orders, and its two most promising pairs are confirmed on the whole sets. Then the
+    Equal sets are one class from the start, however many copies there are. First every class meets its nearest
+    neighbour on either side in all orders, and its two most promising pairs are confirmed on the whole sets. Then the
     search is repeated with components: neighbours in another component are compared with each other and with the hub of
     that component, its member with the most confirmed links, and whatever is promising and joins two components is
     confirmed. So a crowded region need not be compared pair by pair, and a copy that is similar to the original
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), rounds: int = 4,
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     found = table.where("cls is not null").join(least, ["cls", "cls2"]).where("doc_id = rep").select("cls", "rep", "n", "sig")
     classes = materialized(found.dropDuplicates(["cls"]), "classes")
-    pairs = promising(neighbours(order_rows(classes.select("cls", "sig"), forest), forest, 2), classes, forest)
+    pairs = promising(neighbours(order_rows(classes.select("cls", "sig"), forest), forest, 1), classes, forest)
     pairs = materialized(pairs, "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
     best = Window.partitionBy("a").orderBy(F.col("equal").desc(), "b")
