@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from outings.operators.keyed import top_per_group
 from outings.operators.nearest import nearest_vectors
+from outings.sources.tables import materialized
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,14 @@ def build_cells(vectors: DataFrame, cells: int, vector: str = "embedding", seed:
     return CellIndex(indexed, centre_frame)
 
 
+def assign_cells(vectors: DataFrame, centres: DataFrame, item_id: str = "item_id", vector: str = "embedding") -> CellIndex:
+    """An index with given centres (``cell``, ``centre``): every vector goes to the nearest, ties to the smaller cell.
+    Vectors without a centre of their length, or without a direction, are left out."""
+    own = nearest_vectors(vectors.select(item_id, vector), centres, 1, query_id=item_id, query_vector=vector, item_id="cell",
+                          item_vector="centre")
+    return CellIndex(vectors.join(own.select(item_id, "cell"), item_id), centres)
+
+
 def store_cells(index: CellIndex, path: str, item_id: str = "item_id") -> None:
     """Write an index with one folder per cell. Ranges of (cell, id) share the work evenly, however full a cell is."""
     (index.vectors.repartitionByRange("cell", item_id).write.partitionBy("cell").parquet(f"{path}/vectors"))
@@ -53,8 +62,11 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int, probes: int, quer
     """Top-k among the vectors in the ``probes`` cells nearest to each query."""
     near = nearest_vectors(queries, index.centres, probes, query_id=query_id, query_vector=query_vector,
                            item_id="cell", item_vector="centre")
-    visits = queries.join(near.select(query_id, "cell"), query_id)
-    found = nearest_vectors(visits, index.vectors, k, on=["cell"], query_id=query_id, query_vector=query_vector,
+    near = materialized(near.select(query_id, "cell"), "visits")
+    # At most as many numbers as there are cells; the scan of a stored index then skips the other folders.
+    cells = [r["cell"] for r in near.select("cell").distinct().collect()]
+    visited = index.vectors.where(F.col("cell").isin(cells))
+    found = nearest_vectors(queries.join(near, query_id), visited, k, on=["cell"], query_id=query_id, query_vector=query_vector,
                             item_id=item_id, item_vector=item_vector)
     return _merge(found, query_id, item_id, k)
 

@@ -1,6 +1,7 @@
 """Searches against brute force, with small blocks and crowded groups."""
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,15 @@ def check_exact_search(spark, on, block_rows):
         k: [(i, round(s, 9) + 0.0) for i, s in v] for k, v in expected.items()}
 
 
+def test_stored_index_reads_the_visited_cells(spark, tmp_path):
+    corpus, _ = vectors(spark, 200, 3, "item_id", "embedding", 5)
+    store_cells(build_cells(corpus, 8), str(tmp_path / "index"))
+    queries, _ = vectors(spark, 1, 4, "query_id", "query_vector", 5)
+    found = search_cells(queries, load_cells(spark, str(tmp_path / "index")), 3, probes=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan) and len(found.collect()) == 3
+
+
 def test_vectors_of_unequal_length_never_meet(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "query_id long, query_vector array<double>")
     corpus = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (11, [0.0, 1.0, 0.0, 0.0, 0.0]), (12, [1.0, 1.0, 0.0, 0.0]),

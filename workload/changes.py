@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from outings.functions.scalars import INDOOR_KEYWORDS, OUTDOOR_KEYWORDS
 from outings.operators.keyed import assign_ids, latest_per_key
 from outings.operators.mutation import (CHANGE, add_items, align_trips, delete_cascade, delete_rows, insert_absent,
                                         insert_rows,                                        move_items, snapshot_diff, swap_items, upsert)
 from outings.plans.packing import pack, packing_suggestions
-from outings.plans.places import bootstrap_destinations
+from outings.plans.load import run_load
+from outings.plans.places import bootstrap_destinations, ingest_attractions
+from outings.schemas import empty
+from outings.settings import Settings
 from workload.registry import query
-from workload.weather import TRIP_DAY_VIEWS
+from workload.weather import TRIP_DAY_VIEWS, both_payloads
 
 VISITED = """
 SELECT a.destination_id, a.name, a.category, a.is_outdoor, i.item_id
@@ -103,6 +109,77 @@ def _destinations_inserted(t):
     return _bootstrap(t).destinations.changed.drop(CHANGE)
 
 
+PAGES = """
+SELECT destination_id, activity_id AS pageid, CASE WHEN activity_id % 3 = 0 THEN name ELSE concat('Sight ', activity_id) END AS title,
+       CASE WHEN activity_id % 5 = 2 THEN NULL ELSE CAST((activity_id * 7) % 11 AS INT) END AS idx,
+       CASE WHEN activity_id % 4 = 1 THEN NULL ELSE activity_id % 90 + 0.5 END AS lat,
+       CASE WHEN activity_id % 4 = 1 THEN NULL ELSE activity_id % 180 - 0.25 END AS lon, category AS description,
+       CASE activity_id % 6 WHEN 0 THEN 'A Museum by the lake' WHEN 1 THEN 'lake trail' WHEN 2 THEN 'old town' WHEN 3 THEN 'Hot Spring'
+       WHEN 4 THEN 'city centre and garden' END AS extract
+FROM {v_activities}"""
+
+
+def _said(words) -> str:
+    return "(" + " OR ".join(f"contains(said, '{w}')" for w in words) + ")"
+
+
+NEAR = {"pages": PAGES, "sights": f"""
+SELECT *, NOT {_said(INDOOR_KEYWORDS)} AND {_said(OUTDOOR_KEYWORDS)} AS outdoors FROM (
+  SELECT p.*, lower(concat_ws(' ', title, extract)) AS said, coalesce(lat, d.latitude) AS latitude,
+         coalesce(lon, d.longitude) AS longitude,
+         row_number() OVER (PARTITION BY p.destination_id ORDER BY coalesce(idx, 9999), pageid, title) AS place
+  FROM {{pages}} p JOIN {{v_destinations}} d USING (destination_id)) x WHERE place <= 8"""}
+
+
+def _page_payloads(t):
+    """The answer of a place service for every destination: a map of pages, some without coordinates or index."""
+    pages = t.run(PAGES, v_activities=t("v_activities"))
+    page = F.struct("pageid", "title", F.col("idx").alias("index"),
+                    F.when(F.col("lat").isNotNull(), F.array(F.struct("lat", "lon"))).alias("coordinates"), "description", "extract")
+    answer = F.struct(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("pageid").cast("string"), page))).alias("pages")).alias("query"))
+    answers = pages.groupBy("destination_id").agg(F.to_json(answer).alias("payload"))
+    return t("v_destinations").select("destination_id", "latitude", "longitude").join(answers, "destination_id")
+
+
+@query("attractions_bronze", """
+SELECT destination_id, title, description, extract, latitude, longitude, CASE WHEN outdoors THEN 'outdoor' ELSE 'attraction' END AS category,
+       CAST(outdoors AS BIGINT) AS is_outdoor FROM {sights}""", NEAR)
+def _attractions_bronze(t):
+    return ingest_attractions(_page_payloads(t), t("v_activities")).bronze.drop("_ingested_at")
+
+
+@query("attractions_ingest", """
+SELECT destination_id, title AS name, CASE WHEN outdoors THEN 'outdoor' ELSE 'attraction' END AS category, outdoors AS is_outdoor
+FROM (SELECT *, row_number() OVER (PARTITION BY destination_id, title ORDER BY place) AS rn FROM {sights}) s
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM {v_activities} a WHERE a.destination_id = s.destination_id AND a.name = s.title)""", NEAR)
+def _attractions_ingest(t):
+    """New activities from the pages, with the default keyword lists; known names are left alone."""
+    added = ingest_attractions(_page_payloads(t), t("v_activities")).activities.changed
+    return added.select("destination_id", "name", "category", "is_outdoor")
+
+
+@query("load_tables", """
+SELECT 'bronze' AS layer, destination_id, CAST(forecast_ts AS VARCHAR) AS at, temperature_c, us_aqi FROM {v_weather}
+UNION ALL SELECT 'silver', destination_id, CAST(forecast_ts AS VARCHAR), temperature_c, us_aqi FROM {v_weather}
+UNION ALL SELECT 'serving', destination_id, CAST(forecast_ts AS VARCHAR), temperature_c, us_aqi FROM {v_weather}
+UNION ALL SELECT 'attractions', destination_id, title, latitude, CAST(outdoors AS INT) FROM {sights}""", NEAR)
+def _load_tables(t):
+    """The whole load; its saved bronze and silver tables and the new serving table are read back."""
+    schema = f"load_{uuid.uuid4().hex[:12]}"
+    serving = empty(t.spark, "weather_snapshots")
+    done = run_load(both_payloads(t("v_weather"), t("v_weather")), _page_payloads(t),
+                    {"weather_snapshots": serving, "activities": t("v_activities")}, Settings(schema=schema), on_error="raise")
+    layers = {"bronze": t.spark.table(done["weather"]["bronze_table"].table), "silver": t.spark.table(done["weather"]["silver_table"].table),
+              "serving": done["tables"]["weather_snapshots"]}
+    rows = t.spark.table(done["attractions"]["bronze_table"].table).select(
+        F.lit("attractions").alias("layer"), "destination_id", F.col("title").alias("at"), F.col("latitude").alias("temperature_c"),
+        F.col("is_outdoor").cast("int").alias("us_aqi"))
+    for name, df in layers.items():
+        rows = rows.unionByName(df.select(F.lit(name).alias("layer"), "destination_id", F.col("forecast_ts").cast("string").alias("at"),
+                                          F.col("temperature_c").cast("double"), F.col("us_aqi").cast("int")))
+    return rows
+
+
 @query("assign_ids", """
 SELECT (SELECT max(trip_id) FROM {v_trips}) + row_number() OVER (ORDER BY left(md5(title), 3), title) AS new_id, title
 FROM {v_trips}""")
