@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -10,10 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from outings.llm.common import Segments, as_text, id_and_text, prepared, slices
+from outings.llm.common import Segments, as_text, byte_symbols, id_and_text, prepared, slices, spans
+from outings.llm.merges import Merger
 
 # Local sequence numbers of a partition stand in the lower bits of a sequence id, the partition in the upper ones.
 LOCAL_BITS = 36
@@ -144,27 +147,74 @@ class Packer:
                 self._close(own)
 
 
+# Below this character, classes of characters and lower case are the same everywhere, and nothing is composed.
+PLAIN = "\u0250"
+# The pattern of the pre-tokenizer (a fixed value), and a space that stands between words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Words:
-    """Ids of a text by the tokenizer file ``path``. Its normaliser and pre-tokenizer must drop white space, as is
-    checked; then the ids of a text are those of its words, and every distinct word is encoded once."""
+    """Ids of a text by the tokenizer file ``path``: BPE over bytes with word ends, lower case, white space dropped.
+
+    The ids of a text are those of its words, so every distinct word is encoded once. Words in plain letters are cut by
+    the tokenizer's own pattern, and the distinct parts are merged together in numpy; all other words, and those with a
+    special token in them, go through the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ["a b", " a\tb\n", "a\x0bb\x0c", "a\r\nb"]
-        if any(self._ids([p])[0] != self._ids(["a"])[0] + self._ids(["b"])[0] for p in probe):
-            raise ValueError("the tokenizer does not drop white space between words")
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, steps = spec["model"], [n["type"] for n in spec["normalizer"]["normalizers"]]
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        if (model["type"], model["end_of_word_suffix"], steps, split["pattern"]) != (
+                "BPE", "</w>", ["NFC", "Replace", "Lowercase"], {"Regex": PATTERN}) or split["behavior"] != "Removed":
+            raise ValueError("a lower-casing BPE with word ends that drops white space is needed")
+        ids = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        left, right = ([ids[p[side]] for p in pairs] for side in (0, 1))
+        self.merger = Merger(left, right, range(len(pairs)), [ids[a + b] for a, b in pairs])
+        symbols = sorted(byte_symbols().items())
+        self.inner = np.array([ids[c] for _, c in symbols], np.int64)
+        self.last = np.array([ids[c + "</w>"] for _, c in symbols], np.int64)
+        self.pattern = regex.compile(PATTERN + "| ")
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.parts = Segments(self.of_parts)
         self.segments = Segments(self.of_words)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [p.encode() for p in parts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        symbols = self.inner[data]
+        ends = np.cumsum(lengths) - 1
+        symbols[ends] = self.last[data[ends]]
+        return self.merger.merge(symbols, lengths)
 
     def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self._ids([as_text(w) for w in words])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for word in ids for i in word), np.int64, int(lengths.sum())), lengths
+        texts = [as_text(w) for w in words]
+        plain = np.array([(t.isascii() or max(t) < PLAIN) and not any(s in t for s in self.special) for t in texts], bool)
+        out: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+        found = self.pattern.findall(" ".join(t.lower() for t, p in zip(texts, plain) if p))
+        gap = np.fromiter((f == " " for f in found), bool, len(found))
+        self.parts.begin()
+        codes = self.parts.codes([f for f in found if f != " "])
+        owner = np.cumsum(gap)[~gap]
+        out[True] = (self.parts.gather(codes), np.bincount(owner, weights=self.parts.lengths[codes], minlength=int(plain.sum()))
+                     .astype(np.int64))
+        others = [t for t, p in zip(texts, plain) if not p]
+        ids = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)] if others else []
+        out[False] = (np.fromiter((i for word in ids for i in word), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
+        lengths = np.zeros(len(words), np.int64)
+        for kind in out:
+            lengths[plain == kind] = out[kind][1]
+        starts, flat = np.cumsum(lengths) - lengths, np.zeros(int(lengths.sum()), np.int64)
+        for kind, (own, counts) in out.items():
+            flat[spans(starts[plain == kind], counts)] = own
+        return flat, lengths
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text ends."""

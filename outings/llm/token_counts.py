@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from outings.llm.common import Segments, as_text, id_and_text, slices
+from outings.llm.common import Segments, as_text, byte_symbols, id_and_text, slices
 from outings.llm.merges import Merger
 
 # A space next to white space on both sides: there a text must not be cut.
@@ -25,13 +25,6 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 JOINS = re.compile(r" \S(?s:.*)\S| \S")
 
 
-def byte_symbols() -> dict[int, str]:
-    """The printable character that stands for each byte: itself, or else the next free one from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(hidden)}
-
-
 class Counter:
     """Counts tokens as the library does for the tokenizer file ``path``.
 
