@@ -233,7 +233,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected(links: DataFrame, contract: bool = False, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node in ``links`` (a, b); root is the smallest node that can be reached.
+    """(node, root) of every node in ``links`` (a, b); root is the smallest node that can be reached, itself included.
 
     Alternates large stars and small stars; each round is aggregations and joins on node ids and is written to the
     shared folder, so that no lineage grows. The loop ends when a round changes nothing. ``contract`` first reduces the
@@ -253,4 +253,5 @@ def connected(links: DataFrame, contract: bool = False, rounds: int = 60) -> Dat
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialized(hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return (edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))

@@ -20,14 +20,15 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Plan:
     """Sizes of the network and of its training. Texts are read in windows of ``window`` bytes, every byte in one of
-    them. The training sample is bounded: ``per_language`` documents of each language, ``per_document`` windows of each."""
+    them. The training sample is bounded: ``per_language`` documents of each language, ``per_document`` windows of each;
+    there are about ``updates`` batches, whatever the size of the sample."""
 
     window: int = 64
     hidden: int = 8
     per_language: int = 160
     per_document: int = 8
     batch: int = 256
-    epochs: int = 6
+    updates: int = 200
     rate: float = 0.02
     seed: int = 7
 
@@ -140,8 +141,9 @@ class Network:
         rng, losses, step = np.random.default_rng(plan.seed), [], 0
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        total = plan.epochs * -(-len(data) // plan.batch)
-        for _ in range(plan.epochs):
+        epochs = -(-plan.updates * plan.batch // len(data))
+        total = epochs * -(-len(data) // plan.batch)
+        for _ in range(epochs):
             order = rng.permutation(len(data))
             for at in range(0, len(order), plan.batch):
                 own = order[at:at + plan.batch]

@@ -299,10 +299,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), rounds: int = 4,
     for _ in range(rounds):
         both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
         degree = both.groupBy("a").agg(F.count("*").alias("links")).join(comps, F.col("a") == F.col("node"))
-        degree = degree.unionByName(comps.select(F.col("root").alias("a"), F.lit(0).cast("long").alias("links"), "node", "root"))
         hubs = degree.groupBy("root").agg(F.max(F.struct("links", "a")).alias("best")).select("root", F.col("best.a").alias("hub"))
-        members = comps.unionByName(comps.select(F.col("root").alias("node"), "root").distinct())
-        named = members.join(hubs, "root").select(F.col("node").alias("cls"), F.col("root").alias("comp"), "hub")
+        named = comps.join(hubs, "root").select(F.col("node").alias("cls"), F.col("root").alias("comp"), "hub")
         rows = classes.select("cls", "sig").join(named, "cls", "left").withColumns(
             {"comp": F.coalesce("comp", "cls"), "hub": F.coalesce("hub", "cls")})
         pairs = promising(neighbours(order_rows(rows, forest), forest, forest.reach), classes, forest)
