@@ -267,7 +267,7 @@ def test_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS gone", "2 AS pos").repartition(3)
     plan = lines.Lines()
     found = lines.occurrences(df, plan, "doc_id", "text")
-    marked = lines.simhashes(found, plan).join(found.select("doc_id", "pos", "norm"), ["doc_id", "pos"]).collect()
+    marked = lines.simhashes(found).join(found.select("doc_id", "pos", "norm"), ["doc_id", "pos"]).collect()
     sims, places = {}, defaultdict(list)
     for r in marked:
         sims[r.norm] = r.sim & (1 << 64) - 1
