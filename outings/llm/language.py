@@ -287,7 +287,7 @@ def spans_by_language(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, start long, length long, lang string")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents whose language is determined with a score of ``least`` or more, with all their columns."""
     name = free_name(docs, "identified")
 
