@@ -26,7 +26,7 @@ class Forest:
     hashes: int = 64
     orders: int = 24
     depth: int = 3
-    reach: int = 8
+    reach: int = 24
     least: int = 33
     seed: int = 5
 
@@ -268,7 +268,7 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b").drop("root_a", "root_b")
 
 
-def near_duplicates(docs: DataFrame, forest: Forest = Forest(), rounds: int = 4, id_col: str = "doc_id",
+def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: components of documents with similar shingle sets.
 
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), rounds: int = 4,
     search is repeated with components: neighbours in another component are compared with each other and with the hub of
     that component, its member with the most confirmed links, and whatever is promising and joins two components is
     confirmed. So a crowded region need not be compared pair by pair, and a copy that is similar to the original
-    alone still meets it. The rounds end when nothing is joined any more, after ``rounds`` at the latest.
+    alone still meets it. The rounds end when one joins nothing.
 
     Defined cases: texts that are null, empty or without words have size 0 and are their own component; so are rows
     without id, with a null component; rows that share an id but not the text are documents of their own; repeated rows
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), rounds: int = 4,
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialized(confirmed(first, docs, classes, forest, id_col, text_col), "confirmed")
     comps = connected(links, contract=True)
-    for _ in range(rounds):
+    while True:
         both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
         degree = both.groupBy("a").agg(F.count("*").alias("links")).join(comps, F.col("a") == F.col("node"))
         hubs = degree.groupBy("root").agg(F.max(F.struct("links", "a")).alias("best")).select("root", F.col("best.a").alias("hub"))
