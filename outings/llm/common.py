@@ -255,3 +255,11 @@ def connected(links: DataFrame, contract: bool = False, rounds: int = 60) -> Dat
         edges = materialized(hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+
+
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components; a node without a component is its own."""
+    for side in ("a", "b"):
+        named = comps.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
+        pairs = pairs.join(named, side, "left").withColumn("root_" + side, F.coalesce("root_" + side, side))
+    return pairs.where("root_a <> root_b").drop("root_a", "root_b")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outings.llm.common import connected, free_name, id_and_text, lowered, mixed, slices, within_bitmap, word_hashes
+from outings.llm.common import apart, connected, free_name, id_and_text, lowered, mixed, slices, within_bitmap, word_hashes
 from outings.sources.tables import materialized
 
 
@@ -260,14 +260,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: For
             .join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
 
 
-def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components; a class without a component is its own."""
-    for side in ("a", "b"):
-        named = comps.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
-        pairs = pairs.join(named, side, "left").withColumn("root_" + side, F.coalesce("root_" + side, side))
-    return pairs.where("root_a <> root_b").drop("root_a", "root_b")
-
-
 def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: components of documents with similar shingle sets.
