@@ -60,7 +60,7 @@ class Packer:
     Placements are (key, start, length, sequence, offset).
     """
 
-    def __init__(self, limits: Limits = Limits(), window: int = 512, cuts: bool = True):
+    def __init__(self, limits: Limits = Limits(), window: int = 128, cuts: bool = True):
         self.limits, self.window, self.cuts = limits, window, cuts
         self.items: list[Item] = []
         self.sequence = 0
@@ -196,7 +196,9 @@ class Words:
 
     def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [as_text(w) for w in words]
-        plain = np.array([(t.isascii() or max(t) < PLAIN) and not any(s in t for s in self.special) for t in texts], bool)
+        everything = " ".join(texts)
+        special = [s for s in self.special if s in everything]
+        plain = np.array([(t.isascii() or max(t) < PLAIN) and not (special and any(s in t for s in special)) for t in texts], bool)
         out: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
         found = self.pattern.findall(" ".join(t.lower() for t, p in zip(texts, plain) if p))
         gap = np.fromiter((f == " " for f in found), bool, len(found))
@@ -238,7 +240,7 @@ def _sequence_base() -> int:
     return (context.partitionId() if context else 0) << LOCAL_BITS
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, window: int = 512,
+def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, window: int = 128,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -287,7 +289,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
                               "offset long")
 
 
-def pack_examples(examples: DataFrame, limits: Limits, cuts: bool = False, window: int = 512, id_col: str = "id",
+def pack_examples(examples: DataFrame, limits: Limits, cuts: bool = False, window: int = 128, id_col: str = "id",
                   tokens_col: str = "n_tokens", loss_col: str = "n_loss") -> DataFrame:
     """Instruction examples with counts of tokens and loss-bearing tokens: id, start, length, sequence_id, offset.
 
