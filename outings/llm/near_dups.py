@@ -18,7 +18,8 @@ from outings.sources.tables import materialized
 class Forest:
     """``orders`` sorted orders, each of ``DIGITS`` of the ``hashes`` minima. Neighbours share ``depth`` digits or more; where
     more than ``reach`` rows do, the nearest are those with the longest common prefix, so the depth adapts to the region.
-    Pairs with fewer than ``least`` equal minima are not looked at further (at a similarity of 0.75, 48 of 64 are expected,
+    Rows of a region with more than ``reach`` rows meet once more by the shingles they share; those held by ``rare`` rows of
+    such regions or fewer make pairs directly. Pairs with fewer than ``least`` equal minima are not looked at further (at a similarity of 0.75, 48 of 64 are expected,
     and fewer than 33 turn up about three times in a million)."""
 
     words: int = 5
@@ -29,6 +30,7 @@ class Forest:
     reach: int = 24
     least: int = 33
     seed: int = 5
+    rare: int = 32
 
 
 DIGITS = 8
@@ -221,10 +223,8 @@ def promising(pairs: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, equal int")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough; the sets come from the texts of one document of each class."""
-    used = materialized(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-                        .join(classes.select("cls", "rep"), "cls"), "used")
+def sets_of(used: DataFrame, docs: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
+    """cls and members (its shingles) of the classes of ``used`` (cls, rep), from the texts of one document of each."""
     df = id_and_text(docs, id_col, text_col)
     texts = within_bitmap(used, "rep")(df, F.col("doc_id")).join(used, F.col("doc_id") == F.col("rep")).select("cls", "text")
 
@@ -237,7 +237,84 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: For
                 yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  names=["cls", "members"]).filter(same)
 
-    sets = materialized(texts.mapInArrow(run, "cls long, members binary"), "sets")
+    return texts.mapInArrow(run, "cls long, members binary")
+
+
+def crowded(rows: DataFrame, forest: Forest) -> DataFrame:
+    """cls and comp of the rows that share ``depth`` digits of an order with more than ``reach`` rows, not all of one component."""
+    keyed = rows.select("o", F.shiftrightunsigned("k1", 64 - 16 * forest.depth).alias("prefix"), "cls", "comp")
+    regions = keyed.groupBy("o", "prefix").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    regions = regions.where((F.col("n") > forest.reach) & (F.col("lo") != F.col("hi"))).select("o", "prefix")
+    return keyed.join(regions, ["o", "prefix"]).select("cls", "comp").distinct()
+
+
+def crowd_pairs(crowd: DataFrame, docs: DataFrame, classes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of different components of ``crowd`` (cls, comp): all that may be similar, up to pairs that join nothing more.
+
+    Shingles are ordered by the number of rows of the crowd that hold them. Two similar sets share one of the first
+    n - ceil(percent n) + 1 of each. If that one is rare, the join on rare shingles meets them. If not, the rare ones of
+    both sets end before, none is shared, and the frequent ones alone must do: then each set is also similar to the smallest
+    set with the same frequent shingles as the smaller of the two. So every row meets the smallest with its own
+    frequent shingles, and by frequent shingles the smallest of every other selection of them.
+    """
+    crowd = crowd.join(classes.select("cls", "rep", F.col("n").alias("size")), "cls")
+    crowd = materialized(crowd, "crowd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column("members").to_pylist()
+            if members:
+                count = np.array([len(m) // 8 for m in members])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cls").to_numpy(), count)),
+                                                  pa.array(np.frombuffer(b"".join(members), np.int64))], names=["cls", "shingle"])
+
+    sets = sets_of(crowd.select("cls", "rep"), docs, forest, id_col, text_col)
+    held = sets.mapInArrow(run, "cls long, shingle long").join(crowd.select("cls", "comp"), "cls")
+    held = materialized(held, "crowd-shingles")
+    # The component that holds a shingle most often: its rows need not meet each other.
+    freq = held.groupBy("shingle", "comp").agg(F.count("*").alias("n")).groupBy("shingle").agg(
+        F.sum("n").alias("df"), F.max(F.struct("n", "comp")).alias("main"))
+    freq = freq.where("df > 1").select("shingle", "df", F.col("main.comp").alias("main"))
+    own = F.struct("df", "shingle", "main")
+    rows = held.select("cls", "shingle").join(freq, "shingle").groupBy("cls").agg(
+        F.sort_array(F.collect_list(F.when(F.col("df") <= forest.rare, own))).alias("cold"),
+        F.sort_array(F.collect_list(F.when(F.col("df") > forest.rare, own))).alias("hot"))
+    rows = rows.join(crowd.select("cls", "comp", "size"), "cls")
+    first = F.col("size") - F.ceil(F.lit(forest.percent) * F.col("size") / 100) + 1
+    single = F.col("size") - F.size("cold") - F.size("hot")
+    shown = F.transform("hot", lambda x: x["shingle"])
+    rows = rows.withColumn("n_hot", F.size("hot")).withColumn("same", F.when(F.size("hot") > 0, F.struct(
+        F.xxhash64(shown).alias("s1"), F.xxhash64(F.lit(1), shown).alias("s2"))))
+    # Shingles of one row alone come first in its order.
+    rows = rows.withColumn("cold", F.slice("cold", F.lit(1), F.greatest(F.lit(0), first - single).cast("int"))).withColumn(
+        "hot", F.slice("hot", F.lit(1), F.greatest(F.lit(0), first - (F.col("size") - F.col("n_hot"))).cast("int")))
+    rows = materialized(rows, "crowd-rows")
+    fits = 100 * F.least("x.size", "y.size") >= forest.percent * F.greatest("x.size", "y.size")
+    cross = (F.col("x.comp") != F.col("y.comp")) & fits
+    cold = rows.select("cls", "comp", "size", F.explode("cold.shingle").alias("shingle"))
+    x, y = cold.alias("x"), cold.alias("y")
+    by_rare = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & cross)
+    smallest = rows.where("same is not null").groupBy("same").agg(F.min(F.struct("size", "cls", "comp", "n_hot", "hot")).alias("m"))
+    smallest = materialized(smallest.select("same", "m.*"), "crowd-smallest")
+    # What frequent shingles alone can share has to be enough.
+    alone = (100 + forest.percent) * F.least("x.n_hot", "y.n_hot") >= forest.percent * (F.col("x.size") + F.col("y.size"))
+    x, y = rows.drop("cold", "hot").alias("x"), smallest.drop("hot").alias("y")
+    by_same = x.join(y, (F.col("x.same") == F.col("y.same")) & cross & alone)
+    hot = rows.select("cls", "comp", "size", "n_hot", "same", F.explode("hot").alias("h")).select("*", "h.*")
+    small = smallest.select("cls", "comp", "size", "n_hot", "same", F.explode("hot").alias("h")).select("*", "h.*")
+    x, y = hot.alias("x"), small.alias("y")
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.same") != F.col("y.same")) & cross & alone
+    aside = "comp <> main"
+    by_hot = [hot.where(aside).alias("x").join(y, met), hot.where("comp = main").alias("x").join(small.where(aside).alias("y"), met)]
+    out = [p.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")) for p in (by_rare, by_same, *by_hot)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough; the sets come from the texts of one document of each class."""
+    used = materialized(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+                        .join(classes.select("cls", "rep"), "cls"), "used")
+    sets = materialized(sets_of(used, docs, forest, id_col, text_col), "sets")
     one = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     two = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
 
@@ -269,7 +346,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     search is repeated with components: neighbours in another component are compared with each other and with the hub of
     that component, its member with the most confirmed links, and whatever is promising and joins two components is
     confirmed. So a crowded region need not be compared pair by pair, and a copy that is similar to the original
-    alone still meets it. The rounds end when one joins nothing.
+    alone still meets it. When a round joins nothing, the rows of regions with more rows than a round looks at meet by
+    the shingles they share (``crowd_pairs``), and that ends the search.
 
     Defined cases: texts that are null, empty or without words have size 0 and are their own component; so are rows
     without id, with a null component; rows that share an id but not the text are documents of their own; repeated rows
@@ -299,6 +377,11 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
         pairs = materialized(apart(pairs.select("a", "b"), comps), "pairs")
         new = materialized(confirmed(pairs, docs, classes, forest, id_col, text_col), "confirmed")
         if not new.count():
+            # What is left are pairs that stand too far apart in a crowded region.
+            pairs = crowd_pairs(crowded(order_rows(rows, forest), forest), docs, classes, forest, id_col, text_col)
+            pairs = materialized(promising(pairs, classes, forest).select("a", "b"), "pairs")
+            new = materialized(confirmed(pairs, docs, classes, forest, id_col, text_col), "confirmed")
+            comps = connected(links.unionByName(new), contract=True)
             break
         links = materialized(links.unionByName(new).distinct(), "confirmed")
         comps = connected(links, contract=True)

@@ -339,3 +339,28 @@ def test_pipeline(spark):
         before = kept.count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in kept.collect()}
+
+
+@pytest.mark.parametrize("crowd", [60, 600])
+def test_pairs_in_a_crowd(spark, crowd):
+    """Texts that share most of a passage and are just not similar; pairs of them are, by rare words they share or by the passage alone."""
+    rnd = random.Random(crowd)
+    passage = " ".join(f"p{i}" for i in range(254))
+    rows, planted = [], []
+    for i in range(crowd):
+        rows.append((i, passage + " " + " ".join(f"q{i}-{j}" for j in range(46))))
+    for i in range(0, 40, 2):
+        own = [f"z{i}-{j}" for j in range(46)]
+        for side in (0, 1):
+            at = 10000 + i + side
+            rows.append((at, passage + " " + " ".join(own[:12] + [f"y{at}-{j}" for j in range(34)])))
+    # Shorter ones that the passage alone makes similar to each other, not to the rest.
+    rows += [(20000 + i, " ".join(passage.split()[i:]) + " " + " ".join(f"v{i}-{j}" for j in range(39))) for i in range(3)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = brute_components(rows)
+    joined = sum(i != c for i, _, c in expected)
+    assert joined == 22
+    # Without rounds that look far, so the crowd alone has to find them.
+    for forest in (near_dups.Forest(), near_dups.Forest(reach=2)):
+        assert as_rows(near_dups.near_duplicates(df, forest)) == expected
