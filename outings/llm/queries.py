@@ -68,9 +68,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_fuzzy_lines")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from outings.llm.lines import dedup_report
+    from outings.llm.lines import WHOLE, dedup_report
 
-    return dedup_report(read(spark, sf_dir, "documents"))
+    return dedup_report(read(spark, sf_dir, "documents"), WHOLE)
 
 
 @query("op6_rule_ledger", r"""

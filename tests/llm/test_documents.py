@@ -364,3 +364,35 @@ def test_pairs_in_a_crowd(spark, crowd):
     # Without rounds that look far, so the crowd alone has to find them.
     for forest in (near_dups.Forest(), near_dups.Forest(reach=2)):
         assert as_rows(near_dups.near_duplicates(df, forest)) == expected
+
+
+def test_recall_of_lines_alike(spark):
+    """Lines with one word put for another, or with letters changed, against the edit distance; the operator's hashes play no part."""
+    rnd = random.Random(9)
+
+    def word():
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9)))
+
+    rows, kinds = [], {}
+    for kind in ("word", "letters_3", "letters_6", "letters_10"):
+        for n in (10, 20, 30, 50):
+            for _ in range(25):
+                words = [word() for _ in range(n)]
+                own = " ".join(words)
+                if kind == "word":
+                    words[rnd.randrange(n)] = word()
+                    other = " ".join(words)
+                else:
+                    letters = list(own)
+                    for at in rnd.sample([i for i, c in enumerate(own) if c != " "], len(own) * int(kind.split("_")[1]) // 100):
+                        letters[at] = rnd.choice("abcdefghijklmnopqrstuvwxyz")
+                    other = "".join(letters)
+                if own != other and len(own) >= 40 and len(other) >= 40 and edit_distance(own, other) <= max(len(own), len(other)) // 10:
+                    kinds[len(rows) + 1] = kind, n
+                    rows += [(len(rows), own), (len(rows) + 1, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = {r.doc_id for r in lines.dedup_report(df, lines.WHOLE).where("n_removed > 0").collect()}
+    assert gone <= set(kinds)
+    found, total = Counter(kinds[i][0] for i in gone), Counter(k for k, _ in kinds.values())
+    assert found["word"] >= 0.98 * total["word"] and found["letters_3"] >= 0.98 * total["letters_3"]
+    assert found["letters_6"] >= 0.9 * total["letters_6"] and found["letters_10"] >= 0.6 * total["letters_10"]
