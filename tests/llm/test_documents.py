@@ -366,6 +366,21 @@ def test_pairs_in_a_crowd(spark, crowd):
         assert as_rows(near_dups.near_duplicates(df, forest)) == expected
 
 
+def test_copies_of_lines_of_any_length(spark):
+    """Short lines, lines without letters and lines of a script without spaces: one occurrence of each stays, blank lines stay."""
+    rnd = random.Random(8)
+    han = ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(60)) for _ in range(3)]
+    rows = [(1, f"Read more\n{han[0]}\n---\n\n  \nfoo"), (2, f"read more!\n---\nbar\n\n{han[0]}"), (3, f"***\nfoo\nFOO\n{han[1]}"),
+            (4, f"{han[1][:30]}一{han[1][31:]}\n{han[2]}\nread\n \t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    report = {r.doc_id: r.gone for r in lines.dedup_report(df, lines.WHOLE).collect()}
+    assert report == {1: [], 2: [0, 1, 4], 3: [1, 2], 4: [0]}
+    left = {r.doc_id: r.text for r in lines.without_repeats(df, lines.WHOLE).collect()}
+    assert left == {1: rows[0][1], 2: "bar\n", 3: f"***\n{han[1]}", 4: f"{han[2]}\nread\n \t"}
+    plan = lines.dedup_report(df, lines.WHOLE)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
 def test_recall_of_lines_alike(spark):
     """Lines with one word put for another, or with letters changed, against the edit distance; the operator's hashes play no part."""
     rnd = random.Random(9)
