@@ -20,7 +20,7 @@ class Forest:
     more than ``reach`` rows do, the nearest are those with the longest common prefix, so the depth adapts to the region.
     Rows of a region with more than ``reach`` rows meet once more by the shingles they share; those held by ``rare`` rows of
     such regions or fewer make pairs directly. Pairs with fewer than ``least`` equal minima are not looked at further (at a similarity of 0.75, 48 of 64 are expected,
-    and fewer than 33 turn up about three times in a million)."""
+    and fewer than 29 turn up about once in ten million)."""
 
     words: int = 5
     percent: int = 75
@@ -28,7 +28,7 @@ class Forest:
     orders: int = 24
     depth: int = 3
     reach: int = 24
-    least: int = 33
+    least: int = 29
     seed: int = 5
     rare: int = 32
 

@@ -1,5 +1,6 @@
 """Rules, shards, language, quality, near duplicates, lines and the pipeline on small tables."""
 
+import math
 import random
 import re
 import zlib
@@ -217,6 +218,13 @@ def test_copies_that_meet_only_in_the_original(spark):
     assert as_rows(near_dups.near_duplicates(df)) == brute_components(rows)
 
 
+def test_least_equal_minima():
+    """The chance that a pair at the threshold is dropped before its whole sets are compared."""
+    plan = near_dups.Forest()
+    p = plan.percent / 100
+    assert sum(math.comb(plan.hashes, k) * p**k * (1 - p)**(plan.hashes - k) for k in range(plan.least)) < 2e-7
+
+
 def test_connected(spark):
     rnd = random.Random(3)
     links = [(i, i + 1) for i in range(300)] + [(1000 + rnd.randrange(200), 1000 + rnd.randrange(200)) for _ in range(120)]
