@@ -129,3 +129,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from outings.llm.shards import shard_rows
 
     return shard_rows(read(spark, sf_dir, "documents"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_phrase_collocations", rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, s, array_to_string(words[i:i + s - 1], ' ') AS phrase
+      FROM (SELECT lang, words, s, unnest(range(1, len(words) - s + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(s))),
+f AS (SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE s = 1 GROUP BY lang),
+c AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE s > 1 AND f >= 10),
+inner_parts AS (SELECT DISTINCT lang, array_to_string(words[i:i + 1], ' ') AS phrase, max(a) OVER (PARTITION BY lang, array_to_string(words[i:i + 1], ' ')) AS longer
+                FROM (SELECT lang, words, a, unnest([1, 2]) AS i FROM c WHERE s = 3)),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, array_to_string(words[1:k], ' ') AS x, array_to_string(words[k + 1:], ' ') AS y
+         FROM (SELECT *, unnest(range(1, s)) AS k FROM c) c),
+sc AS (SELECT cuts.lang, cuts.phrase, a, k, fl.f AS l, fr.f AS r,
+              ((1000000::HUGEINT * a * a) // (fl.f::HUGEINT * fr.f))::BIGINT AS score
+       FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = x JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = y),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_parts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.collocations import collocations
+
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_ranked_search", rf"""
+WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+d AS (SELECT doc_id, row_number() OVER () AS row, {TERMS} AS terms FROM documents),
+s AS (SELECT count_if(len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS words FROM d),
+m AS (SELECT doc_id, row, terms, 100 - 25 + ((25 * len(terms) * docs) // words) AS m FROM d, s),
+p AS (SELECT row, doc_id, m, term, count(*) AS tf FROM (SELECT row, doc_id, m, unnest(terms) AS term FROM m) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+h AS (SELECT item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN p USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM h WHERE score > 0 QUALIFY rank <= 20
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.ranked_search import ranked
+
+    return ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op13_source_mix")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from outings.llm.mixing import mixed
+
+    return mixed(read(spark, sf_dir, "documents"))
