@@ -212,8 +212,9 @@ def within_bitmap(keys: DataFrame, key: str, bits: int = 20) -> Callable[[DataFr
     return only
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of one partition as stars around the smallest node of each of its components."""
+def _contract(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The links of one partition as stars around the smallest node of each component; whenever ``limit`` nodes are known, the
+    stars so far are given out and forgotten."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -222,30 +223,38 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up
         return x
 
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
             u, v = root(u), root(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
-    stars = [(x, root(x)) for x in list(parent)]
-    u, v = [x for x, r in stars if x != r], [r for x, r in stars if x != r]
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        if len(parent) > limit:
+            yield stars()
+            parent.clear()
+    yield stars()
 
 
-def connected(links: DataFrame, contract: bool = False, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, contract: bool = False, rounds: int = 200) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); root is the smallest node that can be reached, itself included.
 
     Alternates large stars and small stars; each round is aggregations and joins on node ids and is written to the
-    shared folder, so that no lineage grows. The loop ends when a round changes nothing. ``contract`` first reduces the
+    shared folder, so that no lineage grows. The loop ends when a round changes nothing; should that not happen within
+    ``rounds`` (their number grows with the logarithm of a component), an error is raised. ``contract`` first reduces the
     links of every partition to stars, in Python, which saves rounds.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialized(edges.mapInArrow(_contract, "u long, v long") if contract else edges, "links")
     before = None
-    for _ in range(rounds):
+    for number in range(rounds + 1):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
+        if number == rounds:
+            raise RuntimeError(f"components were not complete after {rounds} rounds")
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -188,33 +188,34 @@ def held_out(id_col: Column) -> Column:
 
 
 def sample_windows(docs: DataFrame, plan: Plan, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """lang, data: windows of the ``per_language`` learnable documents of every language with the smallest id hashes.
+    """lang, data: windows of at most ``per_language`` learnable documents of every language.
 
-    The hashes are ranked without the texts (a task sends ``per_language`` of a language at most); one limit per
-    language then selects the documents in the scan.
+    Documents are dealt to ``per_language`` bins of their language by a hash of id and text, and each bin gives the one with
+    the smallest hash: an aggregation of numbers. The chosen hashes, as bounded as the classes of the model, are broadcast
+    to the scan. Repeated rows have one hash, and only one of them gives its windows; no text is shuffled.
     """
-    from pyspark.sql import Window
-
     fold = docs[id_col].isNotNull() & ~held_out(docs[id_col])
     df = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("binary").alias("text"),
                      docs[lang_col].cast("string").alias("lang")).where(fold & docs[lang_col].isNotNull())
-    df = df.where("text is not null and length(text) > 0").withColumn("h", F.xxhash64("id"))
-    ranked = df.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    limits = ranked.where(F.col("r") <= plan.per_language).groupBy("lang").agg(F.max("h").alias("most"))
-    chosen = df.join(limits, "lang").where("h <= most").select("lang", "text", "h")
+    df = df.where("text is not null and length(text) > 0").withColumn("h", F.xxhash64("id", "text"))
+    bins = df.select("lang", "h").groupBy("lang", F.pmod("h", F.lit(plan.per_language)).alias("bin")).agg(F.min("h").alias("h"))
+    chosen = df.join(F.broadcast(bins.select("lang", "h")), ["lang", "h"]).select("lang", "text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, data = [], []
+            langs, hashes, numbers, data = [], [], [], []
             for lang, text, h in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "h"))):
                 count = -(-len(text) // plan.window)
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
                 for i in sorted(rng.permutation(count)[:plan.per_document].tolist()):
                     langs.append(lang)
+                    hashes.append(h)
+                    numbers.append(i)
                     data.append(text[i * plan.window:(i + 1) * plan.window])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], names=["lang", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int64()),
+                                              pa.array(data, pa.binary())], names=["lang", "h", "number", "data"])
 
-    return chosen.mapInArrow(run, "lang string, data binary")
+    return chosen.mapInArrow(run, "lang string, h long, number long, data binary").distinct().select("lang", "data")
 
 
 def fit(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -288,7 +289,13 @@ def spans_by_language(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents whose language is determined with a score of ``least`` or more, with all their columns."""
+    """The documents whose language is determined with a score of ``least`` or more, with all their columns.
+
+    Defined cases: null texts and texts without a letter go; a model without languages can judge nothing, and every document
+    stays; repeated rows and rows without id are judged each; no rows give no rows; a column may have any name.
+    """
+    if not model.languages:
+        return docs
     name = free_name(docs, "identified")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

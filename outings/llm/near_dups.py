@@ -79,8 +79,9 @@ def _class_of(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, cls and cls2 (128 bits of the set), sig (minima); texts without words have no cls and no sig."""
-    df = id_and_text(docs, id_col, text_col)
+    """doc_id, of (hash of the whole text), n_shingles, cls and cls2 (128 bits of the set), sig (minima); texts without words have no
+    cls and no sig."""
+    df = id_and_text(docs, id_col, text_col).withColumn("of", F.xxhash64("text"))
     rng = np.random.default_rng(forest.seed)
     a = rng.integers(0, 1 << 32, forest.hashes, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     b = rng.integers(0, 1 << 32, forest.hashes, dtype=np.uint64).astype(np.uint32)
@@ -91,12 +92,12 @@ def signatures(docs: DataFrame, forest: Forest, id_col: str, text_col: str) -> D
                 sets = shingle_sets([t or b"" for t in part.column("text").to_pylist()], forest.words)
                 classes = [_class_of(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    [part.column("doc_id"), part.column("of"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()),
                      pa.array([_minima(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "cls", "cls2", "sig"])
+                    names=["doc_id", "of", "n_shingles", "cls", "cls2", "sig"])
 
-    return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, n_shingles long, cls long, cls2 long, sig binary")
+    return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, of long, n_shingles long, cls long, cls2 long, sig binary")
 
 
 def order_positions(forest: Forest) -> np.ndarray:
@@ -337,9 +338,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: For
             .join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
+def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row: components of documents with similar shingle sets.
+    """doc_id, of (hash of the text), n_shingles, component_id and kept of every row.
 
     Equal sets are one class from the start, however many copies there are. First every class meets its nearest
     neighbour on either side in all orders, and its two most promising pairs are confirmed on the whole sets. Then the
@@ -348,10 +349,6 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     confirmed. So a crowded region need not be compared pair by pair, and a copy that is similar to the original
     alone still meets it. When a round joins nothing, the rows of regions with more rows than a round looks at meet by
     the shingles they share (``crowd_pairs``), and that ends the search.
-
-    Defined cases: texts that are null, empty or without words have size 0 and are their own component; so are rows
-    without id, with a null component; rows that share an id but not the text are documents of their own; repeated rows
-    get the same verdict; no rows give no rows; extra columns are ignored.
     """
     table = materialized(signatures(docs, forest, id_col, text_col), "signatures")
     least = table.where("cls is not null and doc_id is not null").groupBy("cls", "cls2").agg(
@@ -390,13 +387,28 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "d
     firsts = roots.groupBy("root").agg(F.min("rep").alias("component"))
     named = roots.join(firsts, "root").select("cls", "component")
     return table.join(named, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
+        "doc_id", "of", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row: components of documents with similar shingle sets.
+
+    Defined cases: texts that are null, empty or without words have size 0 and are their own component; so are rows
+    without id, with a null component; rows that share an id but not the text are documents of their own; repeated rows
+    get the same verdict; no rows give no rows; extra columns are ignored.
+    """
+    return verdicts(docs, forest, id_col, text_col).drop("of")
+
+
 def keep_one(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns; rows without id stay."""
+    """The documents that ``near_duplicates`` keeps, with all their columns.
+
+    A row goes by its id and its text, so another text under the id of a copy stays. Defined cases: rows without id stay; null texts
+    and texts without words stay; repeated rows get the same verdict; no rows give no rows; columns may have any name.
+    """
     name = free_name(docs, "verdict")
-    gone = near_duplicates(docs, forest, id_col=id_col, text_col=text_col).where("not kept and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
+    gone = verdicts(docs, forest, id_col, text_col).where("not kept and doc_id is not null")
+    gone = gone.select(F.col("doc_id").alias(name), F.col("of").alias(name + "_of")).distinct()
+    text = F.xxhash64(docs[text_col].cast("binary"))
+    return docs.join(gone, (docs[id_col] == F.col(name)) & (text == F.col(name + "_of")), "left_anti")

@@ -149,21 +149,23 @@ def fit(docs: DataFrame, ratings: DataFrame, plan: Plan = Plan(), id_col: str =
     """Learn from the ``sample`` rated documents outside the held-out fold with the smallest id hashes; None without any.
 
     The sample is drawn from the ratings alone and is bounded, so it is sent to the scan of the documents; what comes
-    back are bucket numbers.
+    back are bucket numbers, of one row per id: the one whose text has the least hash.
     """
     chosen = (ratings.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("grade").alias("grade"))
               .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(plan.sample))
-    df = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    df = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 ends, buckets = features([t or b"" for t in part.column("text").to_pylist()], plan.bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(buckets))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), lists],
-                                                 names=["doc_id", "grade", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), part.column("h"), lists],
+                                                 names=["doc_id", "grade", "h", "buckets"])
 
-    rows = df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, grade int, buckets array<int>").toArrow()
+    found = df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, grade int, h long, buckets array<int>")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("h", "grade", "buckets")).alias("one"))
+    rows = one.select("doc_id", "one.grade", "one.buckets").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by("doc_id").combine_chunks()
@@ -205,7 +207,11 @@ def grade_documents(docs: DataFrame, model: Model | None, least: float = 0.5, id
 
 
 def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that ``grade_documents`` keeps, with all their columns."""
+    """The documents that ``grade_documents`` keeps, with all their columns.
+
+    Defined cases: a null text is graded as the empty text; without a model every document stays; repeated rows and rows
+    without id are graded each; no rows give no rows; a column may have any name.
+    """
     name = free_name(docs, "graded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -259,9 +259,9 @@ def edit_distance(a, b):
 
 
 def test_lines(spark):
-    """Against brute force over all pairs of lines, with the hashes that the operator computed."""
+    """Against brute force over the edit distances of all pairs of lines; the operator's blocks play no part."""
     rnd = random.Random(6)
-    vocabulary = [f"word{chr(97 + i)}" for i in range(26)]
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 8))) for _ in range(200)]
     base = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(8, 30))) for _ in range(40)]
     rows = []
     for i in range(120):
@@ -272,21 +272,13 @@ def test_lines(spark):
                 words[rnd.randrange(len(words))] += rnd.choice(["!", "s", "", " extra", "7"])
             own.append(rnd.choice(["  ", ""]) + " ".join(words))
         rows.append((i, "\n".join(own) if own else rnd.choice([None, "", "\n", "short\nshort"])))
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS gone", "2 AS pos").repartition(3)
-    plan = lines.Lines()
-    found = lines.occurrences(df, plan, "doc_id", "text")
-    marked = lines.simhashes(found).join(found.select("doc_id", "pos", "norm"), ["doc_id", "pos"]).collect()
-    sims, places = {}, defaultdict(list)
-    for r in marked:
-        sims[r.norm] = r.sim & (1 << 64) - 1
-        places[r.norm].append((r.doc_id, r.pos))
-    expected_places = defaultdict(list)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS gone", "2 AS pos", "'x' AS of").repartition(3)
+    places = defaultdict(list)
     for i, t in rows:
         for pos, line in enumerate((t or "").split("\n")):
-            if len(line) >= 40 and len(normal(line)) >= 40 and len(normal(line).split()) >= 5:
-                expected_places[normal(line)].append((i, pos))
-    assert {k: sorted(v) for k, v in places.items()} == dict(expected_places)
-    names = sorted(sims)
+            if normal(line):
+                places[normal(line)].append((i, pos))
+    names = sorted(places)
     parent = {n: n for n in names}
 
     def root(x):
@@ -294,13 +286,11 @@ def test_lines(spark):
             x = parent[x]
         return x
 
-    links = 0
-    for i, a in enumerate(names):
-        for b in names[i + 1:]:
-            if bin(sims[a] ^ sims[b]).count("1") <= 3 and edit_distance(a, b) <= max(len(a), len(b)) // 10:
-                parent[root(a)] = root(b)
-                links += 1
-    assert links > 20
+    links = [(a, b) for i, a in enumerate(names) for b in names[i + 1:] if min(len(a), len(b)) >= 40 and abs(len(a) - len(b)) <= 30
+             and edit_distance(a, b) <= max(len(a), len(b)) // 10]
+    assert len(links) > 20
+    for a, b in links:
+        parent[root(a)] = root(b)
     groups = defaultdict(list)
     for n in names:
         groups[root(n)] += places[n]
@@ -321,6 +311,30 @@ def test_lines(spark):
             assert i not in left
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(1, "first line\nsame line here"), (5, "other\nsame line here"), (5, "unique opening\nunique second line"), (5, "other\nsame line here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r.text for r in lines.without_repeats(df).collect()) == Counter(
+        {"first line\nsame line here": 1, "other": 2, "unique opening\nunique second line": 1})
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_template_lines_give_pairs_in_proportion(spark, n):
+    """Lines that differ in one name: one group, from a number of pairs that does not grow with the square."""
+    rnd = random.Random(n)
+
+    def word():
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+
+    rows = [(i, f"the visitor {word()} has signed the book of the old museum at the gate on the morning of a cold and rainy day in the spring") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plan = lines.Lines(crowd=64)
+    found = lines.occurrences(df, plan, "doc_id", "text")
+    assert lines.candidate_pairs(found, plan).count() <= 30 * n
+    kept = lines.without_repeats(df, plan).count()
+    assert kept == 1
+
+
 def test_lines_awkward(awkward, nothing):
     assert lines.dedup_report(awkward).count() == len(AWKWARD)
     assert lines.dedup_report(nothing).count() == 0
@@ -349,6 +363,42 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_one_document_of_each_group_and_no_other_text_of_its_id(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, c), (None, c), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS verdict", "2 AS cls")
+    out = near_dups.keep_one(df)
+    assert out.columns == df.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter(r for r in rows if r != (5, a))
+
+
+def test_no_languages_no_judgement(spark, nothing):
+    df = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert model.languages == [] and language.keep_identified(df, model).count() == 2
+    assert language.keep_identified(nothing, language.fit(nothing)).count() == 0
+
+
+def test_samples_are_bounded(spark, prose):
+    """Rows that share an id, or are the same row, do not add to the sample, and no text is shuffled."""
+    same = spark.range(20000).selectExpr("3L AS doc_id", "concat('text of some length number ', id, repeat(' and so on', 60)) AS text", "'en' AS lang")
+    copies = spark.range(5000).selectExpr("4L AS doc_id", "repeat('the very same text again ', 40) AS text", "'de' AS lang")
+    plan = language.Plan()
+    windows = language.sample_windows(same.unionByName(copies), plan, "doc_id", "text", "lang")
+    counts = {r.lang: r["count"] for r in windows.groupBy("lang").count().collect()}
+    assert counts["en"] <= plan.per_language * plan.per_document and counts["de"] <= plan.per_document
+    explained = windows._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line for line in explained.splitlines() if "Exchange" in line)
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    whole = quality.fit_arrays
+    quality.fit_arrays = lambda ends, buckets, grade, plan: seen.append(len(grade)) or whole(ends, buckets, grade, plan)
+    try:
+        quality.fit(same.unionByName(copies), quality.graded(labels))
+    finally:
+        quality.fit_arrays = whole
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (3, 4))]
+
+
 @pytest.mark.parametrize("crowd", [60, 600])
 def test_pairs_in_a_crowd(spark, crowd):
     """Texts that share most of a passage and are just not similar; pairs of them are, by rare words they share or by the passage alone."""
@@ -381,11 +431,11 @@ def test_copies_of_lines_of_any_length(spark):
     rows = [(1, f"Read more\n{han[0]}\n---\n\n  \nfoo"), (2, f"read more!\n---\nbar\n\n{han[0]}"), (3, f"***\nfoo\nFOO\n{han[1]}"),
             (4, f"{han[1][:30]}一{han[1][31:]}\n{han[2]}\nread\n \t")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    report = {r.doc_id: r.gone for r in lines.dedup_report(df, lines.WHOLE).collect()}
+    report = {r.doc_id: r.gone for r in lines.dedup_report(df).collect()}
     assert report == {1: [], 2: [0, 1, 4], 3: [1, 2], 4: [0]}
-    left = {r.doc_id: r.text for r in lines.without_repeats(df, lines.WHOLE).collect()}
+    left = {r.doc_id: r.text for r in lines.without_repeats(df).collect()}
     assert left == {1: rows[0][1], 2: "bar\n", 3: f"***\n{han[1]}", 4: f"{han[2]}\nread\n \t"}
-    plan = lines.dedup_report(df, lines.WHOLE)._jdf.queryExecution().toString()
+    plan = lines.dedup_report(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
@@ -414,8 +464,8 @@ def test_recall_of_lines_alike(spark):
                     kinds[len(rows) + 1] = kind, n
                     rows += [(len(rows), own), (len(rows) + 1, other)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    gone = {r.doc_id for r in lines.dedup_report(df, lines.WHOLE).where("n_removed > 0").collect()}
+    gone = {r.doc_id for r in lines.dedup_report(df).where("n_removed > 0").collect()}
     assert gone <= set(kinds)
     found, total = Counter(kinds[i][0] for i in gone), Counter(k for k, _ in kinds.values())
     assert found["word"] >= 0.98 * total["word"] and found["letters_3"] >= 0.98 * total["letters_3"]
-    assert found["letters_6"] >= 0.9 * total["letters_6"] and found["letters_10"] >= 0.6 * total["letters_10"]
+    assert found["letters_6"] >= 0.95 * total["letters_6"] and found["letters_10"] >= 0.9 * total["letters_10"]
