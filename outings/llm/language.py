@@ -21,14 +21,16 @@ UNDETERMINED = "und"
 class Plan:
     """Sizes of the network and of its training. Texts are read in windows of ``window`` bytes, every byte in one of
     them. The training sample is bounded: ``per_language`` documents of each language, ``per_document`` windows of each;
-    there are about ``updates`` batches, whatever the size of the sample."""
+    there are about ``updates`` batches, whatever the size of the sample. ``background`` is the share of windows of no learned language
+    that are made for training (of the windows of an average language); without it, any text is some learned language."""
 
     window: int = 64
     hidden: int = 8
     per_language: int = 160
     per_document: int = 8
     batch: int = 256
-    updates: int = 200
+    updates: int = 240
+    background: float = 1.0
     rate: float = 0.02
     seed: int = 7
 
@@ -47,6 +49,32 @@ def windows_of(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     return matrix, lengths, owner
 
 
+# Blocks of letters (fixed values, first and last code point): Greek, Cyrillic, Armenian, Hebrew, Arabic, Devanagari, Bengali, Tamil, Thai,
+# Georgian, Hiragana and Katakana, CJK, Hangul.
+BLOCKS = ((0x391, 0x3C9), (0x410, 0x44F), (0x531, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x939), (0x985, 0x9B9), (0xB85, 0xBB9),
+          (0xE01, 0xE30), (0x10D0, 0x10FA), (0x3041, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
+
+def background_windows(windows: list[bytes], count: int, size: int, seed: int) -> list[bytes]:
+    """Windows of no learned language: half are learned windows whose letters have been exchanged for one another, so that word
+    lengths and signs stay and the spelling is no language's; half are words of blocks of letters that no learned window uses."""
+    rng = np.random.default_rng(seed)
+    letters = sorted({c for w in windows for c in as_text(w).lower() if c.isalpha() and c != "\ufffd"})
+    seen = {ord(c) for c in letters}
+    foreign = [(a, b) for a, b in BLOCKS if not any(a <= c <= b for c in seen)]
+    out = []
+    for n in range(count):
+        if n % 2 or not foreign:
+            table = dict(zip(letters, (letters[i] for i in rng.permutation(len(letters)))))
+            text = "".join(table.get(c, c) for c in as_text(windows[int(rng.integers(len(windows)))]).lower())
+        else:
+            first, last = foreign[int(rng.integers(len(foreign)))]
+            own = rng.integers(first, last + 1, 40)
+            text = " ".join("".join(chr(own[i]) for i in rng.integers(0, 40, rng.integers(1, 10))) for _ in range(size // 4))
+        out.append(text.encode()[:size])
+    return [w for w in out if w]
+
+
 class Network:
     """Two GRUs, one in each direction, and a softmax over both states at every byte. Parameters are float32 arrays.
 
@@ -167,16 +195,17 @@ class Model:
     window: int
 
     def score(self, texts: list[bytes], chunk: int = 2048) -> np.ndarray:
-        """Mean class probability over all bytes of every text; empty texts have zeros."""
+        """Mean probability of every language over all bytes of every text; empty texts have zeros. What is missing to 1 belongs to the
+        background."""
         data, lengths, owner = windows_of(texts, self.window)
         out = np.zeros((len(texts), len(self.languages)))
         for at in range(0, len(data), chunk):
             probs = self.network.probabilities(data[at:at + chunk], lengths[at:at + chunk]).sum(axis=0, dtype=np.float64)
-            np.add.at(out, owner[at:at + chunk], probs)
+            np.add.at(out, owner[at:at + chunk], probs[:, :len(self.languages)])
         return out / np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)))[:, None]
 
     def labels(self, text: bytes) -> np.ndarray:
-        """The language number of every byte."""
+        """The language number of every byte; the number after the last language is the background."""
         data, lengths, _ = windows_of([text], self.window)
         best = self.network.probabilities(data, lengths).argmax(axis=2).T
         return best[np.arange(self.window) < lengths[:, None]]
@@ -225,9 +254,11 @@ def fit(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col:
     if not languages:
         return Model([], None, plan.window)
     rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["data"])))
-    data, lengths, _ = windows_of([bytes(r["data"]) for r in rows], plan.window)
-    network = Network(len(languages), plan.hidden, plan.seed)
-    network.train(data, lengths, np.array([languages.index(r["lang"]) for r in rows]), plan)
+    windows, labels = [bytes(r["data"]) for r in rows], [languages.index(r["lang"]) for r in rows]
+    others = background_windows(windows, round(plan.background * len(windows) / len(languages)), plan.window, plan.seed)
+    data, lengths, _ = windows_of(windows + others, plan.window)
+    network = Network(len(languages) + (1 if others else 0), plan.hidden, plan.seed)
+    network.train(data, lengths, np.array(labels + [len(languages)] * len(others)), plan)
     return Model(languages, network, plan.window)
 
 
@@ -246,7 +277,7 @@ def _verdicts(model: Model, raw: list[bytes | None]) -> tuple[list[str], list[fl
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text; one pass, nothing is shuffled.
 
-    The score is the mean probability of the language over all bytes. Defined cases: ``und`` with score 0 for a null
+    The score is the mean probability of the language over all bytes; a text of no learned language has a low one. Defined cases: ``und`` with score 0 for a null
     text, a text without a letter, or a model without languages; ties go to the language that sorts first; repeated rows
     are judged each; a null doc_id is not held out and never learned from; other columns are not read.
     """
@@ -265,7 +296,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def spans_by_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs of bytes with the same label: doc_id, start, length, lang. Null and empty texts have none."""
+    """Runs of bytes with the same label: doc_id, start, length, lang (``und`` for the background). Null and empty texts have none."""
     df = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +311,7 @@ def spans_by_language(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
                     ids += [doc_id] * len(at)
                     starts += at.tolist()
                     lengths += np.diff(np.append(at, len(label))).tolist()
-                    names += [model.languages[i] for i in label[at]]
+                    names += [(*model.languages, UNDETERMINED)[i] for i in label[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field("doc_id").type), pa.array(starts, pa.int64()),
                                                   pa.array(lengths, pa.int64()), pa.array(names, pa.string())],
                                                  names=["doc_id", "start", "length", "lang"])

@@ -18,9 +18,11 @@ from outings.sources.tables import materialized
 class Forest:
     """``orders`` sorted orders, each of ``DIGITS`` of the ``hashes`` minima. Neighbours share ``depth`` digits or more; where
     more than ``reach`` rows do, the nearest are those with the longest common prefix, so the depth adapts to the region.
-    Rows of a region with more than ``reach`` rows meet once more by the shingles they share; those held by ``rare`` rows of
-    such regions or fewer make pairs directly. Pairs with fewer than ``least`` equal minima are not looked at further (at a similarity of 0.75, 48 of 64 are expected,
-    and fewer than 29 turn up about once in ten million)."""
+    Pairs whose sketches (two bits of every minimum) differ in more than ``apart`` minima are no candidates: at a similarity of 0.75, 12 of
+    64 are expected, and more than 30 turn up less than once in a million. Pairs with fewer than ``least`` equal minima are not looked at
+    further (48 are expected, and fewer than 29 turn up about once in ten million).
+    Rows of a region with more than ``reach`` rows meet again in ``deep`` further orders of twice the digits, ``near`` to a side, and by
+    the shingles that ``rare`` of these rows or fewer hold."""
 
     words: int = 5
     percent: int = 75
@@ -28,12 +30,17 @@ class Forest:
     orders: int = 24
     depth: int = 3
     reach: int = 24
+    apart: int = 30
     least: int = 29
     seed: int = 5
     rare: int = 32
+    deep: int = 64
+    near: int = 8
 
 
 DIGITS = 8
+# Classes that have this many candidates are compared in cells, where a set serves all its pairs; a cell has two groups of this size.
+DENSE, GROUP = 16, 256
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -100,18 +107,21 @@ def signatures(docs: DataFrame, forest: Forest, id_col: str, text_col: str) -> D
     return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, of long, n_shingles long, cls long, cls2 long, sig binary")
 
 
-def order_positions(forest: Forest) -> np.ndarray:
-    """The minima that each order reads, in turn: permutations of all of them, cut into runs of DIGITS."""
-    rng = np.random.default_rng(forest.seed + 1)
-    runs = forest.hashes // DIGITS
-    perms = [rng.permutation(forest.hashes)[:runs * DIGITS].reshape(runs, DIGITS) for _ in range(-(-forest.orders // runs))]
-    return np.concatenate(perms)[:forest.orders]
+def order_positions(forest: Forest, orders: int, digits: int, seed: int) -> np.ndarray:
+    """The minima that each order reads, in turn: permutations of all of them, cut into runs of ``digits``."""
+    rng = np.random.default_rng(seed)
+    runs = forest.hashes // digits
+    perms = [rng.permutation(forest.hashes)[:runs * digits].reshape(runs, digits) for _ in range(-(-orders // runs))]
+    return np.concatenate(perms)[:orders]
 
 
-def order_rows(classes: DataFrame, forest: Forest) -> DataFrame:
-    """(o, k1, k2) and the other columns of a class, once per order: eight digits of 16 bits in two longs."""
-    positions = order_positions(forest)
+def order_rows(classes: DataFrame, forest: Forest, positions: np.ndarray) -> DataFrame:
+    """o, k1, k2, ... (four digits of 16 bits in each), s1, s2, ... (two bits of every minimum) and the other columns of a class, once per
+    order."""
+    digits = positions.shape[1]
     others = [c for c in classes.columns if c != "sig"]
+    keys = [f"k{j + 1}" for j in range(digits // 4)]
+    sketches = [f"s{j + 1}" for j in range(forest.hashes // 32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,21 +131,22 @@ def order_rows(classes: DataFrame, forest: Forest) -> DataFrame:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, forest.hashes)
             with np.errstate(over="ignore"):
                 digit = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint64)
+                two = ((sig * np.uint32(0x85EBCA6B)) >> np.uint32(30)).astype(np.uint64)
+            sketch = [np.bitwise_or.reduce(two[:, j:j + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1)
+                      for j in range(0, forest.hashes, 32)]
             for o, at in enumerate(positions):
-                own = digit[:, at]
-                keys = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
-                for j in range(DIGITS):
-                    keys[j // 4] = (keys[j // 4] << np.uint64(16)) | own[:, j]
+                longs = [np.bitwise_or.reduce(digit[:, at[j:j + 4]] << np.array([48, 32, 16, 0], np.uint64), axis=1) for j in range(0, digits, 4)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, o, np.int32)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64))]
-                    + [batch.column(c) for c in others], names=["o", "k1", "k2", *others])
+                    [pa.array(np.full(n, o, np.int32)), *[pa.array(v.view(np.int64)) for v in (*longs, *sketch)]]
+                    + [batch.column(c) for c in others], names=["o", *keys, *sketches, *others])
 
-    kinds = ", ".join(f"{c} {t}" for c, t in classes.dtypes if c != "sig")
-    return classes.mapInArrow(run, f"o int, k1 long, k2 long, {kinds}")
+    kinds = ", ".join([f"{c} long" for c in (*keys, *sketches)] + [f"{c} {t}" for c, t in classes.dtypes if c != "sig"])
+    return classes.mapInArrow(run, f"o int, {kinds}")
 
 
-def neighbours(rows: DataFrame, forest: Forest, reach: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes that stand within ``reach`` in an order and share ``depth`` digits or more.
+def neighbours(rows: DataFrame, forest: Forest, reach: int, best: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b) of classes that stand within ``reach`` in an order, share ``depth`` digits or more and have close sketches;
+    with ``best``, only so many of the closest for every row.
 
     The rows of all orders are sorted by ranges of the whole key, so a crowded region is spread over tasks, and a task
     reads its range as a stream. The first and last rows of every range are compared once more across the borders.
@@ -143,13 +154,16 @@ def neighbours(rows: DataFrame, forest: Forest, reach: int) -> DataFrame:
     """
     has_comp = "comp" in rows.columns
     shift = 64 - 16 * forest.depth
-    keys = ["o", "k1", "k2", "cls"]
+    own_keys = sorted(c for c in rows.columns if c[0] == "k")
+    sketches = sorted(c for c in rows.columns if c[0] == "s")
+    keys = ["o", *own_keys, "cls"]
     extra = ["comp", "hub"] if has_comp else []
-    names = keys + extra
+    names = keys + sketches + extra
+    lanes = np.uint64(0x5555555555555555)
 
     def pairs_of(part: dict[str, np.ndarray], old: int) -> np.ndarray:
         """Pairs whose later row stands at ``old`` or behind."""
-        out = [np.zeros((0, 2), np.int64)]
+        firsts, seconds, differ = [], [], []
         n = len(part["o"])
         for d in range(1, min(reach, n - 1) + 1):
             i = np.arange(max(0, old - d), n - d)
@@ -157,10 +171,28 @@ def neighbours(rows: DataFrame, forest: Forest, reach: int) -> DataFrame:
             near = (part["o"][i] == part["o"][j]) & (((part["k1"][i] ^ part["k1"][j]).view(np.uint64) >> np.uint64(shift)) == 0)
             near &= part["comp"][i] != part["comp"][j] if has_comp else part["cls"][i] != part["cls"][j]
             i, j = i[near], j[near]
-            out.append(np.stack((part["cls"][i], part["cls"][j]), axis=1))
-            if has_comp:
-                out += [np.stack((part["hub"][i], part["cls"][j]), axis=1), np.stack((part["cls"][i], part["hub"][j]), axis=1),
-                        np.stack((part["hub"][i], part["hub"][j]), axis=1)]
+            count = np.zeros(len(i), np.int64)
+            for c in sketches:
+                x = (part[c][i] ^ part[c][j]).view(np.uint64)
+                count += np.bitwise_count((x | x >> np.uint64(1)) & lanes)
+            close = count <= forest.apart
+            firsts.append(i[close])
+            seconds.append(j[close])
+            differ.append(count[close])
+        if not firsts:
+            return np.zeros((0, 2), np.int64)
+        i, j, count = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(differ)
+        if best is not None and len(i):
+            row, pair = np.concatenate((i, j)), np.tile(np.arange(len(i)), 2)
+            order = np.lexsort((pair, count[pair], row))
+            row, pair = row[order], pair[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            chosen = np.unique(pair[place < best])
+            i, j = i[chosen], j[chosen]
+        out = [np.stack((part["cls"][i], part["cls"][j]), axis=1)]
+        if has_comp:
+            out += [np.stack((part["hub"][i], part["cls"][j]), axis=1), np.stack((part["cls"][i], part["hub"][j]), axis=1),
+                    np.stack((part["hub"][i], part["hub"][j]), axis=1)]
         return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
     def emit(pairs: np.ndarray, edge: dict[str, np.ndarray] | None) -> pa.RecordBatch:
@@ -195,7 +227,7 @@ def neighbours(rows: DataFrame, forest: Forest, reach: int) -> DataFrame:
     kinds = ", ".join(f"{c} long" for c in names)
     found = materialized(ordered.select(*names).mapInArrow(run, f"a long, b long, {kinds}"), "neighbours")
     edges = found.where("a is null").select(*names).distinct()
-    side = Window.partitionBy("o").orderBy("k1", "k2", "cls")
+    side = Window.partitionBy("o").orderBy(*own_keys, "cls")
     later = F.array(*[F.lead(F.struct(*names), d).over(side) for d in range(1, reach + 1)])
     part = edges.withColumn("all_later", later).withColumn("later", F.explode("all_later")).where("later is not null")
     part = part.where(F.shiftrightunsigned(F.col("k1").bitwiseXOR(F.col("later.k1")), shift) == 0)
@@ -250,13 +282,11 @@ def crowded(rows: DataFrame, forest: Forest) -> DataFrame:
 
 
 def crowd_pairs(crowd: DataFrame, docs: DataFrame, classes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of different components of ``crowd`` (cls, comp): all that may be similar, up to pairs that join nothing more.
+    """Pairs (a, b) of different components of ``crowd`` (cls, comp) that share a rare shingle or all their frequent ones.
 
     Shingles are ordered by the number of rows of the crowd that hold them. Two similar sets share one of the first
-    n - ceil(percent n) + 1 of each. If that one is rare, the join on rare shingles meets them. If not, the rare ones of
-    both sets end before, none is shared, and the frequent ones alone must do: then each set is also similar to the smallest
-    set with the same frequent shingles as the smaller of the two. So every row meets the smallest with its own
-    frequent shingles, and by frequent shingles the smallest of every other selection of them.
+    n - ceil(percent n) + 1 of each; if that one is rare, they meet here. A row also meets the smallest one with the same frequent
+    shingles. Every row has a bounded number of pairs: those of its rare shingles, which ``rare`` rows hold at most, and one more.
     """
     crowd = crowd.join(classes.select("cls", "rep", F.col("n").alias("size")), "cls")
     crowd = materialized(crowd, "crowd")
@@ -270,45 +300,31 @@ def crowd_pairs(crowd: DataFrame, docs: DataFrame, classes: DataFrame, forest: F
                                                   pa.array(np.frombuffer(b"".join(members), np.int64))], names=["cls", "shingle"])
 
     sets = sets_of(crowd.select("cls", "rep"), docs, forest, id_col, text_col)
-    held = sets.mapInArrow(run, "cls long, shingle long").join(crowd.select("cls", "comp"), "cls")
-    held = materialized(held, "crowd-shingles")
-    # The component that holds a shingle most often: its rows need not meet each other.
-    freq = held.groupBy("shingle", "comp").agg(F.count("*").alias("n")).groupBy("shingle").agg(
-        F.sum("n").alias("df"), F.max(F.struct("n", "comp")).alias("main"))
-    freq = freq.where("df > 1").select("shingle", "df", F.col("main.comp").alias("main"))
-    own = F.struct("df", "shingle", "main")
-    rows = held.select("cls", "shingle").join(freq, "shingle").groupBy("cls").agg(
-        F.sort_array(F.collect_list(F.when(F.col("df") <= forest.rare, own))).alias("cold"),
-        F.sort_array(F.collect_list(F.when(F.col("df") > forest.rare, own))).alias("hot"))
-    rows = rows.join(crowd.select("cls", "comp", "size"), "cls")
+    held = materialized(sets.mapInArrow(run, "cls long, shingle long"), "crowd-shingles")
+    freq = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    rows = held.join(freq, "shingle")
+    # The frequent shingles of a row are told by two sums; rare ones come first in its order, after those of one row alone.
+    hot = rows.where(F.col("df") > forest.rare).groupBy("cls").agg(
+        F.count("*").alias("n_hot"), *[F.sum(F.xxhash64(F.lit(k), "shingle").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+    cold = rows.where(F.col("df") <= forest.rare)
+    counts = cold.groupBy("cls").agg(F.count("*").alias("n_cold"))
+    facts = crowd.join(counts, "cls", "left").join(hot, "cls", "left").na.fill(0, ["n_cold", "n_hot"])
     first = F.col("size") - F.ceil(F.lit(forest.percent) * F.col("size") / 100) + 1
-    single = F.col("size") - F.size("cold") - F.size("hot")
-    shown = F.transform("hot", lambda x: x["shingle"])
-    rows = rows.withColumn("n_hot", F.size("hot")).withColumn("same", F.when(F.size("hot") > 0, F.struct(
-        F.xxhash64(shown).alias("s1"), F.xxhash64(F.lit(1), shown).alias("s2"))))
-    # Shingles of one row alone come first in its order.
-    rows = rows.withColumn("cold", F.slice("cold", F.lit(1), F.greatest(F.lit(0), first - single).cast("int"))).withColumn(
-        "hot", F.slice("hot", F.lit(1), F.greatest(F.lit(0), first - (F.col("size") - F.col("n_hot"))).cast("int")))
-    rows = materialized(rows, "crowd-rows")
+    single = F.col("size") - F.col("n_cold") - F.col("n_hot")
+    facts = materialized(facts.withColumn("shown", F.greatest(F.lit(0), first - single)), "crowd-rows")
     fits = 100 * F.least("x.size", "y.size") >= forest.percent * F.greatest("x.size", "y.size")
     cross = (F.col("x.comp") != F.col("y.comp")) & fits
-    cold = rows.select("cls", "comp", "size", F.explode("cold.shingle").alias("shingle"))
-    x, y = cold.alias("x"), cold.alias("y")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "shingle"))
+    shown = cold.withColumn("place", place).join(facts.select("cls", "comp", "size", "shown"), "cls").where("place <= shown")
+    shown = shown.select("cls", "comp", "size", "shingle")
+    x, y = shown.alias("x"), shown.alias("y")
     by_rare = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & cross)
-    smallest = rows.where("same is not null").groupBy("same").agg(F.min(F.struct("size", "cls", "comp", "n_hot", "hot")).alias("m"))
-    smallest = materialized(smallest.select("same", "m.*"), "crowd-smallest")
-    # What frequent shingles alone can share has to be enough.
-    alone = (100 + forest.percent) * F.least("x.n_hot", "y.n_hot") >= forest.percent * (F.col("x.size") + F.col("y.size"))
-    x, y = rows.drop("cold", "hot").alias("x"), smallest.drop("hot").alias("y")
-    by_same = x.join(y, (F.col("x.same") == F.col("y.same")) & cross & alone)
-    hot = rows.select("cls", "comp", "size", "n_hot", "same", F.explode("hot").alias("h")).select("*", "h.*")
-    small = smallest.select("cls", "comp", "size", "n_hot", "same", F.explode("hot").alias("h")).select("*", "h.*")
-    x, y = hot.alias("x"), small.alias("y")
-    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.same") != F.col("y.same")) & cross & alone
-    aside = "comp <> main"
-    by_hot = [hot.where(aside).alias("x").join(y, met), hot.where("comp = main").alias("x").join(small.where(aside).alias("y"), met)]
-    out = [p.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")) for p in (by_rare, by_same, *by_hot)]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).distinct()
+    same = facts.where("n_hot > 0").select("cls", "comp", "size", "n_hot", "h1", "h2")
+    smallest = same.groupBy("n_hot", "h1", "h2").agg(F.min(F.struct("size", "cls", "comp")).alias("m")).select("n_hot", "h1", "h2", "m.*")
+    x, y = same.alias("x"), smallest.alias("y")
+    by_same = x.join(y, (F.col("x.n_hot") == F.col("y.n_hot")) & (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & cross)
+    out = [p.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")) for p in (by_rare, by_same)]
+    return out[0].unionByName(out[1]).distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
@@ -316,26 +332,80 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: For
     used = materialized(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
                         .join(classes.select("cls", "rep"), "cls"), "used")
     sets = materialized(sets_of(used, docs, forest, id_col, text_col), "sets")
+    both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    dense = both.groupBy("cls").agg(F.count("*").alias("c")).where(F.col("c") >= DENSE).select("cls")
+    dense = materialized(dense.join(classes.select("cls", "n"), "cls"), "dense")
+    rest = pairs
+    for side in ("a", "b"):
+        mine = dense.select(F.col("cls").alias(side), F.lit(True).alias("d" + side))
+        rest = rest.join(mine, side, "left")
+    rest = materialized(rest.withColumn("dense", F.coalesce(F.col("da") & F.col("db"), F.lit(False))).select("a", "b", "dense"), "split-pairs")
+    # Sizes alone rule a pair out before its sets move.
+    sized = (rest.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
+             .join(classes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
+             .where(100 * F.least("na", "nb") >= forest.percent * F.greatest("na", "nb")).select("a", "b", "dense"))
+    by_join = _compared(sized.where("not dense").select("a", "b"), sets, forest)
+    groups = -(-dense.count() // GROUP)
+    if not groups:
+        return by_join.distinct()
+    return by_join.unionByName(_compared_in_cells(sized.where("dense").select("a", "b"), sets, forest, groups)).distinct()
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` % of their union."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """The similar pairs; every pair gets its two sets."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c) for c in ("x", "y"))
+            good = [_similar(np.frombuffer(x[row].as_buffer(), np.uint64), np.frombuffer(y[row].as_buffer(), np.uint64), forest.percent)
+                    for row in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     one = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     two = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def _compared_in_cells(pairs: DataFrame, sets: DataFrame, forest: Forest, groups: int) -> DataFrame:
+    """The similar pairs, where classes have many: classes are dealt to groups, the pairs of two groups are a cell, and a set goes to each of
+    its cells once. A task holds the sets of two groups; cells follow each other in a sorted stream, sets before pairs."""
+    group = {side: F.pmod(F.xxhash64(side), F.lit(groups)) for side in ("a", "b")}
+    pairs = pairs.withColumn("cell", group["a"] * groups + group["b"])
+    need = pairs.select("cell", F.col("a").alias("cls")).unionByName(pairs.select("cell", F.col("b").alias("cls"))).distinct()
+    rows = need.join(sets, "cls").select("cell", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "members")
+    rows = rows.unionByName(pairs.select("cell", "a", "b", F.lit(None).cast("binary").alias("members")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for batch in batches:
-            a, b = [], []
-            for row in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[row].as_py(), np.uint64) for c in ("x", "y"))
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= forest.percent * (len(x) + len(y) - shared):
-                    a.append(batch.column("a")[row].as_py())
-                    b.append(batch.column("b")[row].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    # Sizes alone rule a pair out before its sets move.
-    return (pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-            .join(classes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-            .where(100 * F.least("na", "nb") >= forest.percent * F.greatest("na", "nb")).select("a", "b")
-            .join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
+            cells, a, b = (batch.column(c).to_pylist() for c in ("cell", "a", "b"))
+            members, good = batch.column("members"), np.zeros(batch.num_rows, bool)
+            for row, (c, one, two) in enumerate(zip(cells, a, b)):
+                if c != cell:
+                    cell, held = c, {}
+                if two is None:
+                    held[one] = np.frombuffer(members[row].as_py(), np.uint64)
+                elif one in held and two in held:
+                    good[row] = _similar(held[one], held[two], forest.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _best_two(pairs: DataFrame) -> DataFrame:
+    """The two pairs of every class with the most equal minima."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
+    best = Window.partitionBy("a").orderBy(F.col("equal").desc(), "b")
+    return both.withColumn("r", F.row_number().over(best)).where("r <= 2").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
@@ -345,9 +415,10 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
     Equal sets are one class from the start, however many copies there are. First every class meets its nearest
     neighbour on either side in all orders, and its two most promising pairs are confirmed on the whole sets. Then the
     search is repeated with components: neighbours in another component are compared with each other and with the hub of
-    that component, its member with the most confirmed links, and whatever is promising and joins two components is
-    confirmed. So a crowded region need not be compared pair by pair, and a copy that is similar to the original
-    alone still meets it. When a round joins nothing, the rows of regions with more rows than a round looks at meet by
+    that component, its member with the most confirmed links. The two most promising pairs of a class are confirmed, until these join
+    nothing; then all. So a crowded region need not be compared pair by pair, and a copy that is similar to the original
+    alone still meets it. Classes without a candidate in another component leave the search, so each round is smaller.
+    When a full round joins nothing, the rows of regions with more rows than a round looks at meet in further and deeper orders and by
     the shingles they share (``crowd_pairs``), and that ends the search.
     """
     table = materialized(signatures(docs, forest, id_col, text_col), "signatures")
@@ -355,33 +426,45 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     found = table.where("cls is not null").join(least, ["cls", "cls2"]).where("doc_id = rep").select("cls", "rep", "n", "sig")
     classes = materialized(found.dropDuplicates(["cls"]), "classes")
-    pairs = promising(neighbours(order_rows(classes.select("cls", "sig"), forest), forest, 1), classes, forest)
-    pairs = materialized(pairs, "pairs")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
-    best = Window.partitionBy("a").orderBy(F.col("equal").desc(), "b")
-    first = both.withColumn("r", F.row_number().over(best)).where("r <= 2").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialized(confirmed(first, docs, classes, forest, id_col, text_col), "confirmed")
-    comps = connected(links, contract=True)
-    while True:
+    positions = order_positions(forest, forest.orders, DIGITS, forest.seed + 1)
+    pairs = promising(neighbours(order_rows(classes.select("cls", "sig"), forest, positions), forest, 1), classes, forest)
+    links = materialized(confirmed(_best_two(materialized(pairs, "pairs")), docs, classes, forest, id_col, text_col), "confirmed")
+    comps, best, active = connected(links, contract=True), 1, classes
+
+    def in_components(some: DataFrame) -> DataFrame:
         both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
         degree = both.groupBy("a").agg(F.count("*").alias("links")).join(comps, F.col("a") == F.col("node"))
         hubs = degree.groupBy("root").agg(F.max(F.struct("links", "a")).alias("best")).select("root", F.col("best.a").alias("hub"))
         named = comps.join(hubs, "root").select(F.col("node").alias("cls"), F.col("root").alias("comp"), "hub")
-        rows = classes.select("cls", "sig").join(named, "cls", "left").withColumns(
+        return some.select("cls", "sig").join(named, "cls", "left").withColumns(
             {"comp": F.coalesce("comp", "cls"), "hub": F.coalesce("hub", "cls")})
-        pairs = promising(neighbours(order_rows(rows, forest), forest, forest.reach), classes, forest)
-        pairs = materialized(apart(pairs.select("a", "b"), comps), "pairs")
-        new = materialized(confirmed(pairs, docs, classes, forest, id_col, text_col), "confirmed")
-        if not new.count():
-            # What is left are pairs that stand too far apart in a crowded region.
-            pairs = crowd_pairs(crowded(order_rows(rows, forest), forest), docs, classes, forest, id_col, text_col)
-            pairs = materialized(promising(pairs, classes, forest).select("a", "b"), "pairs")
-            new = materialized(confirmed(pairs, docs, classes, forest, id_col, text_col), "confirmed")
-            comps = connected(links.unionByName(new), contract=True)
+
+    while True:
+        rows = in_components(active)
+        pairs = promising(neighbours(order_rows(rows, forest, positions), forest, forest.reach, best), classes, forest)
+        pairs = materialized(apart(pairs, comps), "pairs")
+        chosen = pairs.select("a", "b") if best is None else _best_two(pairs)
+        new = materialized(confirmed(chosen, docs, classes, forest, id_col, text_col), "confirmed")
+        if new.count():
+            links = materialized(links.unionByName(new).distinct(), "confirmed")
+            comps = connected(links, contract=True)
+        elif best is None:
             break
-        links = materialized(links.unionByName(new).distinct(), "confirmed")
-        comps = connected(links, contract=True)
+        else:
+            best = None
+        # A class that had no candidate in another component has none later; where few are left, the others stand nearer.
+        left = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        active = materialized(classes.join(left, "cls", "left_semi"), "active")
+    # What is left are pairs that stand too far apart in a crowded region.
+    rows = in_components(classes)
+    crowd = materialized(crowded(order_rows(rows, forest, positions), forest), "crowded")
+    pairs = crowd_pairs(crowd, docs, classes, forest, id_col, text_col)
+    further = order_positions(forest, forest.deep, 2 * DIGITS, forest.seed + 2)
+    again = rows.join(crowd.select("cls"), "cls", "left_semi")
+    pairs = pairs.unionByName(neighbours(order_rows(again, forest, further), forest, forest.near)).distinct()
+    pairs = materialized(apart(promising(pairs, classes, forest).select("a", "b"), comps), "pairs")
+    new = materialized(confirmed(pairs, docs, classes, forest, id_col, text_col), "confirmed")
+    comps = connected(links.unionByName(new), contract=True)
     roots = classes.select("cls", "rep").join(comps, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root"))
     firsts = roots.groupBy("root").agg(F.min("rep").alias("component"))

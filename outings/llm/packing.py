@@ -124,14 +124,15 @@ class Packer:
             item = self.items.pop(int(np.argmax(np.maximum(length / tokens, bears / max(1, loss)))))
             self.out.append((item.key, item.start, item.length, -1, -1))
             return
-        if self.cuts and left and len(parts) == int(open_.size) and not open_.any():
+        if self.cuts and left and (not places or not open_.any()):
+            # No segment is left, or no item: what there is needs no padding at lengths that are powers of two.
             self._tail(parts)
         else:
             self._close(parts)
         self.items = [i for i in self.items if i.length]
 
     def _tail(self, parts: list[tuple[Item, int]]) -> None:
-        """The last, short sequence of a partition, cut into sequences whose lengths are powers of two: no padding."""
+        """A sequence that stays short, cut into sequences whose lengths are powers of two: no padding."""
         total = sum(n for _, n in parts)
         for bit in reversed(range(total.bit_length())):
             need, own = total & (1 << bit), []
@@ -245,7 +246,8 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every task packs its own rows, so nothing is shuffled and no task holds more than a window of unplaced pieces. The
-    only sequences that are not full are those at the end of a partition, whose lengths are powers of two. Sequence ids
+    only sequences that are not full are those at the end of a partition and those whose segments were used up by short documents; their
+    lengths are powers of two. Sequence ids
     carry the partition, so they are unique, and a task that runs again gives the same rows as long as it reads the same
     rows. Defined cases: a null or empty text is the end id alone; a text beyond the limit is cut into full sequences and
     a rest; repeated rows are packed each; no rows give no rows; extra columns are ignored.

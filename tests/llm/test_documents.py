@@ -378,6 +378,19 @@ def test_no_languages_no_judgement(spark, nothing):
     assert language.keep_identified(nothing, language.fit(nothing)).count() == 0
 
 
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Быстрая коричневая лиса прыгает через ленивую собаку и бежит в лес за зайцем.", "日本語の文章はここにあります。とても長い文章です。",
+               "한국어 문장을 여기에 적어 봅니다. 아주 긴 문장입니다.", "asdkfj qwpoe zxmcnv qpwoei zmxncb alskdj fhgut qwxz pqzmx vbnqk",
+               "Szybki brązowy lis przeskakuje nad leniwym psem i biegnie do lasu za zającem.", "1234 5678 --- !!!"]
+    extra = spark.createDataFrame([(10 ** 6 + i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    model = language.fit(docs)
+    kept = language.keep_identified(docs.unionByName(extra, allowMissingColumns=True), model)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    lost = docs.where("text is not null and length(text) > 200").where(~F.col("doc_id").isin(list(ids))).count()
+    assert not any(i >= 10 ** 6 for i in ids) and lost == 0 and len(ids) >= 0.99 * docs.count()
+
+
 def test_samples_are_bounded(spark, prose):
     """Rows that share an id, or are the same row, do not add to the sample, and no text is shuffled."""
     same = spark.range(20000).selectExpr("3L AS doc_id", "concat('text of some length number ', id, repeat(' and so on', 60)) AS text", "'en' AS lang")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -214,3 +215,17 @@ def test_examples(spark):
         own = [given[r.id] for r in out if r.sequence_id == key]
         assert sum(o[0] for o in own) <= 128 and sum(o[1] for o in own) <= 12 and len(own) <= 3
     assert pack_examples(df.where(F.lit(False)), Limits()).count() == 0
+
+
+@pytest.mark.parametrize("words", [(4, 4), (2, 19)])
+def test_short_documents_need_little_padding(spark, words):
+    """One partition of documents so short that the segments of a sequence are used up before its tokens."""
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id AS doc_id", f"trim(repeat('the ', CAST({words[0]} + id % {words[1] - words[0] + 1} AS int))) AS text")
+    pieces = pack_documents(rows, WORDS).collect()
+    sizes, segments = defaultdict(int), defaultdict(int)
+    for p in pieces:
+        sizes[p.sequence_id] += p.length
+        segments[p.sequence_id] += 1
+    padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes.values())
+    assert sum(sizes.values()) == sum(p.length for p in pieces) >= 25_000 and padding == 0 and max(sizes.values()) <= 2048
+    assert max(segments.values()) <= Limits().segments
