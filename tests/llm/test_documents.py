@@ -349,6 +349,61 @@ def test_lines_are_native(spark, prose):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def test_stages_against_plain_python(spark):
+    """Every stage of the pipeline on some documents, judged again one by one or pair by pair."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 900 or text is null").limit(70)
+    rows = [r.asDict() for r in docs.collect()]
+    extra = [dict(rows[0], doc_id=10 ** 6), dict(rows[1], doc_id=10 ** 6 + 1, text=(rows[1]["text"] or "") + " and one more"),
+             dict(rows[2], doc_id=10 ** 6 + 2, text=None), dict(rows[2], doc_id=None, text="no id"), dict(rows[3], doc_id=rows[3]["doc_id"])]
+    docs = spark.createDataFrame(rows + extra, docs.schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    model = language.fit(docs)
+
+    def known(text):
+        if text is None or not language.LETTER.search(text):
+            return False
+        return model.score([text.encode()])[0].max() >= 0.3
+
+    def count(found):
+        return Counter((r["doc_id"], r["text"]) for r in found)
+
+    every = [r.asDict() for r in docs.collect()]
+    kept = stages["language"](spark, docs, sf).collect()
+    assert count(kept) == count(r for r in every if known(r["text"]))
+    graded = quality.fit(docs, quality.graded(spark.read.parquet(f"{sf}/labels.parquet")))
+    kept = stages["quality"](spark, docs, sf).collect()
+    assert count(kept) == count(r for r in every if graded is None or graded.tails([(r["text"] or "").encode()])[0, -1] >= 0.5)
+    kept = stages["near_duplicates"](spark, docs, sf).collect()
+    gone = {(i, t) for (i, t), (_, _, c) in zip([(r["doc_id"], r["text"]) for r in every if r["doc_id"] is not None], sorted_components(every)) if i != c}
+    assert count(kept) == count(r for r in every if (r["doc_id"], r["text"]) not in gone)
+    pieces = stages["packing"](spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(r["doc_id"] for r in every)
+
+
+def sorted_components(rows):
+    """(id, size, component) of the rows with an id, in their order, by brute force."""
+    with_id = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] is not None]
+    found = defaultdict(list)
+    for i, n, c in brute_components(with_id):
+        found[i, n].append((i, n, c))
+    sizes = [(i, len(shingles(t or ""))) for i, t in with_id]
+    return [found[key][0] for key in sizes]
+
+
+def test_stages_take_any_table(spark, awkward, nothing):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for df in (nothing, awkward):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, sf)
+            assert name == "packing" or out.columns == df.columns
+            assert out.count() >= (0 if df is nothing else 1), name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
