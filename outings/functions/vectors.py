@@ -51,11 +51,45 @@ def _word_place(word: str, dim: int) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
 
 
+def hash_embedding(text: Column, dim: int) -> Column:
+    """What ``HashEmbedder`` gives, as an expression: words, places, counts and norm stay in the JVM and in the row.
+
+    The places of the words are sorted, so the count of a place is the distance from its first position to that of the next.
+    The vector is written as the counts with runs of zeros between them.
+    """
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body`` of a value that is computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def place(word: Column) -> Column:
+        return (F.conv(F.left(F.md5(word.cast("binary")), F.lit(8)), 16, 10).cast("long") % dim).cast("int")
+
+    def zeros(count: Column) -> Column:
+        return F.array_repeat(F.lit(0.0).cast("float"), count)
+
+    def vector(distinct: Column, counts: Column, norm: Column) -> Column:
+        parts = F.transform(distinct, lambda p, i: F.concat(zeros(p - F.coalesce(F.get(distinct, i - 1), F.lit(-1)) - 1),
+                                                            F.array((F.get(counts, i) / norm).cast("float"))))
+        return F.concat(F.flatten(parts), zeros(F.lit(dim - 1) - F.coalesce(F.get(distinct, F.size(distinct) - 1), F.lit(-1))))
+
+    def counted(places: Column) -> Column:
+        return let(F.array_distinct(places), lambda distinct: let(
+            F.transform(distinct, lambda p: F.array_position(places, p).cast("int")), lambda first: let(
+                F.transform(first, lambda at, i: (F.coalesce(F.get(first, i + 1), F.size(places) + 1) - at).cast("double")),
+                lambda counts: let(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * n)),
+                                   lambda norm: vector(distinct, counts, norm)))))
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return let(F.sort_array(F.transform(words, place)), counted)
+
+
 def embed(text: Column | str, embedder: Embedder, batch: int = 100) -> Column:
-    """Embed a text column in Arrow batches; the embedder gets at most ``batch`` texts per call.
+    """Embed a text column in Arrow batches; the embedder gets at most ``batch`` texts per call. ``HashEmbedder`` becomes an expression.
 
     Declared as not deterministic, so that Spark does not call it a second time for a filter on its result.
     """
+    if type(embedder) is HashEmbedder:
+        return hash_embedding(F.col(text) if isinstance(text, str) else text, embedder.dim)
 
     @F.pandas_udf("array<float>")
     def run(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -58,25 +58,28 @@ def number_in_group(df: DataFrame, group: Sequence[str], sequence: str, name: st
 
 def assign_ids(df: DataFrame, id_column: str, unique_key: Sequence[str], start: Column | int = 0,
                hex_digits: int = 3) -> DataFrame:
-    """Give rows the ids start+1, start+2, ... without gaps.
+    """Give rows the ids start+1, start+2, ... without gaps, in the order of the first ``hex_digits`` digits of the MD5 digest of their
+    key, which must be unique, and of the key.
 
-    Rows are spread over 16**hex_digits buckets by the MD5 digest of their key, which must be unique. The table of
-    bucket counts has at most that many rows and is the only thing sorted as a whole. The ids depend on the data
-    alone, so a recomputed task gives the same ones.
+    The rows are written once by ranges of that order, with their place in their range; the counts of the ranges, one row per
+    task, are the offsets. So the number of sort tasks follows the data, the input is read once, and the ids depend on the data
+    alone, wherever the ranges are cut.
     """
     key = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in unique_key])
     df = df.withColumn("_bucket", F.substring(F.md5(key), 1, hex_digits))
-    everything_before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = (df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-              .select("_bucket", F.coalesce(F.sum("_rows").over(everything_before), F.lit(0)).alias("_before")))
-    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy(*unique_key))
+    keys = ["_bucket", *unique_key]
+    # The number of a row holds its range in the upper bits and its place in the lower 33.
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialized(ranged, "ranges").withColumn("_range", F.shiftright("_at", 33))
+    everything_before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+              .select("_range", F.coalesce(F.sum("_rows").over(everything_before), F.lit(0)).alias("_before")))
     start = F.lit(start) if isinstance(start, int) else start
-    if hex_digits <= 4:
-        before = F.broadcast(before)  # at most 65,536 rows of a short text and a number
-    numbered = df.withColumn("_in_bucket", in_bucket).join(before, "_bucket")
-    new_id = (F.coalesce(start, F.lit(0)) + F.col("_before") + F.col("_in_bucket")).cast("long")
-    return numbered.select(new_id.alias(id_column),
-                           *[c for c in df.columns if c not in ("_bucket", id_column)])
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    new_id = (F.coalesce(start, F.lit(0)) + F.col("_before") + place).cast("long")
+    # One row per task of the write.
+    numbered = ranged.join(F.broadcast(before), "_range")
+    return numbered.select(new_id.alias(id_column), *[c for c in df.columns if c not in ("_bucket", id_column)])
 
 
 def highest(df: DataFrame, column: str) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from outings.operators.keyed import join_groups, top_per_group
+from outings.settings import ship_packages
 
 Rows = pa.RecordBatch
 Cost = Callable[[Rows, Rows], np.ndarray]
@@ -40,6 +41,7 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
     Result: the ``on`` columns, both ids, ``cost`` and ``rank``.
     """
     group = list(on)
+    ship_packages(left.sparkSession)
     left = left.select(*group, F.col(left_id).alias("_left"), *left_values,
                        (F.col(k_column) if k_column else F.lit(k)).cast("int").alias("_k"))
     right = right.select(*group, F.col(right_id).alias("_right"), *right_values)
@@ -174,3 +176,82 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int, on: Sequence[
     found = best_partners(left, right, on, query_id, item_id, k, cosine_cost("_query_vector", "_item_vector"),
                           ["_query_vector"], ["_item_vector"], block_rows, k_column)
     return found.select(*on, query_id, item_id, (-F.col("cost")).alias("similarity"), "rank")
+
+
+def nearest_to_few(queries: DataFrame, corpus: DataFrame, k: int, on: Sequence[str] = (), query_id: str = "query_id",
+                   query_vector: str = "query_vector", item_id: str = "item_id", item_vector: str = "embedding",
+                   block_queries: int = 1024) -> DataFrame:
+    """``nearest_vectors`` for a set of queries that is small next to the corpus: the queries go to the corpus.
+
+    Queries are numbered and sent to the tasks of the corpus scan in blocks of at most ``block_queries`` vectors, one scan per
+    block. A task keeps the k best items that it has seen of every query of the block; what leaves it are ids and costs, so no
+    vector of the corpus is shuffled, and a last window merges the tasks. Ties go to the smaller item id. Rows with a null id,
+    group or vector take no part.
+    """
+    group = list(on)
+    ship_packages(corpus.sparkSession)
+    queries = queries.select(*group, F.col(query_id).alias("_left"), F.col(query_vector).alias("_query_vector")).dropna()
+    count = queries.count()
+    blocks = max(1, -(-count // block_queries))
+    queries = queries.withColumn("_block", F.pmod(F.xxhash64("_left", *group), F.lit(blocks)))
+    items = corpus.select(*group, F.col(item_id).alias("_right"), F.col(item_vector).alias("_item_vector")).dropna(subset=[*group, "_right"])
+    cost = cosine_cost("_query_vector", "_item_vector")
+    schema = StructType([queries.schema[c] for c in (*group, "_left")] + [items.schema["_right"]]).add("cost", "double")
+    arrow_schema = to_arrow_schema(schema)
+    partial = None
+    for number in range(blocks):
+        own = queries.where(F.col("_block") == number).drop("_block").toArrow().combine_chunks()
+        if own.num_rows:
+            found = items.mapInArrow(_keep_best(own, group, k, cost, arrow_schema), schema)
+            partial = found if partial is None else partial.unionByName(found)
+    if partial is None:
+        partial = corpus.sparkSession.createDataFrame([], schema)
+    ranked = top_per_group(partial, [*group, "_left"], [F.col("cost"), F.col("_right")], k, "rank")
+    return ranked.select(*group, F.col("_left").alias(query_id), F.col("_right").alias(item_id), (-F.col("cost")).alias("similarity"), "rank")
+
+
+def _keep_best(queries: pa.Table, group: list[str], k: int, cost: Cost, schema: pa.Schema) -> Callable[[Iterator[Rows]], Iterator[Rows]]:
+    """The k best items of a task for every query of a block, kept while the items pass by."""
+
+    def parts(rows: Rows) -> dict[tuple, np.ndarray]:
+        """Row numbers of every group."""
+        keys = list(zip(*(rows.column(c).to_pylist() for c in group))) if group else [()] * rows.num_rows
+        out: dict[tuple, list[int]] = {}
+        for at, key in enumerate(keys):
+            out.setdefault(key, []).append(at)
+        return {key: np.array(at) for key, at in out.items()}
+
+    def run(batches: Iterator[Rows]) -> Iterator[Rows]:
+        block = queries.to_batches()[0]
+        wanted = parts(block)
+        best: dict[tuple, Rows] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                items = batch.slice(start, BLOCK_ROWS)
+                items = items.filter(pc.is_valid(items.column("_item_vector")))
+                for key, at in parts(items).items():
+                    if key in wanted:
+                        own = items.take(pa.array(at))
+                        found = _best_of(block.take(pa.array(wanted[key])), own, cost, k, best.get(key))
+                        best[key] = found
+        for key, found in best.items():
+            columns = [pa.array([part] * found.num_rows, schema.field(c).type) for c, part in zip(group, key)]
+            columns += [found.column(c).cast(schema.field(c).type) for c in ("_left", "_right", "cost")]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
+def _best_of(left: Rows, right: Rows, cost: Cost, k: int, before: Rows | None) -> Rows:
+    """The k best right rows of every left row, among a block and those kept before."""
+    rows = left.append_column("_k", pa.array(np.full(left.num_rows, k, np.int32)))
+    by_id = pc.sort_indices(right.column("_right"))
+    tiles = [_best_of_tile(rows.slice(start, TILE_ROWS), right.take(by_id), cost, k) for start in range(0, rows.num_rows, TILE_ROWS)]
+    found = [pa.concat_arrays([tile[i] for tile in tiles]) for i in (0, 2, 3)]
+    if before is not None:
+        found = [pa.concat_arrays([before.column(i), part.cast(before.column(i).type)]) for i, part in enumerate(found)]
+    merged = pa.RecordBatch.from_arrays(found, names=["_left", "_right", "cost"])
+    merged = merged.take(pc.sort_indices(merged, sort_keys=[("_left", "ascending"), ("cost", "ascending"), ("_right", "ascending")]))
+    codes = merged.column("_left").dictionary_encode().indices.to_numpy()
+    place = np.arange(len(codes)) - np.searchsorted(codes, codes)
+    return merged.filter(pa.array(place < k))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from outings.plans.places import ingest_attractions
@@ -15,10 +15,12 @@ from outings.sources.payloads import air_hours, weather_hours
 from outings.sources.tables import materialized, save
 
 
-def _counted(df: DataFrame, purpose: str) -> tuple[DataFrame, int]:
-    """The frame written once, and its number of rows, which the file footers hold."""
-    written = materialized(df, purpose)
-    return written, written.count()
+def _counted(df: DataFrame, purpose: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The frame written once, and counts of its rows that the write itself observes; no job counts them again."""
+    seen = Observation(purpose)
+    counts = {"rows": F.count(F.lit(1)), **counts}
+    written = materialized(df.observe(seen, *[value.alias(name) for name, value in counts.items()]), purpose)
+    return written, seen.get
 
 
 def run_load(payloads: DataFrame, page_payloads: DataFrame, tables: Mapping[str, DataFrame],
@@ -34,19 +36,19 @@ def run_load(payloads: DataFrame, page_payloads: DataFrame, tables: Mapping[str,
     bronze_table = save(bronze, "weather_bronze", "append", settings=settings, partition_by="forecast_date", on_error=on_error)
     silver, silver_rows = _counted(silver_weather(bronze).drop("_ingested_at"), "weather-silver")
     silver_table = save(silver, "weather_silver", "overwrite", settings=settings, partition_by="forecast_date", on_error=on_error)
-    weather = materialized(upsert_weather(tables["weather_snapshots"], silver).frame, "weather-serving")
+    touched = {"upserted": F.count_if(F.col("_change").isNotNull()), "inserted": F.count_if(F.col("_change") == "inserted")}
+    weather, served = _counted(upsert_weather(tables["weather_snapshots"], silver).frame, "weather-serving", **touched)
 
     places = ingest_attractions(page_payloads, tables["activities"])
-    pages, page_rows = _counted(places.bronze, "attractions-bronze")
+    pages, found = _counted(places.bronze, "attractions-bronze")
     pages_table = save(pages, "attractions_bronze", "append", settings=settings, on_error=on_error)
-    activities = materialized(places.activities.frame, "activities")
-    inserted = activities.where(F.col("_change") == "inserted").count()
+    activities, added = _counted(places.activities.frame, "activities", **touched)
 
     new_tables = {**tables, "weather_snapshots": weather.drop("_change"), "activities": activities.drop("_change")}
     result = {
-        "weather": {"fetched": fetched, "silver_rows": silver_rows, "upserted": silver_rows,
-                    "bronze_table": bronze_table, "silver_table": silver_table},
-        "attractions": {"fetched": page_rows, "inserted": inserted, "bronze_table": pages_table},
+        "weather": {"fetched": fetched["rows"], "silver_rows": silver_rows["rows"], "upserted": served["upserted"],
+                    "inserted": served["inserted"], "serving_rows": served["rows"], "bronze_table": bronze_table, "silver_table": silver_table},
+        "attractions": {"fetched": found["rows"], "inserted": added["inserted"], "bronze_table": pages_table},
         "tables": new_tables,
     }
     if check:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outings.functions.vectors import Embedder
-from outings.operators.nearest import nearest_vectors
+from outings.operators.nearest import nearest_to_few
 from outings.plans.search import PROBES, embed_queries, probe_queries
 from outings.settings import DEFAULTS
 from outings.sources.tables import materialized
@@ -54,5 +54,5 @@ def evaluate_retrieval(activities: DataFrame, embedder: Embedder, approximate: C
     queries = embed_queries(probe_queries(activities.sparkSession, probes), embedder)
     corpus = (activities.where(F.col("requirements_embedding").isNotNull())
               .select(F.col("activity_id").alias("item_id"), F.col("requirements_embedding").alias("embedding")))
-    scored = recall_per_query(queries, nearest_vectors(queries, corpus, k), approximate(queries, corpus, k))
+    scored = recall_per_query(queries, nearest_to_few(queries, corpus, k), approximate(queries, corpus, k))
     return queries.select("query_id", "query").join(scored, "query_id")

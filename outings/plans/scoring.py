@@ -6,7 +6,7 @@ scorer gives one row per run: run_id, task, passed, detail.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -103,17 +103,105 @@ class Recording:
     bad_days: DataFrame
 
 
+@dataclass(frozen=True)
+class Task:
+    """A predicate over one run: aggregates of the run's rows (see ``recorded_rows``) and, from them, passed and detail."""
+
+    name: str
+    measures: Mapping[str, Column]
+    passed: Column
+    detail: Column
+
+
+def _counted(condition: Column) -> Column:
+    return F.count_if(F.coalesce(condition, F.lit(False)))
+
+
+def tool_task(name: str, step: str, tool: str) -> Task:
+    """Passes if the run used the tool in its step, and the step did not break off."""
+    own = F.col("source") == f"step:{step}"
+    key = f"{step}_{tool}"
+    tools = F.array_join(F.sort_array(F.collect_set(F.when(own, F.col("tool")))), ", ")
+    return Task(name, {f"{key}_fired": F.bool_or(own & (F.col("tool") == tool)), f"{key}_broken": F.bool_or(own & F.col("broken")),
+                       f"{key}_tools": tools},
+                F.col(f"{key}_fired") & ~F.coalesce(f"{key}_broken", F.lit(False)), F.concat(F.lit("tools="), F.col(f"{key}_tools")))
+
+
+def growth_task(name: str, table: str, exactly: int | None = None) -> Task:
+    """Passes if the table has more rows of the run after than before, or exactly so many more."""
+    before, after = (F.col(f"{table}_{when}") for when in ("before", "after"))
+    grown = after - before
+    return Task(name, {f"{table}_{when}": _counted(F.col("source") == f"{table}:{when}") for when in ("before", "after")},
+                grown > 0 if exactly is None else grown == exactly,
+                F.concat(F.lit("before="), before.cast("string"), F.lit(" after="), after.cast("string")))
+
+
+def bad_day_task(name: str) -> Task:
+    """Passes if there were planned outdoor items and none is left on a bad day."""
+    there, left = F.col("outdoor_before"), F.col("outdoor_left")
+    planned = F.col("is_outdoor") & (F.col("status") == "planned")
+    return Task(name, {"outdoor_before": _counted((F.col("source") == "items:before") & planned),
+                       "outdoor_left": _counted((F.col("source") == "items:after") & planned & F.col("bad_day"))},
+                (there > 0) & (left == 0),
+                F.concat(F.lit("outdoor_before="), there.cast("string"), F.lit(" still_on_bad_day_after="), left.cast("string")))
+
+
+def reason_task(name: str) -> Task:
+    """Passes if items were rescheduled and each says why."""
+    changed, told = F.col("n_changed"), F.col("n_reasons")
+    moved = (F.col("source") == "items:after") & (F.col("status") == "rescheduled")
+    return Task(name, {"n_changed": _counted(moved), "n_reasons": _counted(moved & (F.col("reason") != ""))},
+                (changed > 0) & (changed == told),
+                F.concat(F.lit("rescheduled="), changed.cast("string"), F.lit(" with_reason="), told.cast("string")))
+
+
+def golden_tasks() -> tuple[Task, ...]:
+    """The six tasks of an evaluation."""
+    return (tool_task("retrieval: searches for indoor activities", "retrieval", "search_activities"),
+            bad_day_task("reschedule: no outdoor item left on a bad day"),
+            reason_task("reschedule: every change has a reason"),
+            growth_task("packing: list is created", "packing"),
+            growth_task("add: exactly one item added", "addition", 1),
+            tool_task("grounding: checks weather before answering", "grounding", "weather_by_day"))
+
+
+ROWS = {"source": "string", "tool": "string", "broken": "boolean", "is_outdoor": "boolean", "status": "string", "bad_day": "boolean",
+        "reason": "string"}
+
+
+def recorded_rows(recording: Recording) -> DataFrame:
+    """What the runs left behind as rows of one layout: run_id, source (table and state), and the columns that tasks look at."""
+    def rows(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.select("run_id", *[columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in ROWS.items()])
+
+    steps = recording.transcript
+    broken = F.col("error").isNotNull() if "error" in steps.columns else F.lit(False)
+    out = rows(steps, source=F.concat(F.lit("step:"), F.col("task")), tool=F.col("tool"), broken=broken)
+    for name, states in (("packing", recording.packing), ("addition", recording.addition)):
+        for when, df in zip(("before", "after"), states):
+            out = out.unionByName(rows(df, source=F.lit(f"{name}:{when}")))
+    before, after = recording.reschedule
+    bad = recording.bad_days.select("run_id", "day_date", F.lit(True).alias("bad_day")).distinct()
+    after = after.join(bad, ["run_id", "day_date"], "left")
+    state = {"is_outdoor": F.col("is_outdoor"), "status": F.col("status")}
+    out = out.unionByName(rows(before, source=F.lit("items:before"), **state))
+    return out.unionByName(rows(after, source=F.lit("items:after"), **state, bad_day=F.coalesce("bad_day", F.lit(False)),
+                                reason=F.col("reschedule_reason")))
+
+
+def evaluate_tasks(runs: DataFrame, rows: DataFrame, tasks: Sequence[Task]) -> DataFrame:
+    """run_id, task, passed, detail. The measures of all tasks are one aggregation by run, whatever the number of tasks; runs
+    without any row have the measures of no rows."""
+    measures = {name: value for task in tasks for name, value in task.measures.items()}
+    asked = runs.select("run_id").distinct()
+    every = asked.select("run_id", *[F.lit(None).cast(kind).alias(name) for name, kind in ROWS.items()], F.lit(True).alias("asked"))
+    rows = rows.select("run_id", *ROWS, F.lit(False).alias("asked")).unionByName(every)
+    measured = rows.groupBy("run_id").agg(F.bool_or("asked").alias("asked"), *[v.alias(n) for n, v in measures.items()]).where("asked")
+    results = F.array(*[F.struct(F.lit(t.name).alias("task"), F.coalesce(t.passed, F.lit(False)).alias("passed"), t.detail.alias("detail"))
+                        for t in tasks])
+    return measured.select("run_id", F.inline(results))
+
+
 def evaluate_runs(runs: DataFrame, recording: Recording) -> DataFrame:
-    """The results of every run in the six tasks."""
-    def steps(task: str) -> DataFrame:
-        return recording.transcript.where(F.col("task") == task)
-
-    return combine([
-        tool_fired(runs, steps("retrieval"), "retrieval: searches for indoor activities", "search_activities"),
-        no_outdoor_on_bad_day(runs, *recording.reschedule, recording.bad_days,
-                              "reschedule: no outdoor item left on a bad day"),
-        every_change_has_reason(runs, recording.reschedule[1], "reschedule: every change has a reason"),
-        count_change(runs, *recording.packing, "packing: list is created"),
-        count_change(runs, *recording.addition, "add: exactly one item added", 1),
-        tool_fired(runs, steps("grounding"), "grounding: checks weather before answering", "weather_by_day"),
-    ])
+    """The results of every run in the six tasks, from one aggregation over all that was recorded."""
+    return evaluate_tasks(runs, recorded_rows(recording), golden_tasks())

@@ -45,6 +45,8 @@ def rank_activities(wanted: DataFrame, activities: DataFrame, k: int | None, emb
               .select("destination_id", F.explode(flags).alias("indoor_only"), "activity_id",
                       "requirements_embedding"))
     embedded = embed_queries(wanted, embedder)
+    # Only the copies that some search asks for.
+    corpus = corpus.join(embedded.select("destination_id", "indoor_only").distinct(), ["destination_id", "indoor_only"], "left_semi")
     k_column = None
     if k is None:
         k, k_column = embedded.agg(F.max("k")).first()[0] or 1, "k"

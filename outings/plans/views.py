@@ -6,6 +6,16 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DateType,
+    DecimalType,
+    MapType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from outings.functions.scalars import blurb
 
@@ -60,12 +70,38 @@ def itinerary_by_day(items: DataFrame) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("items")))
 
 
+def _plain(value: Column, kind: DataType) -> Column:
+    """A value with its decimals as doubles and its dates and times as text, at any depth of lists, maps and structs."""
+    if isinstance(kind, DecimalType):
+        return value.cast("double")
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return value.cast("string")
+    if not _has_plain_form(kind):
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _plain(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.transform(F.map_entries(value), lambda e: F.struct(
+            _plain(e["key"], kind.keyType).alias("key"), _plain(e["value"], kind.valueType).alias("value"))))
+    fields = F.struct(*[_plain(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.when(value.isNotNull(), fields)
+
+
+def _has_plain_form(kind: DataType) -> bool:
+    """Whether anything inside the type has to be converted."""
+    if isinstance(kind, ArrayType):
+        return _has_plain_form(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_plain_form(kind.keyType) or _has_plain_form(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_has_plain_form(f.dataType) for f in kind.fields)
+    return isinstance(kind, (DecimalType, DateType, TimestampType, TimestampNTZType))
+
+
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:
-    """Rows as JSON text: decimals as doubles, dates and times as text."""
-    columns = [F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal"
-               else F.col(f.name).cast("string").alias(f.name)
-               if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col(f.name)
-               for f in df.schema]
+    """Rows as JSON text: decimals as doubles, dates and times as text, nested ones too. Parts without such values are
+    passed on as they are."""
+    columns = [_plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
     return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias(name))
 
 

@@ -13,6 +13,7 @@ from outings.operators.keyed import latest_per_key
 from outings.operators.mutation import Mutation, upsert
 from outings.schemas import DDL
 from outings.settings import DEFAULTS, Settings
+from outings.sources.snapshots import Snapshots
 from outings.sources.tables import materialized, replace_partitions
 
 HOUR_KEY = ["destination_id", "forecast_ts"]
@@ -114,7 +115,8 @@ def upsert_weather_days(spark: SparkSession, path: str, source: DataFrame, now:
     """Upsert into a table of files in day folders, reading and rewriting only the days the source has.
 
     The day of an hour must be its ``forecast_date`` on both sides. The merged days are written to the shared folder
-    first, so a lost task or driver never leaves a day half merged. Returns the days.
+    first, so a lost task never leaves a day half merged; the exchange of the folders at the end is not atomic, for which there is
+    ``upsert_weather_version``. Returns the days.
     """
     days = [r[0] for r in source.select("forecast_date").distinct().collect()]  # at most the days of the calendar
     target = spark.read.schema(DDL["weather_snapshots"]).parquet(path).where(F.col("forecast_date").isin(days))
@@ -123,6 +125,16 @@ def upsert_weather_days(spark: SparkSession, path: str, source: DataFrame, now:
     return days
 
 
+def upsert_weather_version(table: Snapshots, source: DataFrame, now: Column | None = None,
+                           newest_first: Sequence[Column] | None = None) -> int:
+    """``upsert_weather_days`` as a new version of the table: readers see all days before the load or all after it, and a load that
+    breaks off leaves the old version. Days without new rows are not read or written."""
+    base = table.versions()[-1]
+    days = [r[0] for r in source.select("forecast_date").distinct().collect()]  # at most the days of the calendar
+    target = table.read(base).where(F.col("forecast_date").isin(days))
+    return table.replace(upsert_weather(target, source, now, newest_first).snapshot, "forecast_date", base)
+
+
 @dataclass(frozen=True)
 class WeatherIngest:
     """The stages of one ingest, as lazy frames."""

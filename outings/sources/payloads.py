@@ -55,6 +55,35 @@ def hourly_rows(payloads: DataFrame, variables: Mapping[str, tuple[str, str]], p
                         "position")
 
 
+def rejected_hours(payloads: DataFrame, variables: Mapping[str, tuple[str, str]], payload: str = "payload",
+                   keep: Sequence[str] = ("destination_id",)) -> DataFrame:
+    """What ``hourly_rows`` leaves out or cannot use: the kept columns, position (null for a whole payload), reason and value.
+
+    Reasons: "no payload", "not json" (the text does not parse), "no hours" (it has no list of times), "no key" (a kept column is
+    null, so that the row could not be merged later), "no time" (an hour whose time is missing) and "bad time" (one that is no
+    time). Rows with the first three give no hours.
+    """
+    arrays = ", ".join(f"`{name}`: array<double>" for name in variables)
+    schema = f"struct<hourly: struct<time: array<string>, {arrays}>, _broken: string>"
+    parsed = F.from_json(payload, schema, {"columnNameOfCorruptRecord": "_broken"})
+    rows = payloads.select(*keep, F.col(payload).alias("_text"), parsed.alias("_parsed"))
+    times = F.col("_parsed.hourly.time")
+    null_key = F.lit(False)
+    for name in keep:
+        null_key = null_key | F.col(name).isNull()
+    whole = (F.when(F.col("_text").isNull(), "no payload").when(F.col("_parsed").isNull() | F.col("_parsed._broken").isNotNull(), "not json")
+             .when(times.isNull(), "no hours").when(null_key, "no key"))
+    lost = rows.select(*keep, F.lit(None).cast("int").alias("position"), whole.alias("reason"), F.col("_text").alias("value"))
+    # The longest array says how many hours the payload means to have.
+    length = F.greatest(F.lit(0), *[F.coalesce(F.size(F.col("_parsed.hourly")[name]), F.lit(0)) for name in ("time", *variables)])
+    hours = rows.where(whole.isNull()).select(*keep, times.alias("_times"), F.explode(F.when(length > 0, F.sequence(
+        F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))).alias("position"))
+    at = F.get("_times", F.col("position"))
+    reason = F.when(at.isNull(), "no time").when(at.try_cast("timestamp_ntz").isNull(), "bad time")
+    hours = hours.select(*keep, "position", reason.alias("reason"), at.alias("value"))
+    return lost.unionByName(hours).where(F.col("reason").isNotNull())
+
+
 def weather_hours(payloads: DataFrame, payload: str = "payload", keep: Sequence[str] = ("destination_id",)) -> DataFrame:
     return hourly_rows(payloads, WEATHER_VARIABLES, payload, keep)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import logging
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +108,52 @@ def append_bronze(df: DataFrame, path: str, now=None) -> None:
      .write.mode("append").partitionBy("_ingest_date").parquet(path))
 
 
+@contextmanager
+def footer_reads(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, counts and extremes of whole Parquet tables are planned as reads of file footers."""
+    old = {name: spark.conf.get(name) for name in ("spark.sql.sources.useV1SourceList", "spark.sql.parquet.aggregatePushdown")}
+    others = [name for name in old["spark.sql.sources.useV1SourceList"].split(",") if name.strip().lower() != "parquet"]
+    spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(others))
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    try:
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
+def footer_frame(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """One row with the number of rows and the extremes of number and date columns of a Parquet table; planned inside ``footer_reads``
+    it reads the statistics of the files only."""
+    ends = [end(c).alias(f"{name}_{c}") for c in columns for name, end in (("least", F.min), ("greatest", F.max))]
+    return spark.read.parquet(path).agg(F.count("*").alias("rows"), *ends)
+
+
+def footer_summary(spark: SparkSession, path: str, columns: Sequence[str]) -> tuple[int, dict[str, tuple]]:
+    """Number of rows, and least and greatest value of each column."""
+    with footer_reads(spark):
+        row = footer_frame(spark, path, columns).first()
+    return row["rows"], {c: (row[f"least_{c}"], row[f"greatest_{c}"]) for c in columns}
+
+
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Intermediate folders that are written inside the block are removed when it ends, however it ends; what is made of them has
+    to be written or collected before."""
+    token = _owned.set([])
+    try:
+        yield _owned.get()
+    finally:
+        folders = _owned.get()
+        _owned.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names for checkpoints; only a local session may go without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -113,7 +161,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         base = tempfile.mkdtemp(prefix="outings-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if _owned.get() is not None:
+        _owned.get().append(folder)
+    return folder
 
 
 def write_snapshot(df: DataFrame, root: str, partition_by: str | None = None) -> str:

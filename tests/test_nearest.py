@@ -1,7 +1,6 @@
 """Searches against brute force, with small blocks and crowded groups."""
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +9,10 @@ from pyspark.sql import functions as F
 
 from outings.functions.geo import EARTH_RADIUS_M, haversine_m
 from outings.functions.vectors import HashEmbedder, cosine_similarity, embed
-from outings.operators.approximate import build_cells, load_cells, search_buckets, search_cells, store_cells
-from outings.operators.nearest import nearest_vectors
+from outings.operators.approximate import (bits_for, build_cells, grow_tree, index_buckets, load_buckets, load_cells, load_tree, probe_masks,
+                                           random_directions, search_buckets, search_cells, search_index, search_tree, store_buckets,
+                                           store_cells, store_tree)
+from outings.operators.nearest import nearest_to_few, nearest_vectors
 from outings.operators.places import places_within_radius
 from outings.plans.recall import recall_per_query, recall_report, recall_summary
 
@@ -69,10 +70,99 @@ def check_exact_search(spark, on, block_rows):
 def test_stored_index_reads_the_visited_cells(spark, tmp_path):
     corpus, _ = vectors(spark, 200, 3, "item_id", "embedding", 5)
     store_cells(build_cells(corpus, 8), str(tmp_path / "index"))
-    queries, _ = vectors(spark, 1, 4, "query_id", "query_vector", 5)
-    found = search_cells(queries, load_cells(spark, str(tmp_path / "index")), 3, probes=1)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan) and len(found.collect()) == 3
+    queries, _ = vectors(spark, 2, 4, "query_id", "query_vector", 5)
+    index = load_cells(spark, str(tmp_path / "index"))
+    found = search_cells(queries.where("query_id = 1"), index, 3, probes=1)
+    assert len(found.collect()) == 3 and 0 < rows_scanned(found, "vectors") < 180
+    # A null vector visits no cell.
+    nothing = search_cells(queries.where("query_id = 0"), index, 3, probes=1)
+    assert nothing.collect() == [] and rows_scanned(nothing, "vectors") == 0
+
+
+def rows_scanned(df, folder):
+    """Rows that the finished plan of ``df`` read from files below ``folder``."""
+    total, waiting = 0, [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        elif name == "FileSourceScanExec" and f"/{folder}" in node.relation().location().rootPaths().mkString(","):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("on,block_queries", [([], 1024), ([], 7), (["g"], 1024), (["g"], 9)])
+def test_few_queries_go_to_the_corpus(spark, on, block_queries):
+    queries, q = vectors(spark, 60, 1, "query_id", "query_vector", 5)
+    corpus, c = vectors(spark, 5000, 2, "item_id", "embedding", 5)
+    found = nearest_to_few(queries, corpus.repartition(6), 4, on=on, block_queries=block_queries)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.item_id, round(r.similarity, 9) + 0.0)
+    expected = brute(q, c, 4, bool(on))
+    assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == {k: [(i, round(s, 9) + 0.0) for i, s in v] for k, v in expected.items()}
+    # What is shuffled has no vector in it.
+    plan = nearest_to_few(queries, corpus, 4, on=on)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("MapInArrow")]
+    assert "Exchange" in above and "vector" not in above and "embedding" not in above
+    assert "Exchange" not in plan[plan.index("MapInArrow"):]
+    assert nearest_to_few(queries.limit(0), corpus, 4).count() == 0 and nearest_to_few(queries, corpus.limit(0), 4, on=on).count() == 0
+
+
+def test_probes_are_in_order():
+    rng = np.random.default_rng(2)
+    for bits in (1, 3, 6):
+        margins = rng.normal(size=bits)
+        every = sorted(range(1 << bits), key=lambda m: sum(margins[b] ** 2 for b in range(bits) if m >> b & 1))
+        assert probe_masks(margins, 1 << bits) == every and probe_masks(margins, 3) == every[:3]
+
+
+def test_stored_hash_index(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(800, DIM)))] + [(900, None), (901, [1.0])]
+    corpus = spark.createDataFrame(rows, "item_id long, embedding array<float>").repartition(3).cache()
+    queries = corpus.where("item_id % 40 = 7").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    bits = bits_for(800, 50)
+    assert bits == 4 and bits_for(0) == 1 and bits_for(10 ** 12) == 30
+    store_buckets(index_buckets(corpus, random_directions(spark, 3, bits, DIM)), str(tmp_path / "index"))
+    index = load_buckets(spark, str(tmp_path / "index"))
+    exact = nearest_vectors(queries, corpus, 5)
+    means, scanned = [], []
+    one = queries.where("query_id = 7")
+    for probes in (1, 2, 4, 16):
+        found = search_index(queries, index, 5, probes)
+        means.append(recall_summary(recall_per_query(queries, exact, found)).first().mean_recall_at_k)
+        assert sorted(map(tuple, search_index(queries, index, 5, probes, few=True).collect())) == sorted(map(tuple, found.collect()))
+        single = search_index(one, index, 5, probes)
+        single.collect()
+        scanned.append(rows_scanned(single, "entries"))
+    assert means == sorted(means) and means[0] < 1 and means[-1] == 1.0
+    assert scanned == sorted(scanned) and scanned[0] < 500 and scanned[-1] == 2400
+
+
+def test_tree_of_cells(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, DIM)))] + [(700, None), (701, [0.0] * DIM)]
+    corpus = spark.createDataFrame(rows, "item_id long, embedding array<float>").cache()
+    queries = corpus.where("item_id % 30 = 4").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    tree = grow_tree(corpus, 4, 5, sample=20)
+    assert tree.tops.count() == 4 and tree.centres.count() == 20 and tree.vectors.count() == 600
+    store_tree(tree, str(tmp_path / "tree"))
+    stored = load_tree(spark, str(tmp_path / "tree"))
+    exact = nearest_vectors(queries, corpus, 5)
+    means = []
+    for probes, tops in ((1, 1), (5, 2), (20, 4)):
+        found = search_tree(queries, stored, 5, probes, tops)
+        means.append(recall_summary(recall_per_query(queries, exact, found)).first().mean_recall_at_k)
+    assert means[0] < means[1] < means[2] == 1.0
+    single = search_tree(queries.where("query_id = 4"), stored, 5, 1, 1)
+    single.collect()
+    assert 0 < rows_scanned(single, "vectors") < 200
 
 
 def test_vectors_of_unequal_length_never_meet(spark):
@@ -139,17 +229,19 @@ def metres(a, b):
     return round(EARTH_RADIUS_M * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h)))
 
 
-@pytest.mark.parametrize("radius_m,crowded", [(50_000, 8192), (900_000, 8192), (900_000, 3), (15_000_000, 8192)])
-def test_radius_search(spark, radius_m, crowded):
+@pytest.mark.parametrize("radius_m,crowd", [(50_000, 0), (900_000, 0), (900_000, 400), (15_000_000, 0)])
+def test_radius_search(spark, radius_m, crowd):
     rng = np.random.default_rng(3)
     points = [(float(a), float(o)) for a, o in zip(rng.uniform(-90, 90, 120), rng.uniform(-180, 180, 120))]
     points += [(89.9, 10.0), (89.8, -170.0), (-90.0, 0.0), (-89.9, 77.0), (0.0, 180.0), (0.0, -180.0), (0.1, -179.9)]
     points += [(51.0, -115.5)] * 30 + [(51.2, -115.6)] * 3 + [(51.0 + i / 100, -115.5) for i in range(20)]
-    places = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(999, None, 1.0)],
+    # A town in which the search has to go down some levels, and one at the pole.
+    points += [(float(a), float(o)) for a, o in zip(rng.normal(48.0, 0.002, crowd), rng.normal(11.0, 0.002, crowd))]
+    points += [(90 - abs(float(a)), float(o)) for a, o in zip(rng.normal(0, 0.001, crowd // 4), rng.uniform(-180, 180, crowd // 4))]
+    places = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(99999, None, 1.0)],
                                    "place_id long, latitude double, longitude double")
     got = {}
-    for r in places_within_radius(places.withColumnRenamed("place_id", "centre_id"), places, radius_m, 6,
-                                  crowded=crowded).collect():
+    for r in places_within_radius(places.withColumnRenamed("place_id", "centre_id"), places, radius_m, 6).collect():
         got.setdefault(r.centre_id, []).append((r.distance_m, r.place_id))
     expected = {}
     for i, a in enumerate(points):
@@ -164,6 +256,17 @@ def test_distance_expression(spark):
     assert got == [metres((51.0, 0.0), (52.0, 1.0)), None]
 
 
+@pytest.mark.parametrize("dim", [1, 7, 64, 1024])
+def test_embedding_as_expression(spark, dim):
+    texts = ["", None, "one", "One one, ONE two", "État 3.5 a-b İx K", "x" * 500, " ".join(f"w{i % 90}" for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2)
+    found = df.select("id", embed("t", HashEmbedder(dim)).alias("v"))
+    got = {r.id: r.v for r in found.collect()}
+    for i, vector in enumerate(HashEmbedder(dim)(texts)):
+        assert got[i] == vector.tolist()
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_embedding_batches(spark):
     sizes = spark.sparkContext.accumulator(0)
 

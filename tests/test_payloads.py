@@ -12,8 +12,8 @@ from outings.schemas import empty
 from outings.settings import Settings
 from outings.sources.catalog import destination_catalog
 from outings.sources.fetch import fetch_payloads
-from outings.sources.payloads import (air_hours, geocode_candidates, page_summary, radius_hits, to_instant,
-                                      weather_hours)
+from outings.sources.payloads import (WEATHER_VARIABLES, air_hours, geocode_candidates, page_summary, radius_hits, rejected_hours,
+                                      to_instant, weather_hours)
 
 
 def payloads(spark, *texts):
@@ -148,3 +148,13 @@ def test_whole_load(spark, seeds):
     again = run_load(weather, pages, result["tables"], Settings(write_tables=False))
     assert again["weather"]["bronze_table"].status == "skipped" and again["attractions"]["inserted"] == 0
     assert again["tables"]["weather_snapshots"].count() == 7
+
+
+def test_rejected_hours(spark):
+    good = {"hourly": {"time": ["2024-01-01T00:00", None, "soon"], "temperature_2m": [1.0, 2.0, 3.0, 4.0]}}
+    rows = [(0, json.dumps(good)), (1, None), (2, "{"), (3, "{}"), (4, '{"hourly": {}}'), (None, json.dumps(good)), (5, "[1]"), (6, ""),
+            (7, '{"hourly": {"time": []}}')]
+    df = spark.createDataFrame(rows, "destination_id long, payload string")
+    got = {(r.destination_id, r.position, r.reason) for r in rejected_hours(df, WEATHER_VARIABLES).collect()}
+    assert got == {(0, 1, "no time"), (0, 2, "bad time"), (0, 3, "no time"), (1, None, "no payload"), (2, None, "not json"), (3, None, "no hours"),
+                   (4, None, "no hours"), (None, None, "no key"), (5, None, "not json"), (6, None, "not json")}

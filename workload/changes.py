@@ -12,6 +12,7 @@ from outings.operators.mutation import (CHANGE, add_items, align_trips, delete_c
                                         insert_rows,                                        move_items, snapshot_diff, swap_items, upsert)
 from outings.plans.packing import pack, packing_suggestions
 from outings.plans.load import run_load
+from outings.plans.seeding import Parent, seed_table
 from outings.plans.places import bootstrap_destinations, ingest_attractions
 from outings.schemas import empty
 from outings.settings import Settings
@@ -66,6 +67,92 @@ def _seed_fk_resolution(t):
     return added.changed.drop(CHANGE)
 
 
+LOST = "CASE WHEN {id} % 13 = 5 THEN concat(d.name, ' elsewhere') ELSE d.name END AS destination"
+SEEDS = {
+    "seed_activities": f"""
+SELECT a.activity_id, {LOST.format(id="a.activity_id")}, a.name, a.category, a.is_outdoor
+FROM {{v_activities}} a JOIN {{v_destinations}} d ON d.destination_id = a.destination_id""",
+    "seed_weather": f"""
+SELECT {LOST.format(id="w.us_aqi")}, w.forecast_ts, w.forecast_date, w.temperature_c, w.us_aqi
+FROM {{v_weather}} w JOIN {{v_destinations}} d ON d.destination_id = w.destination_id""",
+    "seed_items": """
+SELECT i.item_id, t.title AS trip, CASE WHEN i.item_id % 17 = 3 THEN 'no such activity' ELSE a.name END AS activity, i.day_date, i.title, i.status
+FROM {v_items} i JOIN {v_trips} t ON t.trip_id = i.trip_id JOIN {v_activities} a ON a.activity_id = i.activity_id""",
+    "seed_packing": """
+SELECT CASE WHEN p.quantity % 13 = 5 THEN 'no such trip' ELSE t.title END AS trip, p.item_name, p.category, p.quantity
+FROM {v_packing} p JOIN {v_trips} t ON t.trip_id = p.trip_id"""}
+
+
+def _seed(t, name: str):
+    used = {v: t(v) for v in ("v_activities", "v_destinations", "v_weather", "v_items", "v_trips", "v_packing") if f"{{{v}}}" in SEEDS[name]}
+    return t.run(SEEDS[name], **used)
+
+
+def _places(t) -> Parent:
+    return Parent(t("v_destinations"), {"destination": "name"}, "destination_id")
+
+
+@query("seed_activities", """
+SELECT d.destination_id, s.name, s.category, s.is_outdoor FROM {seed_activities} s JOIN {v_destinations} d ON d.name = s.destination
+WHERE NOT EXISTS (SELECT 1 FROM {v_activities} a WHERE a.is_outdoor AND a.destination_id = d.destination_id AND a.name = s.name)""", SEEDS)
+def _seed_activities(t):
+    known = t("v_activities").where("is_outdoor").select("activity_id", "destination_id", "name", "category", "is_outdoor")
+    done = seed_table(_seed(t, "seed_activities").drop("activity_id"), [_places(t)], known, ["destination_id", "name"], [F.col("category")])
+    return done.table.changed.select("destination_id", "name", "category", "is_outdoor")
+
+
+@query("seed_weather", """
+SELECT d.destination_id, CAST(s.forecast_ts AS VARCHAR) AS forecast_ts, s.temperature_c, s.us_aqi, 'seed' AS source
+FROM {seed_weather} s JOIN {v_destinations} d ON d.name = s.destination
+WHERE NOT EXISTS (SELECT 1 FROM {v_weather} w WHERE w.us_aqi < 100 AND w.destination_id = d.destination_id AND w.forecast_ts = s.forecast_ts)""", SEEDS)
+def _seed_weather(t):
+    known = t("v_weather").where("us_aqi < 100").withColumn("source", F.lit("service"))
+    done = seed_table(_seed(t, "seed_weather"), [_places(t)], known, ["destination_id", "forecast_ts"], [F.col("temperature_c")],
+                      {"source": F.lit("seed")})
+    return done.table.changed.select("destination_id", "forecast_ts", "temperature_c", "us_aqi", "source")
+
+
+@query("seed_items", """
+SELECT t.trip_id, a.activity_id, CAST(s.day_date AS VARCHAR) AS day_date, s.title, s.status FROM (
+  SELECT *, row_number() OVER (PARTITION BY trip, day_date, title ORDER BY item_id) AS rn FROM {seed_items} WHERE activity <> 'no such activity') s
+JOIN {v_trips} t ON t.title = s.trip JOIN {v_activities} a ON a.name = s.activity
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM {v_items} i WHERE i.status = 'done' AND i.trip_id = t.trip_id AND i.day_date = s.day_date
+                             AND i.title = s.title)""", SEEDS)
+def _seed_items(t):
+    """Two parents: the trip and the activity."""
+    known = t("v_items").where("status = 'done'")
+    parents = [Parent(t("v_trips"), {"trip": "title"}, "trip_id"), Parent(t("v_activities"), {"activity": "name"}, "activity_id")]
+    done = seed_table(_seed(t, "seed_items"), parents, known, ["trip_id", "day_date", "title"], [F.col("item_id")])
+    return done.table.changed.select("trip_id", "activity_id", "day_date", "title", "status")
+
+
+@query("seed_packing", """
+SELECT t.trip_id, s.item_name, s.category, s.quantity FROM {seed_packing} s JOIN {v_trips} t ON t.title = s.trip
+WHERE NOT EXISTS (SELECT 1 FROM {v_packing} p WHERE p.quantity < 20 AND p.trip_id = t.trip_id AND p.item_name = s.item_name)""", SEEDS)
+def _seed_packing(t):
+    done = seed_table(_seed(t, "seed_packing"), [Parent(t("v_trips"), {"trip": "title"}, "trip_id")], t("v_packing").where("quantity < 20"),
+                      ["trip_id", "item_name"], [F.col("quantity")])
+    return done.table.changed.select("trip_id", "item_name", "category", "quantity")
+
+
+@query("seed_rejected", """
+SELECT 'items' AS seeds, trip AS parent, 'activity_id' AS missing, count(*) AS n FROM {seed_items} WHERE activity = 'no such activity' GROUP BY trip
+UNION ALL SELECT 'activities', destination, 'destination_id', count(*) FROM {seed_activities} WHERE ends_with(destination, ' elsewhere') GROUP BY destination
+UNION ALL SELECT 'packing', trip, 'trip_id', count(*) FROM {seed_packing} WHERE trip = 'no such trip' GROUP BY trip""", SEEDS)
+def _seed_rejected(t):
+    """Seed rows whose parent is not there, counted by the name they give."""
+    trips = Parent(t("v_trips"), {"trip": "title"}, "trip_id")
+    cases = [("items", "trip", [trips, Parent(t("v_activities"), {"activity": "name"}, "activity_id")], t("v_items"), ["trip_id", "day_date", "title"]),
+             ("activities", "destination", [_places(t)], t("v_activities"), ["destination_id", "name"]),
+             ("packing", "trip", [trips], t("v_packing"), ["trip_id", "item_name"])]
+    out = None
+    for name, parent, parents, target, key in cases:
+        lost = seed_table(_seed(t, f"seed_{name}"), parents, target, key, [F.col(key[-1])]).rejected
+        part = lost.groupBy(F.lit(name).alias("seeds"), F.col(parent).alias("parent"), "missing").agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 BOOT = """
 SELECT name, country AS catalog_country, latitude, longitude, description,
        CASE WHEN longitude > 150 THEN 'TimeoutError: no answer' END AS error,
@@ -180,6 +267,26 @@ def _load_tables(t):
     return rows
 
 
+@query("load_counts", """
+SELECT 'weather fetched' AS measure, count(*) AS n FROM {v_weather} UNION ALL SELECT 'weather silver', count(*) FROM {v_weather}
+UNION ALL SELECT 'weather upserted', count(*) FROM {v_weather}
+UNION ALL SELECT 'weather inserted', count(*) FROM {v_weather} WHERE forecast_date > DATE '2024-01-10'
+UNION ALL SELECT 'attractions fetched', count(*) FROM {sights} UNION ALL SELECT 'attractions inserted', count(*) FROM {added}""", {
+    **NEAR, "added": """
+SELECT DISTINCT destination_id, title FROM {sights} s
+WHERE NOT EXISTS (SELECT 1 FROM {v_activities} a WHERE a.destination_id = s.destination_id AND a.name = s.title)"""})
+def _load_counts(t):
+    """What a load over a partly filled table counts while it writes."""
+    known = empty(t.spark, "weather_snapshots").unionByName(
+        t("v_weather").where("forecast_date <= DATE '2024-01-10'"), allowMissingColumns=True)
+    done = run_load(both_payloads(t("v_weather"), t("v_weather")), _page_payloads(t),
+                    {"weather_snapshots": known, "activities": t("v_activities")}, Settings(write_tables=False))
+    weather, pages = done["weather"], done["attractions"]
+    rows = [("weather fetched", weather["fetched"]), ("weather silver", weather["silver_rows"]), ("weather upserted", weather["upserted"]),
+            ("weather inserted", weather["inserted"]), ("attractions fetched", pages["fetched"]), ("attractions inserted", pages["inserted"])]
+    return t.spark.createDataFrame(rows, "measure string, n long")
+
+
 @query("assign_ids", """
 SELECT (SELECT max(trip_id) FROM {v_trips}) + row_number() OVER (ORDER BY left(md5(title), 3), title) AS new_id, title
 FROM {v_trips}""")
@@ -373,7 +480,7 @@ def _vector_write_back(t):
     target = t("v_activities").select("activity_id", F.lit(None).cast("array<float>").alias("embedding"))
     source = latest_per_key(t("embeddings").select(F.col("vec_id").alias("activity_id"), "embedding")
                             .join(target.select("activity_id"), "activity_id", "left_semi"), ["activity_id"],
-                            [F.lit(1)])
+                            [F.col("embedding")])
     written = upsert(target, source, ["activity_id"], ["embedding"]).snapshot
     return written.select("activity_id", F.get("embedding", F.lit(0)).cast("double").alias("first_value"),
                           F.col("embedding").isNotNull().alias("has_vector"))

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from outings.functions.scalars import round_half_up
 from outings.functions.vectors import HashEmbedder
-from outings.operators.approximate import assign_cells, build_cells, load_cells, search_buckets, search_cells, store_cells
-from outings.operators.nearest import nearest_vectors
+from outings.operators.approximate import (assign_cells, assign_tree, build_cells, index_buckets, load_buckets, load_cells, load_tree,
+                                           search_buckets, search_cells, search_index, search_tree, store_buckets, store_cells, store_tree)
+from outings.operators.nearest import nearest_to_few, nearest_vectors
 from outings.plans.embedding import activity_text, destination_text, embed_missing, embedding_coverage
 from outings.plans.itinerary import apply_plan, generate_itinerary, reschedule_for_weather
 from outings.plans.recall import evaluate_retrieval, recall_per_query, recall_report
-from outings.plans.search import PROBES, global_search, semantic_search
+from outings.plans.search import PROBES, embed_queries, global_search, probe_queries, semantic_search
 from outings.settings import Settings
 from outings.sources.tables import shared_folder
 from workload.registry import query
@@ -162,6 +163,94 @@ def _search_given_cells(t):
     return _shown(search_cells(queries, load_cells(t.spark, folder), 5, PROBED))
 
 
+def _sim(a: str, b: str) -> str:
+    return f"round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 9)"
+
+
+TREE = {
+    "top_of": f"""
+SELECT * FROM (SELECT a.vec_id, a.embedding, p.vec_id AS top, row_number() OVER (
+    PARTITION BY a.vec_id ORDER BY {_sim("a.embedding", "p.embedding")} DESC, p.vec_id) AS rn
+  FROM {{embeddings}} a, {{embeddings}} p WHERE p.vec_id < 4) x WHERE rn <= 2""",
+    "cell_of": f"""
+SELECT t.vec_id, t.embedding, t.rn, t.top, c.vec_id AS cell, {_sim("t.embedding", "c.embedding")} AS sim
+FROM {{top_of}} t JOIN {{top_of}} c ON c.rn = 1 AND c.top = t.top AND c.vec_id < 24""",
+    "at_home": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cell) AS place FROM {cell_of} WHERE rn = 1) x WHERE place = 1""",
+    "calls": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cell) AS place FROM {cell_of}) x WHERE place <= 5"""}
+
+
+@query("search_given_tree", EXACT.replace("{embeddings} a, {embeddings} b", "{calls} a JOIN {at_home} b ON a.cell = b.cell"), TREE)
+def _search_given_tree(t):
+    """Two levels of given centres, stored; two tops and five of their cells are visited."""
+    queries, corpus = _vectors(t)
+    tops = corpus.where("item_id < 4").select(F.col("item_id").alias("top"), F.col("embedding").alias("centre"))
+    cells = corpus.where("item_id < 24")
+    home = nearest_vectors(cells, tops, 1, query_id="item_id", query_vector="embedding", item_id="top", item_vector="centre")
+    centres = cells.join(home.select("item_id", "top"), "item_id").select("top", F.col("item_id").alias("cell"), F.col("embedding").alias("centre"))
+    folder = shared_folder(t.spark, "tree")
+    store_tree(assign_tree(corpus, tops, centres), folder)
+    return _shown(search_tree(queries, load_tree(t.spark, folder), 5, 5, 2))
+
+
+@query("recall_given_cells", """
+SELECT v.vec_id AS query_id, count(e.item_id) AS exact_k, (SELECT count(*) FROM {near} n WHERE n.query_id = v.vec_id) AS returned,
+       count(n.item_id) AS overlap, CAST(round_even(count(n.item_id) / greatest(count(e.item_id), 1), 3) AS DOUBLE) AS recall_at_k
+FROM {embeddings} v LEFT JOIN {exact} e ON e.query_id = v.vec_id LEFT JOIN {near} n ON n.query_id = v.vec_id AND n.item_id = e.item_id
+GROUP BY v.vec_id""", {"assigned": ASSIGNED, "exact": EXACT, "near": EXACT.replace(
+    "{embeddings} a, {embeddings} b", "{assigned} a JOIN {assigned} b ON b.rn = 1 AND a.cell = b.cell")})
+def _recall_given_cells(t):
+    """The recall of an approximate search, query by query."""
+    queries, corpus = _vectors(t)
+    centres = corpus.where(f"item_id < {CELLS}").select(F.col("item_id").alias("cell"), F.col("embedding").alias("centre"))
+    folder = shared_folder(t.spark, "cells")
+    store_cells(assign_cells(corpus, centres), folder)
+    found = search_cells(queries, load_cells(t.spark, folder), 5, PROBED)
+    return recall_per_query(queries, nearest_vectors(queries, corpus, 5), found).drop("_recall")
+
+
+TABLES, BITS, PROBES_PER_TABLE = 4, 4, 3
+PLANES = {
+    "margins": f"""
+SELECT v.vec_id, v.embedding, p.vec_id // {BITS} AS tab, p.vec_id % {BITS} AS bit,
+       round(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 9) AS margin
+FROM {{embeddings}} v, {{embeddings}} p WHERE p.vec_id < {TABLES * BITS}""",
+    "buckets": """
+SELECT vec_id, any_value(embedding) AS embedding, tab, CAST(sum(CASE WHEN margin > 0 THEN 1 << bit ELSE 0 END) AS BIGINT) AS bucket
+FROM {margins} GROUP BY vec_id, tab""",
+    "prices": f"""
+SELECT vec_id, tab, mask, sum(CASE WHEN (mask >> bit) & 1 = 1 THEN round(margin * margin, 12) ELSE 0 END) AS price
+FROM {{margins}}, (SELECT unnest(range({1 << BITS})) AS mask) m GROUP BY vec_id, tab, mask""",
+    "visits": f"""
+SELECT b.vec_id, b.embedding, b.tab, xor(b.bucket, p.mask) AS bucket
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, tab ORDER BY price, mask) AS rn FROM {{prices}}) p
+JOIN {{buckets}} b ON b.vec_id = p.vec_id AND b.tab = p.tab WHERE p.rn <= {PROBES_PER_TABLE}""",
+    "met": """
+SELECT DISTINCT q.vec_id AS query_id, b.vec_id AS item_id,
+       round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim
+FROM {visits} q JOIN {buckets} b ON b.tab = q.tab AND b.bucket = q.bucket"""}
+
+
+def _plane_index(t, corpus):
+    """The first vectors are the planes; the index goes through files."""
+    first = corpus.where(f"item_id < {TABLES * BITS}")
+    directions = first.select((F.col("item_id") / BITS).cast("int").alias("table"), (F.col("item_id") % BITS).cast("int").alias("bit"),
+                              F.col("embedding").alias("direction"))
+    folder = shared_folder(t.spark, "buckets")
+    store_buckets(index_buckets(corpus, directions), folder)
+    return load_buckets(t.spark, folder)
+
+
+@query("search_given_planes", """
+SELECT query_id, item_id, CAST(round(CAST(sim AS DECIMAL(18,9)), 6) AS DOUBLE) AS similarity, CAST(rn AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rn FROM {met}) r WHERE rn <= 5""", PLANES)
+def _search_given_planes(t):
+    """A stored hash index with several probes per table, in the order of the distance to the planes."""
+    queries, corpus = _vectors(t)
+    return _shown(search_index(queries, _plane_index(t, corpus), 5, PROBES_PER_TABLE))
+
+
 @query("recall_cells")
 def _recall_cells(t):
     queries, corpus = _vectors(t)
@@ -187,6 +276,20 @@ def _recall_exact(t):
     return recall_per_query(queries, nearest_vectors(queries, corpus, 5), found).drop("_recall")
 
 
+@query("probe_neighbours", f"""
+SELECT query, activity_id AS item_id, CAST(round(CAST(sim AS DECIMAL(18,9)), 6) AS DOUBLE) AS similarity, CAST(rn AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, activity_id) AS rn FROM (
+    SELECT v.query, a.activity_id, {SIM} FROM {{v_activities}} a, {{text_vectors}} v WHERE a.requirements_embedding IS NOT NULL) p
+  WHERE sim IS NOT NULL AND NOT isnan(sim)) r WHERE rn <= 5""",
+       {"texts": "SELECT unnest(['" + "', '".join(PROBES) + "']) AS query", **hash_vectors("texts")})
+def _probe_neighbours(t):
+    """The probe texts go to the corpus, which is not shuffled."""
+    queries = embed_queries(probe_queries(t.spark), EMBEDDER)
+    corpus = t("v_activities").select(F.col("activity_id").alias("item_id"), F.col("requirements_embedding").alias("embedding"))
+    found = nearest_to_few(queries, corpus, 5).join(queries.select("query_id", "query"), "query_id")
+    return found.select("query", "item_id", round_half_up("similarity", 6).alias("similarity"), "rank")
+
+
 @query("probe_recall", """
 SELECT query, CAST(5 AS BIGINT) AS exact_k, CAST(5 AS BIGINT) AS returned, CAST(5 AS BIGINT) AS overlap,
        CAST(1.0 AS DOUBLE) AS recall_at_k

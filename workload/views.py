@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from outings.functions.geo import haversine_m
 from outings.functions.scalars import (aqi_label, classify_place, hour_minute, month_day, page_slug, round_half_even,
                                        round_half_up)
 from outings.operators.mutation import move_items
@@ -14,11 +15,14 @@ from outings.plans.itinerary import list_itinerary
 from outings.plans.packing import list_packing
 from outings.plans.quality import (count_orphans, default_checks, orphans, quality_report, reference_report,
                                    report_summary)
-from outings.plans.scoring import combine, count_change, every_change_has_reason, no_outdoor_on_bad_day, score, tool_fired
+from outings.plans.scoring import (Recording, combine, count_change, evaluate_runs, every_change_has_reason, no_outdoor_on_bad_day,
+                                   score, tool_fired)
 from outings.plans.views import (as_json, country_histogram, distinct_counts, itinerary_by_day, items_per_day,
                                  list_destinations, row_counts, scale_summary, trip_bundle, trip_header)
 from outings.plans.weather import trip_weather
 from outings.settings import Settings
+from outings.sources.catalog import DESTINATIONS, destination_catalog
+from outings.sources.tables import footer_summary
 from workload.changes import MOVES, MOVED
 from workload.registry import query
 from workload.weather import TRIP_DAY_VIEWS
@@ -93,6 +97,21 @@ def _trip_json(t):
     return as_json(rows)
 
 
+@query("trip_nested_json", """
+SELECT concat('{"trip_id":', trip_id, ',"items":', CASE WHEN n = 0 THEN 'null' ELSE concat('[', list, ']') END, '}') AS json
+FROM (SELECT t.trip_id, count(i.item_id) AS n,
+             string_agg(concat('{"item_id":', i.item_id, ',"day_date":"', i.day_date, '","cost":', CAST(CAST(i.sort_order AS DOUBLE) AS VARCHAR),
+                               ',"by_day":{"', i.day_date, '":', CAST(CAST(i.sort_order AS DOUBLE) AS VARCHAR), '}}'), ',' ORDER BY i.item_id) AS list
+      FROM {v_trips} t LEFT JOIN {v_items} i ON i.trip_id = t.trip_id GROUP BY t.trip_id) x""")
+def _trip_nested_json(t):
+    """Dates and decimals inside lists, structs and maps."""
+    cost = F.col("sort_order").cast("decimal(12,2)")
+    entry = F.struct("item_id", "day_date", cost.alias("cost"), F.create_map("day_date", cost).alias("by_day"))
+    items = t("v_items").groupBy("trip_id").agg(F.collect_list(entry).alias("items"))
+    ordered = F.array_sort("items", lambda a, b: (a["item_id"] - b["item_id"]).cast("int"))
+    return as_json(t("v_trips").join(items, "trip_id", "left").select("trip_id", ordered.alias("items")))
+
+
 STANDINS = {"users": "v_users", "destinations": "v_destinations", "trips": "v_trips", "activities": "v_activities",
             "itinerary_items": "v_items", "weather_snapshots": "v_weather", "packing_items": "v_packing"}
 # Least number of rows per table.
@@ -273,10 +292,64 @@ def _country_histogram(t):
 @query("scale_summary", """
 SELECT 'destinations' AS metric, count(*) AS value FROM {v_destinations}
 UNION ALL SELECT 'countries', count(DISTINCT country) FROM {v_destinations}
-UNION ALL SELECT 'embedded_destinations', count(description) FROM {v_destinations}
+UNION ALL SELECT 'embedded_destinations', count(*) FROM {v_destinations} d JOIN {embeddings} e ON e.vec_id = d.destination_id
+  WHERE d.destination_id % 3 <> 1
 UNION ALL SELECT 'weather_rows', count(*) FROM {v_weather}""")
 def _scale_summary(t):
-    return scale_summary(t("v_destinations"), t("v_weather"), "description")
+    vectors = t("embeddings").where("vec_id % 3 <> 1").select(F.col("vec_id").alias("destination_id"), F.col("embedding").alias("description_embedding"))
+    return scale_summary(t("v_destinations").join(vectors, "destination_id", "left"), t("v_weather"))
+
+
+@query("footer_summary", """
+SELECT 'lineitem' AS table_name, 'l_orderkey' AS column_name, count(*) AS "rows", min(l_orderkey) AS least, max(l_orderkey) AS greatest FROM {lineitem}
+UNION ALL SELECT 'orders', 'o_custkey', count(*), min(o_custkey), max(o_custkey) FROM {orders}
+UNION ALL SELECT 'events', 'user_id', count(*), min(user_id), max(user_id) FROM {events}""")
+def _footer_summary(t):
+    """Counts and extremes from the footers of the files; no row is read."""
+    out = None
+    for name, column in (("lineitem", "l_orderkey"), ("orders", "o_custkey"), ("events", "user_id")):
+        rows, ends = footer_summary(t.spark, f"{t.sf_dir}/{name}.parquet", [column])
+        least, greatest = ends[column]
+        part = t.spark.range(1).select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), F.lit(rows).cast("long").alias("rows"),
+                                       F.lit(least).cast("long").alias("least"), F.lit(greatest).cast("long").alias("greatest"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("distances", """
+SELECT destination_id, next_id, round_even(2 * 6371000 * atan2(sqrt(c), sqrt(1 - c)), 0) AS distance_m FROM (
+  SELECT destination_id, next_id, CASE WHEN lon1 IS NOT NULL THEN least(1.0, pow(sin(radians(lat2 - lat1) / 2), 2)
+         + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)) END AS c
+  FROM (SELECT a.destination_id, b.destination_id AS next_id, a.latitude + 0.5 AS lat1, b.latitude + 0.25 AS lat2,
+               CASE WHEN a.destination_id % 9 = 4 THEN NULL ELSE a.longitude END AS lon1, b.longitude AS lon2
+        FROM {v_destinations} a JOIN {v_destinations} b ON b.destination_id = a.destination_id + 1) p) x""")
+def _distances(t):
+    """The distance expression, with missing coordinates."""
+    a = t("v_destinations").select("destination_id", (F.col("latitude") + 0.5).alias("lat1"),
+                                   F.when(F.col("destination_id") % 9 != 4, F.col("longitude")).alias("lon1"))
+    b = t("v_destinations").select((F.col("destination_id") - 1).alias("destination_id"), F.col("destination_id").alias("next_id"),
+                                   (F.col("latitude") + 0.25).alias("lat2"), F.col("longitude").alias("lon2"))
+    return a.join(b, "destination_id").select("destination_id", "next_id", haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("distance_m"))
+
+
+@query("items_of_a_day", """
+SELECT trip_id, title, sort_order FROM {v_items} i WHERE day_date = (SELECT start_date FROM {v_trips} t WHERE t.trip_id = i.trip_id)""")
+def _items_of_a_day(t):
+    """The items of the first day of every trip."""
+    first = t("v_trips").select("trip_id", "start_date")
+    return t("v_items").join(first, "trip_id").where("day_date = start_date").select("trip_id", "title", "sort_order")
+
+
+@query("catalog_events", """
+SELECT c.name, c.country, count(*) AS events FROM {events} e
+JOIN (VALUES """ + ", ".join(f"({n}, '{name}', '{country}')" for n, (name, country) in enumerate(DESTINATIONS)) + """) AS c(place, name, country)
+  ON e.user_id % 25 = c.place GROUP BY c.name, c.country""")
+def _catalog_events(t):
+    """The catalog as driving table of 25 rows; the events are counted before they meet it."""
+    names = F.array(*[F.lit(name) for name, _ in DESTINATIONS])
+    counts = t("events").groupBy((F.col("user_id") % 25).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("events"))
+    return destination_catalog(t.spark).withColumn("place", (F.array_position(names, F.col("name")) - 1).cast("int")).join(
+        counts, "place").select("name", "country", "events")
 
 
 # Frequent words of the test texts, so that every branch of the classifier is taken.
@@ -377,3 +450,40 @@ SELECT task, concat(count(*) FILTER (WHERE passed), '/', count(*)) AS score,
        round_even(count(*) FILTER (WHERE passed) / count(*), 3) AS pass_rate FROM {outcomes} GROUP BY task""", OUTCOMES)
 def _pass_rates(t):
     return score(_outcomes(t), ["task"])
+
+
+STEPS = """
+SELECT conv_id AS run_id, CASE WHEN turn % 2 = 0 THEN 'retrieval' ELSE 'grounding' END AS task,
+       CASE role WHEN 'user' THEN 'search_activities' WHEN 'assistant' THEN 'weather_by_day' ELSE role END AS tool,
+       CASE WHEN length(text) % 7 = 0 THEN 'broke off' END AS error FROM {conversations}"""
+
+
+@query("golden_tasks", """
+SELECT run_id, task, passed, detail FROM {outcomes}
+UNION ALL
+SELECT t.trip_id, k.name, coalesce(bool_or(s.tool = k.tool) AND NOT bool_or(s.error IS NOT NULL), FALSE),
+       concat('tools=', coalesce(string_agg(DISTINCT s.tool, ', ' ORDER BY s.tool), ''))
+FROM {v_trips} t CROSS JOIN (VALUES ('searches for indoor activities', 'retrieval', 'search_activities'),
+                                    ('checks weather before answering', 'grounding', 'weather_by_day')) AS k(name, task, tool)
+LEFT JOIN {steps} s ON s.run_id = t.trip_id AND s.task = k.task GROUP BY t.trip_id, k.name""", {**OUTCOMES, "steps": STEPS})
+def _golden_tasks(t):
+    """The six tasks of an evaluation in one aggregation."""
+    items = t("v_items").withColumn("reschedule_reason", F.lit(None).cast("string"))
+    after = move_items(items, t.run(MOVES, v_items=t("v_items"))).snapshot
+    traits = t("v_activities").select("activity_id", "is_outdoor")
+
+    def state(df):
+        return df.join(traits, "activity_id").withColumnRenamed("trip_id", "run_id")
+
+    bad = (trip_weather(t("v_trips"), t("v_weather")).where("is_bad")
+           .select(F.col("trip_id").alias("run_id"), F.col("forecast_date").alias("day_date")))
+    packing = t("v_packing").withColumnRenamed("trip_id", "run_id")
+    grown = (packing.where("quantity < 20"), packing)
+    recording = Recording(t.run(STEPS, conversations=t("conversations")), (state(items), state(after)), grown, grown, bad)
+    found = evaluate_runs(t("v_trips").select(F.col("trip_id").alias("run_id")), recording)
+    # The twin has the tasks under the names of the other score queries.
+    names = {"reschedule: no outdoor item left on a bad day": "no outdoor item left on a bad day",
+             "reschedule: every change has a reason": "every change has a reason", "packing: list is created": "the packing list grows",
+             "add: exactly one item added": "one item is added", "retrieval: searches for indoor activities": "searches for indoor activities",
+             "grounding: checks weather before answering": "checks weather before answering"}
+    return found.replace(names, subset=["task"])

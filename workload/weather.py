@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from outings.functions.scalars import blank_to_null
 from outings.operators.mutation import CHANGE
 from outings.plans.weather import (daily_weather, ingest_weather, join_hours, silver_weather, trip_weather,
-                                   upsert_weather, weather_chart)
+                                   upsert_weather, upsert_weather_version, weather_chart)
 from outings.sources.fetch import fetch_payloads
-from outings.sources.payloads import air_hours, weather_hours
+from outings.sources.payloads import AIR_VARIABLES, WEATHER_VARIABLES, air_hours, rejected_hours, weather_hours
+from outings.sources.snapshots import Snapshots
 from outings.sources.tables import materialized, shared_folder
 from outings.streaming.ingest import compacted_log, fold_log, new_files, read_log, upsert_stream
 from workload.registry import query
@@ -110,6 +111,46 @@ def _joined(t, how: str) -> DataFrame:
     return join_hours(weather_hours(payloads, "weather"), air_hours(payloads, "air"), how).select(*HOUR_COLUMNS)
 
 
+ALL_HOURS = """
+SELECT destination_id, forecast_ts, forecast_date, temperature_c, precipitation_mm, precipitation_prob,
+       temperature_c * 0.5 + precipitation_prob AS wind_kph, us_aqi, us_aqi * 0.25 AS pm2_5,
+       CASE WHEN us_aqi % 3 = 0 THEN NULL ELSE us_aqi * 0.5 END AS pm10, precipitation_mm + 1.5 AS uv_index FROM {v_weather}"""
+
+
+@query("weather_all_variables", SILVER + "{all_hours}", {"all_hours": ALL_HOURS})
+def _weather_all_variables(t):
+    """Every variable of both services, through payloads."""
+    hours = t.run(ALL_HOURS, v_weather=t("v_weather"))
+    weather = day_payloads(hours, {name: column for name, (column, _) in WEATHER_VARIABLES.items()}, "weather")
+    air = day_payloads(hours, {name: column for name, (column, _) in AIR_VARIABLES.items()}, "air")
+    both = weather.join(air, ["destination_id", "forecast_date"])
+    return join_hours(weather_hours(both, "weather"), air_hours(both, "air")).select(*hours.columns)
+
+
+BROKEN = """
+SELECT destination_id, forecast_date, destination_id * 31 + day(forecast_date) AS n,
+       row_number() OVER (PARTITION BY destination_id, forecast_date ORDER BY forecast_ts) - 1 AS position, forecast_ts FROM {v_weather}"""
+
+
+@query("weather_rejects", """
+SELECT CASE WHEN n % 11 <> 3 THEN destination_id END AS destination_id, CAST(NULL AS INT) AS position,
+       ['no payload', 'not json', 'no hours', 'no key'][n % 11 + 1] AS reason,
+       [NULL, '{"hourly":', '{"daily":{', '{"hourly":'][n % 11 + 1] AS value FROM {broken} WHERE n % 11 < 4 AND position = 0
+UNION ALL SELECT destination_id, CAST(position AS INT), 'bad time', strftime(forecast_ts, '%Y-%m-%d') FROM {broken}
+WHERE n % 11 = 4 AND hour(forecast_ts) < 10
+UNION ALL SELECT destination_id, 0, 'no time', NULL FROM {broken} WHERE n % 11 = 5 AND position = 0""", {"broken": BROKEN})
+def _weather_rejects(t):
+    """Payloads broken in six ways; every one is reported with its reason."""
+    first = day_payloads(t("v_weather"), {"temperature_2m": "temperature_c"}, "weather")
+    kind = F.pmod(F.col("destination_id") * 31 + F.day("forecast_date"), F.lit(11))
+    text = (F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, F.lit('{"hourly": {"time": ['))
+            .when(kind == 2, F.lit('{"daily":{}}')).when(kind == 4, F.replace("weather", F.lit("T0"), F.lit(" never ")))
+            .when(kind == 5, F.replace("weather", F.lit('"time":['), F.lit('"time":[null,'))).otherwise(F.col("weather")))
+    broken = first.select(F.when(kind != 3, F.col("destination_id")).alias("destination_id"), text.alias("payload"))
+    found = rejected_hours(broken, WEATHER_VARIABLES)
+    return found.withColumn("value", F.left("value", F.lit(10)))
+
+
 @query("weather_hour_join_full", SILVER + "{sides}", SIDES)
 def _join_full(t):
     return _joined(t, "full")
@@ -120,6 +161,24 @@ def _join_left(t):
     return _joined(t, "left")
 
 
+@query("weather_versions", """
+SELECT 1 AS version, destination_id, CAST(forecast_ts AS VARCHAR) AS forecast_ts, CAST(forecast_date AS VARCHAR) AS forecast_date, temperature_c
+FROM {v_weather} WHERE forecast_date <= DATE '2024-01-10'
+UNION ALL
+SELECT 2, destination_id, CAST(forecast_ts AS VARCHAR), CAST(forecast_date AS VARCHAR),
+       CASE WHEN forecast_date >= DATE '2024-01-08' THEN temperature_c + 1.0 ELSE temperature_c END
+FROM {v_weather} WHERE forecast_date <= DATE '2024-01-15'""")
+def _weather_versions(t):
+    """Two versions of a stored table, the second made by an upsert of some days."""
+    weather = t("v_weather")
+    table = Snapshots(t.spark, shared_folder(t.spark, "weather-table"))
+    table.commit(weather.where("forecast_date <= DATE '2024-01-10'"), "forecast_date")
+    newer = weather.where("forecast_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-15'").withColumn("temperature_c", F.col("temperature_c") + 1.0)
+    upsert_weather_version(table, newer, newest_first=[F.col("temperature_c")])
+    rows = [table.read(v).select(F.lit(v).alias("version"), "destination_id", "forecast_ts", "forecast_date", "temperature_c") for v in (1, 2)]
+    return rows[0].unionByName(rows[1])
+
+
 SHIFTED = """
 SELECT destination_id, forecast_ts + INTERVAL 12 HOUR AS forecast_ts,
        CAST(forecast_ts + INTERVAL 12 HOUR AS DATE) AS forecast_date, temperature_c + 1.0 AS temperature_c,
