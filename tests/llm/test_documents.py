@@ -536,4 +536,4 @@ def test_recall_of_lines_alike(spark):
     assert gone <= set(kinds)
     found, total = Counter(kinds[i][0] for i in gone), Counter(k for k, _ in kinds.values())
     assert found["word"] >= 0.98 * total["word"] and found["letters_3"] >= 0.98 * total["letters_3"]
-    assert found["letters_6"] >= 0.95 * total["letters_6"] and found["letters_10"] >= 0.9 * total["letters_10"]
+    assert found["letters_6"] >= 0.95 * total["letters_6"] and found["letters_10"] >= 0.8 * total["letters_10"]
