@@ -286,7 +286,8 @@ def crowd_pairs(crowd: DataFrame, docs: DataFrame, classes: DataFrame, forest: F
 
     Shingles are ordered by the number of rows of the crowd that hold them. Two similar sets share one of the first
     n - ceil(percent n) + 1 of each; if that one is rare, they meet here. A row also meets the smallest one with the same frequent
-    shingles. Every row has a bounded number of pairs: those of its rare shingles, which ``rare`` rows hold at most, and one more.
+    shingles, and by frequent shingles the smallest ones of other selections that several rows hold; rows whose selections are
+    all their own meet in the deeper orders only, so that many variants of a passage do not make all pairs.
     """
     crowd = crowd.join(classes.select("cls", "rep", F.col("n").alias("size")), "cls")
     crowd = materialized(crowd, "crowd")
@@ -320,11 +321,20 @@ def crowd_pairs(crowd: DataFrame, docs: DataFrame, classes: DataFrame, forest: F
     x, y = shown.alias("x"), shown.alias("y")
     by_rare = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & cross)
     same = facts.where("n_hot > 0").select("cls", "comp", "size", "n_hot", "h1", "h2")
-    smallest = same.groupBy("n_hot", "h1", "h2").agg(F.min(F.struct("size", "cls", "comp")).alias("m")).select("n_hot", "h1", "h2", "m.*")
+    smallest = same.groupBy("n_hot", "h1", "h2").agg(F.min(F.struct("size", "cls", "comp")).alias("m"), F.count("*").alias("holders"))
+    smallest = materialized(smallest.select("n_hot", "h1", "h2", "holders", "m.*"), "crowd-smallest")
     x, y = same.alias("x"), smallest.alias("y")
     by_same = x.join(y, (F.col("x.n_hot") == F.col("y.n_hot")) & (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & cross)
-    out = [p.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")) for p in (by_rare, by_same)]
-    return out[0].unionByName(out[1]).distinct()
+    # Frequent shingles alone have to be enough for the other pairs; every row meets the smallest ones of the selections that several rows hold.
+    several = smallest.where("holders > 1").select("cls", "n_hot")
+    leading = F.greatest(F.lit(0), first - (F.col("size") - F.col("n_hot")))
+    hot = rows.where(F.col("df") > forest.rare).withColumn("place", place).join(facts.select("cls", "comp", "size", "n_hot", leading.alias("leading")), "cls")
+    hot = hot.where("place <= leading").select("cls", "comp", "size", "n_hot", "shingle")
+    x, y = hot.alias("x"), hot.join(several.select("cls"), "cls", "left_semi").alias("y")
+    alone = (100 + forest.percent) * F.least("x.n_hot", "y.n_hot") >= forest.percent * (F.col("x.size") + F.col("y.size"))
+    by_hot = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & cross & alone)
+    out = [p.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")) for p in (by_rare, by_same, by_hot)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:

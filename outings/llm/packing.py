@@ -148,6 +148,8 @@ class Packer:
                 self._close(own)
 
 
+# Distinct words, and distinct parts of words, that a worker remembers.
+KNOWN = 120_000
 # Below this character, classes of characters and lower case are the same everywhere, and nothing is composed.
 PLAIN = "\u0250"
 # The pattern of the pre-tokenizer (a fixed value), and a space that stands between words.
@@ -183,8 +185,8 @@ class Words:
         self.last = np.array([ids[c + "</w>"] for _, c in symbols], np.int64)
         self.pattern = regex.compile(PATTERN + "| ")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.parts = Segments(self.of_parts)
-        self.segments = Segments(self.of_words)
+        self.parts = Segments(self.of_parts, KNOWN)
+        self.segments = Segments(self.of_words, KNOWN)
 
     def of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [p.encode() for p in parts]
@@ -272,7 +274,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for part in slices(batch):
+            for part in slices(batch, budget=2 << 20):
                 ids, stops = encoder.encode(part.column("text").to_pylist())
                 ids, start = ids.astype("<u4"), 0
                 for doc_id, stop in zip(part.column("doc_id").to_pylist(), stops.tolist()):
