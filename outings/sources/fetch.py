@@ -11,11 +11,16 @@ from pyspark.sql.types import StructType
 
 Fetcher = Callable[[dict], dict[str, str | None]]
 
+# Tasks per core that rows are dealt out to at most: enough to even out slow ones. More of them only cost their start.
+TASKS_PER_CORE = 16
+
 
 def spread(rows: DataFrame, per_task: int, partitions: int | None = None) -> DataFrame:
-    """The rows dealt out to tasks of about ``per_task`` rows, by a hash of the whole row."""
+    """The rows dealt out to tasks of about ``per_task`` rows, by a hash of the whole row; to larger ones, where that would be more than
+    ``TASKS_PER_CORE`` tasks a core."""
     if partitions is None:
-        partitions = max(1, -(-rows.count() // per_task))
+        most = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+        partitions = min(most, max(1, -(-rows.count() // per_task)))
     hashed = [f.name for f in rows.schema if f.dataType.typeName() != "map"]
     return rows.repartition(partitions, F.xxhash64(*hashed))
 
@@ -26,7 +31,7 @@ def fetch_payloads(requests: DataFrame, fetcher: Fetcher, payloads: tuple[str, .
 
     The request columns come first. A call that raises gives null payloads and its message in ``error``, so
     nothing is lost; ``where("error IS NULL")`` are the answers. Rows are dealt out evenly, about ``per_task`` to a
-    task, so the number of tasks follows the number of requests. Write the result before using it more than once: a
+    task, so the number of tasks follows the number of requests, up to what the cores can use. Write the result before using it more than once: a
     recomputed task calls the service again.
     """
     schema = StructType(list(requests.schema.fields))

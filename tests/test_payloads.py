@@ -11,7 +11,7 @@ from outings.plans.weather import ingest_weather, join_hours
 from outings.schemas import empty
 from outings.settings import Settings
 from outings.sources.catalog import destination_catalog
-from outings.sources.fetch import fetch_payloads
+from outings.sources.fetch import TASKS_PER_CORE, fetch_payloads, spread
 from outings.sources.payloads import (WEATHER_VARIABLES, air_hours, geocode_candidates, page_summary, radius_hits, rejected_hours,
                                       to_instant, weather_hours)
 
@@ -158,3 +158,13 @@ def test_rejected_hours(spark):
     got = {(r.destination_id, r.position, r.reason) for r in rejected_hours(df, WEATHER_VARIABLES).collect()}
     assert got == {(0, 1, "no time"), (0, 2, "bad time"), (0, 3, "no time"), (1, None, "no payload"), (2, None, "not json"), (3, None, "no hours"),
                    (4, None, "no hours"), (None, None, "no key"), (5, None, "not json"), (6, None, "not json")}
+
+
+def test_number_of_fetch_tasks_has_a_bound(spark):
+    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert spread(spark.range(40 * most), 1).rdd.getNumPartitions() == most
+    assert spread(spark.range(3), 1).rdd.getNumPartitions() == 3
+    requests = spark.range(2 * most).withColumnRenamed("id", "destination_id")
+    answers = fetch_payloads(requests, lambda request: {"payload": str(request["destination_id"])}, per_task=1)
+    assert answers.rdd.getNumPartitions() == most
+    assert {r.payload for r in answers.collect()} == {str(i) for i in range(2 * most)}

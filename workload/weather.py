@@ -232,7 +232,7 @@ def _parallel_fetch(t):
     stored = both_payloads(t("v_weather"), t("v_weather"))
     requests = stored.select("destination_id", F.col("weather").alias("stored_weather"),
                              F.col("air").alias("stored_air"))
-    answers = fetch_payloads(requests, offline_fetch, ("weather", "air"))
+    answers = fetch_payloads(materialized(requests, "requests"), offline_fetch, ("weather", "air"))
     answers = materialized(answers.select("destination_id", "weather", "air", "error"), "fetched")
     answers = answers.where(blank_to_null("error").isNull())
     return join_hours(weather_hours(answers, "weather"), air_hours(answers, "air")).select(*HOUR_COLUMNS)
