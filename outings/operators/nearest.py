@@ -2,9 +2,10 @@
 
 Comparing all rows of two sides is the work of an exact search. What must not happen is that all pairs become
 rows, or that one group of pairs lands in one task. Both sides are therefore cut into blocks of bounded size and
-every pair of blocks becomes one row, which holds the two blocks as lists. Scoring such a row as a matrix gives
-back at most k partners per left row; a last window merges those. Pairs of blocks of one group spread over all
-tasks, and many small groups share an Arrow batch.
+every pair of blocks becomes one row, which holds the two blocks as lists. Scoring such a row, a tile of the matrix
+after the other, gives back at most k partners per left row; a last window merges those. Pairs of blocks of one group
+spread over all tasks, and many small groups share an Arrow batch. A row is shuffled once per block of the other side, so
+blocks are as large as a task can well hold: up to ``SPREAD`` blocks a side the shuffle grows with the rows, not with the pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructType
 
 from outings.operators.keyed import join_groups, top_per_group
 from outings.settings import ship_packages
@@ -25,19 +26,23 @@ from outings.settings import ship_packages
 Rows = pa.RecordBatch
 Cost = Callable[[Rows, Rows], np.ndarray]
 
-# A pair of blocks is one row: 2048 vectors of 1024 floats are 8 MB a side. It is scored some left rows at a time.
+# A pair of blocks is one row, of at most twice so many bytes. A search without groups is cut into ``SPREAD`` blocks a side if these have
+# ``BLOCK_ROWS`` rows, so that all cores have work. A pair is scored in tiles of TILE_ROWS x BLOCK_ROWS.
+BLOCK_BYTES = 32 * 1024 * 1024
+SPREAD = 8
 BLOCK_ROWS = 2048
 TILE_ROWS = 512
 
 
 def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, k: int,
                   cost: Cost, left_values: Sequence[str], right_values: Sequence[str],
-                  block_rows: int = BLOCK_ROWS, k_column: str | None = None) -> DataFrame:
+                  block_rows: int | None = None, k_column: str | None = None) -> DataFrame:
     """The k right rows with the least cost for every left row, among those that agree on the ``on`` columns.
 
     ``cost`` gets two Arrow batches and returns a matrix (left rows x right rows) in which not-a-number means "no
     partner". Rows with a null value take no part. Ties go to the smaller right id. Ids must be unique on each
-    side within a group. With ``k_column`` every left row has its own limit, at most ``k``.
+    side within a group. With ``k_column`` every left row has its own limit, at most ``k``. Blocks are cut by size, or have about
+    ``block_rows`` rows.
     Result: the ``on`` columns, both ids, ``cost`` and ``rank``.
     """
     group = list(on)
@@ -45,16 +50,16 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
     left = left.select(*group, F.col(left_id).alias("_left"), *left_values,
                        (F.col(k_column) if k_column else F.lit(k)).cast("int").alias("_k"))
     right = right.select(*group, F.col(right_id).alias("_right"), *right_values)
-    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
     if group:
         left, right = left.dropna(subset=group), right.dropna(subset=group)
-        sizes = (left.groupBy(*group).agg(blocks.alias("_left_blocks"))
-                 .join(right.groupBy(*group).agg(blocks.alias("_right_blocks")), group))
+        sizes = (left.groupBy(*group).agg(_blocks(left, left_values, group, block_rows).alias("_left_blocks"))
+                 .join(right.groupBy(*group).agg(_blocks(right, right_values, group, block_rows).alias("_right_blocks")), group))
         large = sizes.where((F.col("_left_blocks") > 1) | (F.col("_right_blocks") > 1))
         sized_left, sized_right = (side.na.fill(1, ["_left_blocks", "_right_blocks"]) for side in join_groups(
             large, group, left, right))
     else:
-        numbers = {"_left_blocks": left.agg(blocks).scalar(), "_right_blocks": right.agg(blocks).scalar()}
+        numbers = {"_left_blocks": left.agg(_blocks(left, left_values, group, block_rows)).scalar(),
+                   "_right_blocks": right.agg(_blocks(right, right_values, group, block_rows)).scalar()}
         sized_left, sized_right = left.withColumns(numbers), right.withColumns(numbers)
     pair = [*group, "_left_block", "_right_block"]
 
@@ -78,17 +83,21 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
     schema = StructType([names[c] for c in (*group, "_left", "_k", "_right")]).add("cost", "double")
     arrow_schema = to_arrow_schema(schema)
 
+    def scored(batch: Rows) -> Rows:
+        found = [_best(batch.column("_lefts")[i].values, batch.column("_rights")[i].values, cost, k)
+                 for i in range(batch.num_rows)]
+        row_of = pa.array(np.repeat(np.arange(len(found)), [len(part[0]) for part in found]))
+        columns = [batch.column(c).take(row_of) for c in group]
+        columns += [pa.concat_arrays([part[j] for part in found]) for j in range(4)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
+
     def score(batches: Iterator[Rows]) -> Iterator[Rows]:
         for batch in batches:
-            found = [_best(batch.column("_lefts")[i].values, batch.column("_rights")[i].values, cost, k)
-                     for i in range(batch.num_rows)]
-            if not found:
-                continue
-            row_of = pa.array(np.repeat(np.arange(len(found)), [len(part[0]) for part in found]))
-            columns = [batch.column(c).take(row_of) for c in group]
-            columns += [pa.concat_arrays([part[j] for part in found]) for j in range(4)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema)],
-                                             schema=arrow_schema)
+            found = scored(batch) if batch.num_rows else None
+            # The blocks go before the next ones are read.
+            del batch
+            if found is not None:
+                yield found
 
     partial = pairs.mapInArrow(score, schema)
     ranked = top_per_group(partial, [*group, "_left"], [F.col("cost"), F.col("_right")], k, "rank")
@@ -96,12 +105,33 @@ def best_partners(left: DataFrame, right: DataFrame, on: Sequence[str], left_id:
             .select(*group, F.col("_left").alias(left_id), F.col("_right").alias(right_id), "cost", "rank"))
 
 
+def _blocks(side: DataFrame, values: Sequence[str], group: Sequence[str], block_rows: int | None) -> Column:
+    """An aggregate: the blocks that a group of a side is cut into."""
+    if block_rows is not None:
+        return F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
+    by_size = F.ceil(F.sum(_row_bytes(side, values)) / BLOCK_BYTES)
+    if group:
+        return by_size.cast("int")
+    return F.greatest(by_size, F.least(F.lit(SPREAD), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)), F.lit(1)).cast("int")
+
+
+def _row_bytes(side: DataFrame, values: Sequence[str]) -> Column:
+    """About what a row takes in a block: its id, limit and values."""
+    size = F.lit(24)
+    for field in (side.schema[c] for c in values):
+        if isinstance(field.dataType, ArrayType):
+            width = 4 if isinstance(field.dataType.elementType, (FloatType, IntegerType)) else 8
+            size = size + 16 + width * F.coalesce(F.array_size(field.name), F.lit(0))
+        else:
+            size = size + 8
+    return size.cast("long")
+
+
 def _best(lefts: pa.StructArray, rights: pa.StructArray, cost: Cost, k: int) -> tuple[pa.Array, ...]:
     """Left ids, their limits, right ids and costs of the best pairs of two blocks."""
     left, right = _complete(lefts), _complete(rights)
     by_id = pc.sort_indices(right.column("_right"))
-    right = right.take(by_id) if right.num_rows else right
-    tiles = [_best_of_tile(left.slice(start, TILE_ROWS), right, cost, k)
+    tiles = [_best_of_tile(left.slice(start, TILE_ROWS), right, by_id, cost, k)
              for start in range(0, left.num_rows if right.num_rows else 0, TILE_ROWS)]
     if not tiles:
         nothing = pa.array([], pa.float64())
@@ -109,21 +139,36 @@ def _best(lefts: pa.StructArray, rights: pa.StructArray, cost: Cost, k: int) ->
     return tuple(pa.concat_arrays([tile[j] for tile in tiles]) for j in range(4))
 
 
-def _best_of_tile(left: Rows, right: Rows, cost: Cost, k: int) -> tuple[pa.Array, ...]:
-    """The right rows are in the order of their ids, so that the smaller column wins a tie."""
-    costs = cost(left, right)
-    costs = np.where(np.isnan(costs), np.inf, costs)
-    usable = np.isfinite(costs)
-    if costs.shape[1] > 4 * k:
-        # Only costs up to the k-th least can be among the best; equal ones stay in.
-        usable &= costs <= np.partition(costs, k - 1, axis=1)[:, k - 1:k]
-    rows, columns = np.nonzero(usable)
-    values = costs[rows, columns]
-    order = np.lexsort((columns, values, rows))
-    rows, columns, values = rows[order], columns[order], values[order]
+def _best_of_tile(left: Rows, right: Rows, by_id: pa.Array, cost: Cost, k: int) -> tuple[pa.Array, ...]:
+    """The right rows pass by in the order of their ids, ``BLOCK_ROWS`` at a time, so that the earlier one wins a tie. What is kept are
+    the k best of every left row; of further rows only those with a cost up to the k-th of these are looked at."""
+    rows, columns, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    limits = np.minimum(left.column("_k").to_numpy(), k)
+    bound = np.full(left.num_rows, np.inf)
+    for start in range(0, len(by_id), BLOCK_ROWS):
+        costs = cost(left, right.take(by_id.slice(start, BLOCK_ROWS)))
+        if not len(rows) and costs.shape[1] > 4 * k:
+            # Only costs up to the k-th least can be among the best; equal ones stay in.
+            finite = np.where(np.isfinite(costs), costs, np.inf)
+            bound = np.partition(finite, k - 1, axis=1)[:, k - 1]
+        new_rows, new_columns = np.nonzero(costs <= bound[:, None])
+        new_values = costs[new_rows, new_columns]
+        usable = np.isfinite(new_values)
+        if not usable.any():
+            continue
+        rows = np.concatenate([rows, new_rows[usable]])
+        columns = np.concatenate([columns, new_columns[usable] + start])
+        values = np.concatenate([values, new_values[usable]])
+        order = np.lexsort((columns, values, rows))
+        rows, columns, values = rows[order], columns[order], values[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(left.num_rows))[rows]
+        kept = place < k
+        bound = np.full(left.num_rows, np.inf)
+        bound[rows[place == k - 1]] = values[place == k - 1]
+        rows, columns, values = rows[kept], columns[kept], values[kept]
     place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(left.num_rows))[rows]
-    kept = place < np.minimum(left.column("_k").to_numpy(), k)[rows]
-    rows, columns = pa.array(rows[kept]), pa.array(columns[kept])
+    kept = place < limits[rows]
+    rows, columns = pa.array(rows[kept]), by_id.take(pa.array(columns[kept]))
     return (left.column("_left").take(rows), left.column("_k").take(rows), right.column("_right").take(columns),
             pa.array(values[kept]))
 
@@ -160,7 +205,11 @@ def cosine_cost(left_vector: str, right_vector: str, digits: int = 9) -> Cost:
         with np.errstate(invalid="ignore", divide="ignore"):
             a = a / np.linalg.norm(a, axis=1, keepdims=True)
             b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        return np.where(a_length[:, None] == b_length, -np.round(a[:, :width] @ b[:, :width].T, digits), np.nan)
+        costs = a[:, :width] @ b[:, :width].T
+        np.negative(np.round(costs, digits, out=costs), out=costs)
+        if a.shape[1] == b.shape[1] and (a_length == width).all() and (b_length == width).all():
+            return costs
+        return np.where(a_length[:, None] == b_length, costs, np.nan)
 
     return cost
 
@@ -168,7 +217,7 @@ def cosine_cost(left_vector: str, right_vector: str, digits: int = 9) -> Cost:
 def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int, on: Sequence[str] = (),
                     query_id: str = "query_id", query_vector: str = "query_vector", item_id: str = "item_id",
                     item_vector: str = "embedding", k_column: str | None = None,
-                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """Exact top-k by cosine similarity: the ``on`` columns, query id, item id, similarity and rank. A query meets only
     vectors of its own length."""
     left = queries.withColumnRenamed(query_vector, "_query_vector")
@@ -246,7 +295,7 @@ def _best_of(left: Rows, right: Rows, cost: Cost, k: int, before: Rows | None) -
     """The k best right rows of every left row, among a block and those kept before."""
     rows = left.append_column("_k", pa.array(np.full(left.num_rows, k, np.int32)))
     by_id = pc.sort_indices(right.column("_right"))
-    tiles = [_best_of_tile(rows.slice(start, TILE_ROWS), right.take(by_id), cost, k) for start in range(0, rows.num_rows, TILE_ROWS)]
+    tiles = [_best_of_tile(rows.slice(start, TILE_ROWS), right, by_id, cost, k) for start in range(0, rows.num_rows, TILE_ROWS)]
     found = [pa.concat_arrays([tile[i] for tile in tiles]) for i in (0, 2, 3)]
     if before is not None:
         found = [pa.concat_arrays([before.column(i), part.cast(before.column(i).type)]) for i, part in enumerate(found)]

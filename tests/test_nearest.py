@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from outings.functions.geo import EARTH_RADIUS_M, haversine_m
 from outings.functions.vectors import HashEmbedder, cosine_similarity, embed
+from outings.operators import nearest
 from outings.operators.approximate import (bits_for, build_cells, grow_tree, index_buckets, load_buckets, load_cells, load_tree, probe_masks,
                                            random_directions, search_buckets, search_cells, search_index, search_tree, store_buckets,
                                            store_cells, store_tree)
@@ -281,3 +282,34 @@ def test_embedding_batches(spark):
     assert sizes.value == 1234 and len(got) == 1234
     assert got[77] == pytest.approx(HashEmbedder(16)(["Text number 77"])[0].tolist())
     assert HashEmbedder(4)([""]).tolist() == [[0.0, 0.0, 0.0, 0.0]]
+
+
+def test_blocks_follow_the_bytes(spark):
+    """A row is shuffled once per block of the other side, so their number must not follow the rows."""
+    rows = spark.range(100_000).select("id", F.array(F.lit(1.0).cast("float")).alias("v"))
+    assert rows.agg(nearest._blocks(rows, ["v"], [], None)).first()[0] == nearest.SPREAD
+    assert rows.groupBy(F.lit(1)).agg(nearest._blocks(rows, ["v"], ["g"], None)).first()[1] == 1
+    wide = spark.range(20_000).select("id", F.array_repeat(F.lit(1.0), 1000).alias("v"))
+    assert wide.groupBy(F.lit(1)).agg(nearest._blocks(wide, ["v"], ["g"], None)).first()[1] == 5
+
+
+def test_tiles_of_a_pair_keep_the_best(monkeypatch):
+    """Right rows that pass by in parts give what the whole matrix gives: ties to the smaller id, limits, no partner where not a number."""
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(nearest, "TILE_ROWS", 3)
+    costs = np.random.default_rng(5).integers(0, 6, (11, 90)).astype(float)
+    costs[np.random.default_rng(6).random(costs.shape) < 0.3] = np.nan
+    costs[4] = np.nan
+    ids = np.random.default_rng(7).permutation(90)
+    lefts = pa.StructArray.from_arrays([pa.array(range(11)), pa.array([1, 2, 5] * 3 + [5, 9], pa.int32())], ["_left", "_k"])
+    rights = pa.StructArray.from_arrays([pa.array(ids), pa.array(ids)], ["_right", "at"])
+
+    def cost(left, right):
+        return costs[np.ix_(left.column("_left").to_numpy(), right.column("at").to_numpy())]
+
+    got = nearest._best(lefts, rights, cost, 5)
+    wanted = []
+    for row in range(11):
+        best = sorted((costs[row, i], i) for i in range(90) if not np.isnan(costs[row, i]))
+        wanted += [(row, i, c) for c, i in best[:min(5, lefts[row]["_k"].as_py())]]
+    assert list(zip(got[0].to_pylist(), got[2].to_pylist(), got[3].to_pylist())) == wanted
