@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from outings.functions.scalars import blank_to_null, clamp_day, iso_date
 from outings.operators.keyed import assign_ids, highest, latest_per_key, number_in_group, top_per_group
 from outings.schemas import REFERENCES
+from outings.sources.tables import materialized
 
 CHANGE = "_change"
 
@@ -140,8 +141,10 @@ def append_in_group(target: DataFrame, requests: DataFrame, group: Sequence[str]
                     position: str = "sort_order", block_rows: int = 1_000_000) -> DataFrame:
     """The requests with the positions they take after the rows their group already has (from 1 if none).
 
-    ``sequence`` is a unique whole-number column that says in which order the requests came.
+    ``sequence`` is a unique whole-number column that says in which order the requests came. The requests are written once: they are
+    counted and numbered.
     """
+    requests = materialized(requests, "requests")
     numbered = number_in_group(requests, group, sequence, "_number", block_rows)
     ends = target.groupBy(*group).agg(F.max(position).alias("_end"))
     return (numbered.join(ends, list(group), "left")

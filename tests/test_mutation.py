@@ -11,6 +11,7 @@ from outings.operators.keyed import assign_ids, latest_per_key, number_in_group
 from outings.operators.mutation import (add_items, align_trips, append_in_group, delete_cascade, delete_rows,
                                         insert_absent, move_items, snapshot_diff, swap_items, upsert)
 from outings.plans.weather import upsert_weather, upsert_weather_days
+from workload.registry import Session
 
 few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 rows = st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3), st.integers(0, 100)), max_size=12)
@@ -150,3 +151,30 @@ def test_aligned_trips(seeds):
                         seeds["weather_snapshots"]).snapshot
     spans = {r.trip_id: (r.start_date, r.end_date) for r in moved.collect()}
     assert spans[1] == (date(2026, 8, 14), date(2026, 8, 16)) and spans[2][0] == date(2020, 1, 1)
+
+
+def test_requests_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(value):
+        seen.add(1)
+        return value
+
+    requests = spark.range(50).select(F.udf(touch, "long").asNondeterministic()("id").alias("seq"), (F.col("id") % 3).alias("g"))
+    target = spark.createDataFrame([(0, 7), (2, 1)], "g long, sort_order int")
+    got = {r.seq: r.sort_order for r in append_in_group(target, requests, ["g"], "seq", block_rows=15).collect()}
+    assert got == {i: i // 3 + 1 + {0: 7, 2: 1}.get(i % 3, 0) for i in range(50)}
+    assert seen.value == 50
+
+
+def test_written_view_is_shuffled_once(spark, tmp_path):
+    """The uses of a view that is written read it; they do not repeat its joins and windows."""
+    spark.sql("SELECT 1L AS event_id, 4L AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, 'O' AS o_orderstatus FROM range(6)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("""SELECT id % 6 AS l_orderkey, id AS l_partkey, id AS l_suppkey, CAST(id % 4 AS INT) AS l_linenumber, 'O' AS l_linestatus,
+                 1.0D AS l_extendedprice, TIMESTAMP '2024-01-01' AS l_shipdate FROM range(40)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Session(spark, str(tmp_path))
+    plain = {tuple(r) for r in Session(spark, str(tmp_path))("v_items").collect()}
+    items = t.written("v_items")
+    assert "Window" not in items._jdf.queryExecution().toString() and {tuple(r) for r in items.collect()} == plain
+    assert t.written("v_items") is items and t("v_items") is items

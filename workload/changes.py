@@ -365,7 +365,7 @@ LEFT JOIN {v_activities} a ON a.activity_id = r.activity_id
 LEFT JOIN (SELECT trip_id, day_date, max(sort_order) AS top FROM {v_items} GROUP BY 1, 2) e
   ON e.trip_id = r.trip_id AND e.day_date = r.day""", {"requests": REQUESTS, "placed": PLACED})
 def _append_sort_order(t):
-    requests = t.run(REQUESTS, v_items=t("v_items"))
+    requests = t.run(REQUESTS, v_items=t.written("v_items"))
     return add_items(t("v_items"), requests, t("v_trips"), t("v_activities"))
 
 
@@ -380,7 +380,7 @@ FROM {placed} r LEFT JOIN {v_activities} a ON a.activity_id = r.activity_id
 LEFT JOIN (SELECT trip_id, day_date, max(sort_order) AS top FROM {v_items} GROUP BY 1, 2) e
   ON e.trip_id = r.trip_id AND e.day_date = r.day""", {"requests": REQUESTS, "placed": PLACED})
 def _items_added(t):
-    requests = t.run(REQUESTS, v_items=t("v_items"))
+    requests = t.run(REQUESTS, v_items=t.written("v_items"))
     added = add_items(t("v_items"), requests, t("v_trips"), t("v_activities"))
     return insert_rows(t("v_items"), added, "item_id", ["request_id"]).frame.withColumnRenamed(CHANGE, "change")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outings.settings import apply_sql_settings, ship_packages
+from outings.sources.tables import materialized
 from workload.standins import sql, table
 
 Tables = Callable[[str], DataFrame]
@@ -37,11 +38,18 @@ class Session:
     """The tables of one scale factor; each is built once per query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._tables = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._tables, self._written = spark, sf_dir, {}, set()
 
     def __call__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name, self._tables)
 
+    def written(self, name: str) -> DataFrame:
+        """A view that a query uses more than once, written once: its shuffles are not repeated by every use."""
+        if name not in self._written:
+            self._tables[name] = materialized(self(name), name)
+            self._written.add(name)
+        return self._tables[name]
+
     def run(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
 

@@ -449,7 +449,7 @@ FROM {affected} c LEFT JOIN {best} b ON c.to_day IS NULL AND b.destination_id =
 
 
 def _reschedule(t):
-    items = t("v_items").withColumn("reschedule_reason", F.lit(None).cast("string"))
+    items = t.written("v_items").withColumn("reschedule_reason", F.lit(None).cast("string"))
     return reschedule_for_weather(t("v_trips"), items, t("v_activities"), t("v_weather"), EMBEDDER)
 
 

@@ -401,7 +401,7 @@ def _transcript_scores(t):
 
 
 def _outcomes(t):
-    items = t("v_items").withColumn("reschedule_reason", F.lit(None).cast("string"))
+    items = t.written("v_items").withColumn("reschedule_reason", F.lit(None).cast("string"))
     after = move_items(items, t.run(MOVES, v_items=t("v_items"))).snapshot
     traits = t("v_activities").select("activity_id", "is_outdoor")
 
@@ -468,7 +468,7 @@ FROM {v_trips} t CROSS JOIN (VALUES ('searches for indoor activities', 'retrieva
 LEFT JOIN {steps} s ON s.run_id = t.trip_id AND s.task = k.task GROUP BY t.trip_id, k.name""", {**OUTCOMES, "steps": STEPS})
 def _golden_tasks(t):
     """The six tasks of an evaluation in one aggregation."""
-    items = t("v_items").withColumn("reschedule_reason", F.lit(None).cast("string"))
+    items = t.written("v_items").withColumn("reschedule_reason", F.lit(None).cast("string"))
     after = move_items(items, t.run(MOVES, v_items=t("v_items"))).snapshot
     traits = t("v_activities").select("activity_id", "is_outdoor")
 
