@@ -148,8 +148,9 @@ class Packer:
                 self._close(own)
 
 
-# Distinct words, and distinct parts of words, that a worker remembers.
-KNOWN = 120_000
+# Distinct words, and distinct parts of words, that a worker remembers. Forgotten ones are encoded again; a worker that also runs other
+# stages has less memory for them.
+KNOWN = 400_000
 # Below this character, classes of characters and lower case are the same everywhere, and nothing is composed.
 PLAIN = "\u0250"
 # The pattern of the pre-tokenizer (a fixed value), and a space that stands between words.
@@ -164,7 +165,7 @@ class Words:
     special token in them, go through the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -185,8 +186,8 @@ class Words:
         self.last = np.array([ids[c + "</w>"] for _, c in symbols], np.int64)
         self.pattern = regex.compile(PATTERN + "| ")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.parts = Segments(self.of_parts, KNOWN)
-        self.segments = Segments(self.of_words, KNOWN)
+        self.parts = Segments(self.of_parts, known)
+        self.segments = Segments(self.of_words, known)
 
     def of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [p.encode() for p in parts]
@@ -234,8 +235,8 @@ class Words:
 
 
 @functools.lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, known: int = KNOWN) -> Words:
+    return Words(path, known)
 
 
 def _sequence_base() -> int:
@@ -244,7 +245,7 @@ def _sequence_base() -> int:
 
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, window: int = 128,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every task packs its own rows, so nothing is shuffled and no task holds more than a window of unplaced pieces. The
@@ -257,7 +258,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
     df = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, base = words(path), Packer(limits, window), _sequence_base()
+        encoder, packer, base = words(path, known), Packer(limits, window), _sequence_base()
         held: dict[int, tuple] = {}
         key = 0
 

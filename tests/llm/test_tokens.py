@@ -229,3 +229,9 @@ def test_short_documents_need_little_padding(spark, words):
     padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes.values())
     assert sum(sizes.values()) == sum(p.length for p in pieces) >= 25_000 and padding == 0 and max(sizes.values()) <= 2048
     assert max(segments.values()) <= Limits().segments
+
+
+def test_packing_does_not_depend_on_what_is_remembered(spark):
+    texts = [" ".join(f"w{(i * 7 + j * j) % 997}" for j in range(50)) for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert pack_documents(rows, WORDS, known=5).collect() == pack_documents(rows, WORDS).collect()
