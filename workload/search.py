@@ -14,7 +14,7 @@ from outings.plans.itinerary import apply_plan, generate_itinerary, reschedule_f
 from outings.plans.recall import evaluate_retrieval, recall_per_query, recall_report
 from outings.plans.search import PROBES, embed_queries, global_search, probe_queries, semantic_search
 from outings.settings import Settings
-from outings.sources.tables import shared_folder
+from outings.sources.tables import materialized, shared_folder
 from workload.registry import query
 from workload.weather import TRIP_DAY_VIEWS
 
@@ -418,7 +418,7 @@ def _itinerary_applied(t):
     ahead = t("v_trips").where("status <> 'complete'")
     plan = generate_itinerary(ahead, _interests(t), t("v_activities"), t("v_weather"), EMBEDDER,
                               Settings(activities_per_day=N))
-    return apply_plan(t("v_items"), plan, ahead).snapshot
+    return apply_plan(t.written("v_items"), materialized(plan, "plan"), ahead).snapshot
 
 
 CHANGE_VIEWS = {
