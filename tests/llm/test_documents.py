@@ -538,3 +538,27 @@ def test_recall_of_lines_alike(spark):
     found, total = Counter(kinds[i][0] for i in gone), Counter(k for k, _ in kinds.values())
     assert found["word"] >= 0.98 * total["word"] and found["letters_3"] >= 0.98 * total["letters_3"]
     assert found["letters_6"] >= 0.95 * total["letters_6"] and found["letters_10"] >= 0.8 * total["letters_10"]
+
+
+@pytest.mark.parametrize("crowd", [16, 4096])
+def test_partners_far_apart_in_a_crowded_key_are_met(spark, crowd):
+    """Lines of a small vocabulary share their keys with many others; partners that do not stand next to each other are linked all the same."""
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(16)]
+    rows = []
+    for _ in range(30):
+        words = [rnd.choice(vocabulary) for _ in range(14)]
+        other = list(words)
+        other[rnd.randrange(14)] = rnd.choice(vocabulary)[:rnd.choice((3, 5, 7))]
+        rows += [(0, " ".join(words)), (0, " ".join(other))]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(2)
+
+    def groups(plan):
+        found = defaultdict(set)
+        for r in lines.line_groups(df, plan).collect():
+            found[r.grp].add((r.doc_id, r.pos))
+        return {frozenset(g) for g in found.values()}
+
+    whole = groups(lines.Lines(near=len(rows)))
+    assert len(whole) > 15 and groups(lines.Lines(near=1, crowd=crowd)) == whole
