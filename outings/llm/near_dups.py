@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outings.llm.common import apart, connected, free_name, id_and_text, lowered, mixed, slices, within_bitmap, word_hashes
+from outings.llm.common import SMALL_SLICE_BYTES, apart, connected, free_name, id_and_text, lowered, mixed, slices, within_bitmap, word_hashes
 from outings.sources.tables import materialized
 
 
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, forest: Forest, id_col: str, text_col: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=SMALL_SLICE_BYTES):
                 sets = shingle_sets([t or b"" for t in part.column("text").to_pylist()], forest.words)
                 classes = [_class_of(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -263,7 +263,7 @@ def sets_of(used: DataFrame, docs: DataFrame, forest: Forest, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=SMALL_SLICE_BYTES):
                 sets = shingle_sets([t or b"" for t in part.column("text").to_pylist()], forest.words)
                 # Rows that share the id but not the text are another class.
                 same = pa.array([len(s) > 0 and _class_of(s)[0] == c for s, c in zip(sets, part.column("cls").to_pylist())], pa.bool_())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outings.llm.common import free_name, id_and_text, lowered, mixed, prepared, slices, token_hashes
+from outings.llm.common import SMALL_SLICE_BYTES, free_name, id_and_text, lowered, mixed, prepared, slices, token_hashes
 from outings.llm.language import held_out
 
 
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, ratings: DataFrame, plan: Plan = Plan(), id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=SMALL_SLICE_BYTES):
                 ends, buckets = features([t or b"" for t in part.column("text").to_pylist()], plan.bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(buckets))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), part.column("h"), lists],
@@ -195,7 +195,7 @@ def grade_documents(docs: DataFrame, model: Model | None, least: float = 0.5, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=SMALL_SLICE_BYTES):
                 expected, tail = _tails(model, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(expected, pa.float64()),
@@ -217,7 +217,7 @@ def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for part in slices(batch.select([name]), name):
+            for part in slices(batch.select([name]), name, SMALL_SLICE_BYTES):
                 _, tail = _tails(model, part.column(name).to_pylist())
                 keep += [t is None or t >= least for t in tail]
             yield batch.drop_columns([name]).filter(pa.array(keep, pa.bool_()))

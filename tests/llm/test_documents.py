@@ -562,3 +562,19 @@ def test_partners_far_apart_in_a_crowded_key_are_met(spark, crowd):
 
     whole = groups(lines.Lines(near=len(rows)))
     assert len(whole) > 15 and groups(lines.Lines(near=1, crowd=crowd)) == whole
+
+
+def test_features_are_made_in_small_slices():
+    """What the quality and shingle steps hold at a time is bounded by slices of a megabyte."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from outings.llm.common import SMALL_SLICE_BYTES, slices
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([(b"%d word and another one " % i) * 400 for i in range(600)], pa.binary())})
+    tracemalloc.start()
+    for part in slices(batch, budget=SMALL_SLICE_BYTES):
+        quality.features(part.column("text").to_pylist(), 17)
+    assert tracemalloc.get_traced_memory()[1] < 110 << 20
+    tracemalloc.stop()
