@@ -8,6 +8,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +151,7 @@ class Packer:
 
 # Distinct words, and distinct parts of words, that a worker remembers. Forgotten ones are encoded again; a worker that also runs other
 # stages has less memory for them.
-KNOWN = 400_000
+KNOWN = 1_000_000
 # Below this character, classes of characters and lower case are the same everywhere, and nothing is composed.
 PLAIN = "\u0250"
 # The pattern of the pre-tokenizer (a fixed value), and a space that stands between words.
@@ -199,12 +200,20 @@ class Words:
         return self.merger.merge(symbols, lengths)
 
     def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [as_text(w) for w in words]
-        everything = " ".join(texts)
+        try:
+            # Words hold no space, so they are decoded together.
+            everything = b" ".join(words).decode("utf-8")
+            texts = everything.split(" ")
+        except UnicodeDecodeError:
+            texts = [as_text(w) for w in words]
+            everything = " ".join(texts)
         special = [s for s in self.special if s in everything]
-        plain = np.array([(t.isascii() or max(t) < PLAIN) and not (special and any(s in t for s in special)) for t in texts], bool)
+        if everything.isascii() and not special:
+            plain = np.ones(len(texts), bool)
+        else:
+            plain = np.array([(t.isascii() or max(t) < PLAIN) and not (special and any(s in t for s in special)) for t in texts], bool)
         out: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
-        found = self.pattern.findall(" ".join(t.lower() for t, p in zip(texts, plain) if p))
+        found = self.pattern.findall(" ".join(compress(texts, plain.tolist())).lower())
         gap = np.fromiter((f == " " for f in found), bool, len(found))
         self.parts.begin()
         codes = self.parts.codes([f for f in found if f != " "])

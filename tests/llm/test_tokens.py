@@ -235,3 +235,31 @@ def test_packing_does_not_depend_on_what_is_remembered(spark):
     texts = [" ".join(f"w{(i * 7 + j * j) % 997}" for j in range(50)) for i in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     assert pack_documents(rows, WORDS, known=5).collect() == pack_documents(rows, WORDS).collect()
+
+
+def test_segments_are_encoded_once_in_the_order_met():
+    from outings.llm.common import Segments
+
+    asked = []
+
+    def encode(new):
+        asked.append(list(new))
+        return np.array([len(s) for s in new]), np.ones(len(new), np.int64)
+
+    table = Segments(encode)
+    assert table.codes(["b", "a", "b"]).tolist() == [0, 1, 0] and table.codes(["a", "ccc", "ccc", "b"]).tolist() == [1, 2, 2, 0]
+    assert asked == [["b", "a"], ["ccc"]] and table.gather(np.array([2, 0])).tolist() == [3, 1] and not len(table.codes([]))
+
+
+def test_words_that_are_no_utf8_and_special_ones():
+    from tokenizers import Tokenizer
+
+    from outings.llm.packing import Words
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [b"a \xff\xc3 b", b"\xc0\x80x Hello, World", b"<|endoftext|> A<|startoftext|>x", "ΣΑΣ ǅ ɐ İ x y é".encode(), b"plain words only"]
+    library = Tokenizer.from_file(path)
+    for own in (texts, texts[2:], texts[4:]):
+        ids, stops = Words(path).encode(own)
+        want = [library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in own]
+        assert ids.tolist() == [i for w in want for i in w] and stops.tolist() == np.cumsum([len(w) for w in want]).tolist()
