@@ -40,7 +40,7 @@ def trip_bundle(header: DataFrame, weather: DataFrame, items: DataFrame, packing
     ``section`` is "weather", "itinerary" or "packing", and the list of that name holds the entries in display order; a
     packing list has no day. The layout is the same whatever the size of a trip, a record grows with one day or packing
     list only, and records in the order of (section, day) are the whole trip. A trip without entries has one record
-    without a section. All entries meet in one aggregation.
+    without a section. The entries of a section are dealt by trip and gathered on their own, so that only lists meet the header.
     """
     sections = {"weather": weather, "itinerary": items, "packing": packing}
     order = {"weather": ["forecast_date"], "itinerary": ["sort_order", "item_id"], "packing": ["category", "item_name"]}
@@ -49,17 +49,17 @@ def trip_bundle(header: DataFrame, weather: DataFrame, items: DataFrame, packing
                                             if c not in (*order[name], "trip_id", "destination_id")])
              for name, df in sections.items()}
 
-    def rows(name: str) -> DataFrame:
-        entries = [(entry[n] if n == name else _null_like(sections[n], entry[n])).alias(n) for n in sections]
-        return sections[name].select("trip_id", F.lit(name).alias("section"), day[name].cast("date").alias("day"), *entries)
+    def records(name: str) -> DataFrame:
+        rows = sections[name].select("trip_id", day[name].cast("date").alias("day"), entry[name].alias(name))
+        gathered = rows.repartition("trip_id").groupBy("trip_id", "day").agg(F.sort_array(F.collect_list(name)).alias(name))
+        lists = [F.col(n) if n == name else _no_entries(sections[n], entry[n]).alias(n) for n in sections]
+        return gathered.select("trip_id", F.lit(name).alias("section"), "day", *lists)
 
-    entries = rows("weather").unionByName(rows("itinerary")).unionByName(rows("packing"))
-    lists = [F.sort_array(F.collect_list(name)).alias(name) for name in sections]
-    return header.join(entries.groupBy("trip_id", "section", "day").agg(*lists), "trip_id", "left")
+    return header.join(records("weather").unionByName(records("itinerary")).unionByName(records("packing")), "trip_id", "left")
 
 
-def _null_like(df: DataFrame, struct: Column) -> Column:
-    return F.lit(None).cast(df.select(struct.alias("x")).schema["x"].dataType)
+def _no_entries(df: DataFrame, struct: Column) -> Column:
+    return F.array().cast(ArrayType(df.select(struct.alias("x")).schema["x"].dataType))
 
 
 def itinerary_by_day(items: DataFrame) -> DataFrame:

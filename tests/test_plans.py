@@ -11,6 +11,7 @@ from outings.plans.itinerary import list_itinerary
 from outings.plans.packing import packing_suggestions
 from outings.plans.quality import count_orphans, default_checks, quality_report
 from outings.plans.search import global_search
+from outings.plans.views import trip_bundle, trip_header
 from outings.plans.weather import silver_weather, trip_weather
 from outings.sources.tables import by_partition
 import __spark_entry__ as spark_entry
@@ -104,3 +105,15 @@ def test_hot_join_key_is_split(spark):
 def test_partition_writes_are_rebalanced(spark):
     shape = plan(by_partition(spark.range(10).withColumn("day", F.col("id") % 2), "day"))
     assert "REBALANCE_PARTITIONS_BY_COL" in shape and "hashpartitioning(day" in shape
+
+
+def test_entries_of_a_trip_are_gathered_before_they_meet(spark, t):
+    """Only lists meet the header, and they are dealt by trip already."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(trip_bundle(trip_header(t("v_trips"), t("v_destinations")), trip_weather(t("v_trips"), t("v_weather")),
+                                 t("v_items"), t("v_packing"))).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    union = next(i for i, line in enumerate(lines) if re.search(r"\bUnion$", line))
+    assert "collect_list" not in "".join(lines[:union]) and "Exchange" not in lines[union - 1]
