@@ -24,10 +24,17 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
 }
 
+# Values for a session that does not state its own. Short rows are many times larger in the sorts and hash tables of a task than in a
+# file, so a task reads less than the 64 MB of a shuffle and the 128 MB of a table that Spark takes.
+UNLESS_STATED = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m", "spark.sql.files.maxPartitionBytes": "32m"}
+
 
 def apply_sql_settings(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    for key, value in UNLESS_STATED.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 

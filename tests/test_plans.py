@@ -13,6 +13,7 @@ from outings.plans.quality import count_orphans, default_checks, quality_report
 from outings.plans.search import global_search
 from outings.plans.views import trip_bundle, trip_header
 from outings.plans.weather import silver_weather, trip_weather
+from outings.settings import apply_sql_settings
 from outings.sources.tables import by_partition
 import __spark_entry__ as spark_entry
 from workload.registry import Session
@@ -117,3 +118,13 @@ def test_entries_of_a_trip_are_gathered_before_they_meet(spark, t):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     union = next(i for i, line in enumerate(lines) if re.search(r"\bUnion$", line))
     assert "collect_list" not in "".join(lines[:union]) and "Exchange" not in lines[union - 1]
+
+
+def test_tasks_read_small_partitions(spark):
+    """A task reads 16 MB of a shuffle and 32 MB of a table, unless the session states another size."""
+    fresh = spark.newSession()
+    for key, size in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m"), ("spark.sql.files.maxPartitionBytes", "32m")):
+        fresh.conf.unset(key)
+        assert apply_sql_settings(fresh).conf.get(key) == size
+        fresh.conf.set(key, "8m")
+        assert apply_sql_settings(fresh).conf.get(key) == "8m"
