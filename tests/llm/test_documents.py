@@ -1,6 +1,7 @@
 """Rules, shards, language, quality, near duplicates, lines and the pipeline on small tables."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -578,3 +579,33 @@ def test_features_are_made_in_small_slices():
         quality.features(part.column("text").to_pylist(), 17)
     assert tracemalloc.get_traced_memory()[1] < 110 << 20
     tracemalloc.stop()
+
+
+def left_behind(spark, run, *purposes):
+    """Intermediate folders for ``purposes`` that are there after ``run`` and were not before."""
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+
+    def there():
+        return {name for name in os.listdir(base) if name.startswith(tuple(f"{p}-" for p in purposes))}
+
+    before = there()
+    run()
+    return there() - before
+
+
+def test_parts_of_lines_go_when_a_step_ends(spark):
+    df = spark.createDataFrame([(i, f"the old bridge over the river is closed for repairs on day number{'abcdefgh'[i]} of this cold winter") for i in range(8)],
+                               "doc_id long, text string")
+    kept = []
+    gone = ("line-pass", "line-texts", "line-ends", "line-rest", "line-crowds", "line-first")
+    assert not left_behind(spark, lambda: kept.append(lines.without_repeats(df).count()), *gone)
+    assert kept == [1] and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_lines_meet_in_any_number_of_passes(spark, prose):
+    found = []
+    for passes in (1, 3):
+        plan = lines.Lines(passes=passes, crowd=64)
+        names = lines.occurrences(prose.limit(60), plan, "doc_id", "text").dropDuplicates(["f1"])
+        found.append({tuple(r) for r in lines.neighbours(names, plan).collect()})
+    assert found[0] == found[1] and found[0]
