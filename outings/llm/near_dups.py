@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outings.llm.common import SMALL_SLICE_BYTES, apart, connected, free_name, id_and_text, lowered, mixed, slices, within_bitmap, word_hashes
-from outings.sources.tables import materialized
+from outings.sources.tables import finished, materialized
 
 
 @dataclass(frozen=True)
@@ -239,7 +239,7 @@ def neighbours(rows: DataFrame, forest: Forest, reach: int, best: int | None = N
 
 
 def promising(pairs: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame:
-    """The pairs with ``least`` equal minima or more, and their number."""
+    """The pairs with ``least`` equal minima or more whose sizes do not rule them out, and the number of these minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,9 +251,10 @@ def promising(pairs: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good),
                                               pa.array(equal.astype(np.int32)).filter(good)], names=["a", "b", "equal"])
 
-    one = classes.select(F.col("cls").alias("a"), F.col("sig").alias("x"))
-    two = classes.select(F.col("cls").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, equal int")
+    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"))
+    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y"))
+    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= forest.percent * F.greatest("na", "nb"))
+    return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, equal int")
 
 
 def sets_of(used: DataFrame, docs: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
@@ -344,21 +345,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, forest: For
     sets = materialized(sets_of(used, docs, forest, id_col, text_col), "sets")
     both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     dense = both.groupBy("cls").agg(F.count("*").alias("c")).where(F.col("c") >= DENSE).select("cls")
-    dense = materialized(dense.join(classes.select("cls", "n"), "cls"), "dense")
+    dense = materialized(dense, "dense")
     rest = pairs
     for side in ("a", "b"):
         mine = dense.select(F.col("cls").alias(side), F.lit(True).alias("d" + side))
         rest = rest.join(mine, side, "left")
     rest = materialized(rest.withColumn("dense", F.coalesce(F.col("da") & F.col("db"), F.lit(False))).select("a", "b", "dense"), "split-pairs")
-    # Sizes alone rule a pair out before its sets move.
-    sized = (rest.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-             .join(classes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-             .where(100 * F.least("na", "nb") >= forest.percent * F.greatest("na", "nb")).select("a", "b", "dense"))
-    by_join = _compared(sized.where("not dense").select("a", "b"), sets, forest)
+    by_join = _compared(rest.where("not dense").select("a", "b"), sets, forest)
     groups = -(-dense.count() // GROUP)
     if not groups:
         return by_join.distinct()
-    return by_join.unionByName(_compared_in_cells(sized.where("dense").select("a", "b"), sets, forest, groups)).distinct()
+    return by_join.unionByName(_compared_in_cells(rest.where("dense").select("a", "b"), sets, forest, groups)).distinct()
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -437,8 +434,21 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
     found = table.where("cls is not null").join(least, ["cls", "cls2"]).where("doc_id = rep").select("cls", "rep", "n", "sig")
     classes = materialized(found.dropDuplicates(["cls"]), "classes")
     positions = order_positions(forest, forest.orders, DIGITS, forest.seed + 1)
-    pairs = promising(neighbours(order_rows(classes.select("cls", "sig"), forest, positions), forest, 1), classes, forest)
-    links = materialized(confirmed(_best_two(materialized(pairs, "pairs")), docs, classes, forest, id_col, text_col), "confirmed")
+    spark = docs.sparkSession
+
+    def step(make: Callable[[], DataFrame]) -> DataFrame:
+        """Pairs that are written; sets and other parts they are made of go at once."""
+        return finished(spark, make, "pairs")
+
+    def confirm(some: DataFrame) -> DataFrame:
+        return step(lambda: confirmed(some, docs, classes, forest, id_col, text_col))
+
+    def joined(comps: DataFrame, new: DataFrame) -> DataFrame:
+        """The components with further links; a component is a star by now, so few rounds are left."""
+        return connected(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), contract=True)
+
+    pairs = step(lambda: promising(neighbours(order_rows(classes.select("cls", "sig"), forest, positions), forest, 1), classes, forest))
+    links = confirm(_best_two(pairs))
     comps, best, active = connected(links, contract=True), 1, classes
 
     def in_components(some: DataFrame) -> DataFrame:
@@ -451,13 +461,11 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
 
     while True:
         rows = in_components(active)
-        pairs = promising(neighbours(order_rows(rows, forest, positions), forest, forest.reach, best), classes, forest)
-        pairs = materialized(apart(pairs, comps), "pairs")
-        chosen = pairs.select("a", "b") if best is None else _best_two(pairs)
-        new = materialized(confirmed(chosen, docs, classes, forest, id_col, text_col), "confirmed")
+        pairs = step(lambda: apart(promising(neighbours(order_rows(rows, forest, positions), forest, forest.reach, best), classes, forest), comps))
+        new = confirm(pairs.select("a", "b") if best is None else _best_two(pairs))
         if new.count():
             links = materialized(links.unionByName(new).distinct(), "confirmed")
-            comps = connected(links, contract=True)
+            comps = joined(comps, new)
         elif best is None:
             break
         else:
@@ -468,13 +476,12 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
     # What is left are pairs that stand too far apart in a crowded region.
     rows = in_components(classes)
     crowd = materialized(crowded(order_rows(rows, forest, positions), forest), "crowded")
-    pairs = crowd_pairs(crowd, docs, classes, forest, id_col, text_col)
     further = order_positions(forest, forest.deep, 2 * DIGITS, forest.seed + 2)
     again = rows.join(crowd.select("cls"), "cls", "left_semi")
-    pairs = pairs.unionByName(neighbours(order_rows(again, forest, further), forest, forest.near)).distinct()
-    pairs = materialized(apart(promising(pairs, classes, forest).select("a", "b"), comps), "pairs")
-    new = materialized(confirmed(pairs, docs, classes, forest, id_col, text_col), "confirmed")
-    comps = connected(links.unionByName(new), contract=True)
+    pairs = step(lambda: crowd_pairs(crowd, docs, classes, forest, id_col, text_col))
+    pairs = step(lambda: pairs.unionByName(neighbours(order_rows(again, forest, further), forest, forest.near)).distinct())
+    pairs = step(lambda: apart(promising(pairs, classes, forest).select("a", "b"), comps))
+    comps = joined(comps, confirm(pairs))
     roots = classes.select("cls", "rep").join(comps, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root"))
     firsts = roots.groupBy("root").agg(F.min("rep").alias("component"))

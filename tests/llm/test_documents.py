@@ -609,3 +609,11 @@ def test_lines_meet_in_any_number_of_passes(spark, prose):
         names = lines.occurrences(prose.limit(60), plan, "doc_id", "text").dropDuplicates(["f1"])
         found.append({tuple(r) for r in lines.neighbours(names, plan).collect()})
     assert found[0] == found[1] and found[0]
+
+
+def test_sets_go_when_pairs_are_confirmed(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+    df = spark.createDataFrame([(i, " ".join(words * 2 + [f"end{i}"])) for i in range(4)], "doc_id long, text string")
+    kept = []
+    assert not left_behind(spark, lambda: kept.append(near_dups.keep_one(df).count()), "sets", "used", "neighbours", "split-pairs", "crowd-shingles")
+    assert kept == [1]
