@@ -257,6 +257,15 @@ def promising(pairs: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame
     return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, equal int")
 
 
+def examined(met: DataFrame, known: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame:
+    """The pairs ``met`` with ``equal``, null if they are not ``promising``, and ``old``, which says that ``known`` (a, b, equal) told it: minima are long, so
+    they are moved once for a pair, however many rounds it is met in."""
+    marked = materialized(met.join(known.withColumn("old", F.lit(True)), ["a", "b"], "left"), "met")
+    fresh = marked.where("old is null").select("a", "b")
+    now = fresh.join(promising(fresh, classes, forest), ["a", "b"], "left").withColumn("old", F.lit(False))
+    return marked.where("old").unionByName(now)
+
+
 def sets_of(used: DataFrame, docs: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
     """cls and members (its shingles) of the classes of ``used`` (cls, rep), from the texts of one document of each."""
     df = id_and_text(docs, id_col, text_col)
@@ -423,7 +432,8 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
     neighbour on either side in all orders, and its two most promising pairs are confirmed on the whole sets. Then the
     search is repeated with components: neighbours in another component are compared with each other and with the hub of
     that component, its member with the most confirmed links. The two most promising pairs of a class are confirmed, until these join
-    nothing; then all. So a crowded region need not be compared pair by pair, and a copy that is similar to the original
+    nothing; then all. A pair is looked at once: the numbers of equal minima and the pairs that were confirmed or not are remembered
+    for the rounds that follow. So a crowded region need not be compared pair by pair, and a copy that is similar to the original
     alone still meets it. Classes without a candidate in another component leave the search, so each round is smaller.
     When a full round joins nothing, the rows of regions with more rows than a round looks at meet in further and deeper orders and by
     the shingles they share (``crowd_pairs``), and that ends the search.
@@ -440,14 +450,28 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
         """Pairs that are written; sets and other parts they are made of go at once."""
         return finished(spark, make, "pairs")
 
+    known = table.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("equal")).limit(0)
+    tested = known.select("a", "b")
+
+    def promising_of(met: Callable[[], DataFrame]) -> DataFrame:
+        """Written pairs (a, b, equal) of ``met`` that are promising."""
+        nonlocal known
+        found = step(lambda: examined(met(), known, classes, forest))
+        known = known.unionByName(found.where("not old").drop("old"))
+        return found.where("equal is not null").drop("old")
+
     def confirm(some: DataFrame) -> DataFrame:
-        return step(lambda: confirmed(some, docs, classes, forest, id_col, text_col))
+        """The links among pairs that were not tested before."""
+        nonlocal tested
+        some = materialized(some.select("a", "b"), "tested")
+        tested = tested.unionByName(some)
+        return some if some.isEmpty() else step(lambda: confirmed(some, docs, classes, forest, id_col, text_col))
 
     def joined(comps: DataFrame, new: DataFrame) -> DataFrame:
         """The components with further links; a component is a star by now, so few rounds are left."""
         return connected(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), contract=True)
 
-    pairs = step(lambda: promising(neighbours(order_rows(classes.select("cls", "sig"), forest, positions), forest, 1), classes, forest))
+    pairs = promising_of(lambda: neighbours(order_rows(classes.select("cls", "sig"), forest, positions), forest, 1))
     links = confirm(_best_two(pairs))
     comps, best, active = connected(links, contract=True), 1, classes
 
@@ -461,8 +485,10 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
 
     while True:
         rows = in_components(active)
-        pairs = step(lambda: apart(promising(neighbours(order_rows(rows, forest, positions), forest, forest.reach, best), classes, forest), comps))
-        new = confirm(pairs.select("a", "b") if best is None else _best_two(pairs))
+        met = promising_of(lambda: neighbours(order_rows(rows, forest, positions), forest, forest.reach, best))
+        pairs = step(lambda: apart(met, comps))
+        untested = pairs.join(tested, ["a", "b"], "left_anti")
+        new = confirm(untested if best is None else _best_two(untested))
         if new.count():
             links = materialized(links.unionByName(new).distinct(), "confirmed")
             comps = joined(comps, new)
@@ -479,9 +505,8 @@ def verdicts(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id",
     further = order_positions(forest, forest.deep, 2 * DIGITS, forest.seed + 2)
     again = rows.join(crowd.select("cls"), "cls", "left_semi")
     pairs = step(lambda: crowd_pairs(crowd, docs, classes, forest, id_col, text_col))
-    pairs = step(lambda: pairs.unionByName(neighbours(order_rows(again, forest, further), forest, forest.near)).distinct())
-    pairs = step(lambda: apart(promising(pairs, classes, forest).select("a", "b"), comps))
-    comps = joined(comps, confirm(pairs))
+    met = promising_of(lambda: pairs.unionByName(neighbours(order_rows(again, forest, further), forest, forest.near)).distinct())
+    comps = joined(comps, confirm(apart(met, comps).join(tested, ["a", "b"], "left_anti")))
     roots = classes.select("cls", "rep").join(comps, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root"))
     firsts = roots.groupBy("root").agg(F.min("rep").alias("component"))

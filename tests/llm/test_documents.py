@@ -659,3 +659,20 @@ def test_sets_go_when_pairs_are_confirmed(spark):
     kept = []
     assert not left_behind(spark, lambda: kept.append(near_dups.keep_one(df).count()), "sets", "used", "neighbours", "split-pairs", "crowd-shingles")
     assert kept == [1]
+
+
+def test_a_pair_is_looked_at_once(spark, monkeypatch):
+    """Rounds meet the same pairs again; their minima and sets are not compared again."""
+    rnd = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(i, passage + " " + " ".join(f"q{i}-{j}" for j in range(rnd.choice((20, 28, 36))))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    seen = {}
+    for name in ("promising", "confirmed"):
+        def noted(pairs, *rest, name=name, whole=getattr(near_dups, name)):
+            seen.setdefault(name, Counter()).update((r.a, r.b) for r in pairs.select("a", "b").collect())
+            return whole(pairs, *rest)
+
+        monkeypatch.setattr(near_dups, name, noted)
+    assert as_rows(near_dups.near_duplicates(df)) == brute_components(rows)
+    assert all(max(n.values()) == 1 and len(n) > 60 for n in seen.values()) and len(seen) == 2
