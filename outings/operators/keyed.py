@@ -37,23 +37,41 @@ def join_groups(groups: DataFrame, on: Sequence[str], *sides: DataFrame) -> list
     return [rows.join(groups, list(on), "left") for rows in sides]
 
 
+def _blocked(df: DataFrame, sequence: str, block_rows: int) -> DataFrame:
+    return df.withColumn("_block", F.floor(F.col(sequence) / block_rows).cast("long"))
+
+
+def rows_before_blocks(df: DataFrame, group: Sequence[str], sequence: str, block_rows: int = 1_000_000) -> DataFrame:
+    """How many rows of its group come before a block of ``number_in_group``, for the blocks that are not the first of their group.
+
+    Most groups are one block, so only the groups of several are counted by block; the counts are written, so that Spark knows how few they are.
+    """
+    blocked = _blocked(df.select(*group, sequence), sequence, block_rows)
+    numbers = F.count("_block")
+    several = materialized(
+        blocked.groupBy(*group).agg(F.min("_block").alias("_low"), F.max("_block").alias("_high"), numbers.alias("_numbers"), F.count(F.lit(1)).alias("_rows"))
+        .where("_low < _high or (_numbers > 0 and _numbers < _rows)").select(*[F.col(key).alias(f"_in_{key}") for key in group]), "large-groups")
+    cut = blocked.join(several, [F.col(key).eqNullSafe(F.col(f"_in_{key}")) for key in group], "left_semi")
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = (cut.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+              .select(*[F.col(key).alias(f"_of_{key}") for key in (*group, "_block")], F.sum("_rows").over(earlier).alias("_before")))
+    return materialized(before.where("_before is not null"), "blocks")
+
+
 def number_in_group(df: DataFrame, group: Sequence[str], sequence: str, name: str,
-                    block_rows: int = 1_000_000) -> DataFrame:
+                    block_rows: int = 1_000_000, before: DataFrame | None = None) -> DataFrame:
     """Number the rows of every group 1, 2, 3 ... by a unique whole-number column.
 
     Each group is cut into blocks of ``block_rows`` consecutive sequence values. Only a block is sorted in one
-    task; the rows before a block come from the block counts, so the size of a group does not matter.
+    task; the rows before a block come from the block counts, so the size of a group does not matter. ``before`` are the counts
+    (``rows_before_blocks``) where they are known already.
     """
+    before = rows_before_blocks(df, group, sequence, block_rows) if before is None else before
     keys = [*group, "_block"]
-    blocked = df.withColumn("_block", F.floor(F.col(sequence) / block_rows).cast("long"))
-    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = (blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-              .select(*[F.col(key).alias(f"_of_{key}") for key in keys],
-                      F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")))
     in_block = F.row_number().over(Window.partitionBy(*keys).orderBy(sequence))
     same_block = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
-    return (blocked.withColumn("_in_block", in_block).join(before, same_block)
-            .select(*df.columns, (F.col("_before") + F.col("_in_block")).alias(name)))
+    return (_blocked(df, sequence, block_rows).withColumn("_in_block", in_block).join(before, same_block, "left")
+            .select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_in_block")).alias(name)))
 
 
 def assign_ids(df: DataFrame, id_column: str, unique_key: Sequence[str], start: Column | int = 0,

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outings.functions.scalars import blank_to_null, clamp_day, iso_date
-from outings.operators.keyed import assign_ids, highest, latest_per_key, number_in_group, top_per_group
+from outings.operators.keyed import assign_ids, highest, latest_per_key, number_in_group, rows_before_blocks, top_per_group
 from outings.schemas import REFERENCES
-from outings.sources.tables import materialized
+from outings.sources.tables import finished, materialized
 
 CHANGE = "_change"
 
@@ -142,13 +142,17 @@ def append_in_group(target: DataFrame, requests: DataFrame, group: Sequence[str]
     """The requests with the positions they take after the rows their group already has (from 1 if none).
 
     ``sequence`` is a unique whole-number column that says in which order the requests came. The requests are written once: they are
-    counted and numbered.
+    counted and numbered. They meet the ends of their groups first, which deals them out as the numbering needs them. The result is
+    written too, so the requests and the shuffles of this step do not stay beside those of the next.
     """
-    requests = materialized(requests, "requests")
-    numbered = number_in_group(requests, group, sequence, "_number", block_rows)
-    ends = target.groupBy(*group).agg(F.max(position).alias("_end"))
-    return (numbered.join(ends, list(group), "left")
-            .select(*requests.columns, (F.coalesce("_end", F.lit(0)) + F.col("_number")).cast("int").alias(position)))
+    def placed() -> DataFrame:
+        written = materialized(requests, "requests")
+        before = rows_before_blocks(written, group, sequence, block_rows)
+        ends = target.groupBy(*group).agg(F.max(position).alias("_end"))
+        numbered = number_in_group(written.join(ends, list(group), "left"), group, sequence, "_number", block_rows, before)
+        return numbered.select(*requests.columns, (F.coalesce("_end", F.lit(0)) + F.col("_number")).cast("int").alias(position))
+
+    return finished(requests.sparkSession, placed, "positions")
 
 
 def add_items(items: DataFrame, requests: DataFrame, trips: DataFrame, activities: DataFrame,
@@ -160,12 +164,14 @@ def add_items(items: DataFrame, requests: DataFrame, trips: DataFrame, activitie
     """
     window = trips.select("trip_id", F.col("start_date").alias("_start"), F.col("end_date").alias("_end_day"))
     known = activities.select("activity_id", F.lit(True).alias("_known"))
-    rows = (requests.join(window, "trip_id", "inner").join(known, "activity_id", "left")
-            .select(sequence, "trip_id", clamp_day("day_date", "_start", "_end_day").alias("day_date"),
-                    F.coalesce("title", F.lit("Untitled")).alias("title"),
-                    F.when(F.col("_known"), F.col("activity_id")).alias("activity_id"),
-                    blank_to_null("start_time").alias("start_time"), blank_to_null("end_time").alias("end_time"),
-                    "notes", F.lit("planned").alias("status")))
+    # What the join with the activities moves is what the row needs.
+    dated = requests.join(window, "trip_id", "inner").select(
+        sequence, "trip_id", clamp_day("day_date", "_start", "_end_day").alias("day_date"),
+        F.coalesce("title", F.lit("Untitled")).alias("title"), "activity_id",
+        blank_to_null("start_time").alias("start_time"), blank_to_null("end_time").alias("end_time"), "notes")
+    rows = (dated.join(known, "activity_id", "left")
+            .select(sequence, "trip_id", "day_date", "title", F.when(F.col("_known"), F.col("activity_id")).alias("activity_id"),
+                    "start_time", "end_time", "notes", F.lit("planned").alias("status")))
     return append_in_group(items, rows, ["trip_id", "day_date"], sequence)
 
 

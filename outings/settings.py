@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution splits the partitions of a join in which one key holds a large share of the rows, also where
 # the split costs one more shuffle; all stored instants are UTC. Arrow batches are bounded by size, because a row may
-# hold a whole block of vectors. Small partitions may stay apart, because the work per byte of a plan or a search is high.
+# hold a whole block of vectors. Small partitions may stay apart, because the work per byte of a plan or a search is high. Shuffle files go
+# when what they were written for has ended, not when the driver collects its garbage: a query has many steps, and writes what is used again.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -22,6 +23,7 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 # Values for a session that does not state its own. Short rows are many times larger in the sorts and hash tables of a task than in a

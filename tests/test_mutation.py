@@ -1,6 +1,7 @@
 """Table changes against plain Python, and their repeatability."""
 
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -178,3 +179,23 @@ def test_written_view_is_shuffled_once(spark, tmp_path):
     items = t.written("v_items")
     assert "Window" not in items._jdf.queryExecution().toString() and {tuple(r) for r in items.collect()} == plain
     assert t.written("v_items") is items and t("v_items") is items
+
+
+def test_only_groups_of_several_blocks_are_counted(spark, monkeypatch):
+    """Requests meet the ends of their groups and are numbered on one shuffle; the counts by block have rows for large groups only,
+    and nothing but the result is left in the shared folder."""
+    from outings.operators import keyed
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    counted, there = [], set(shared.glob("*"))
+    monkeypatch.setattr(keyed, "materialized", lambda df, purpose, write=keyed.materialized: counted.append((purpose, (out := write(df, purpose)).count())) or out)
+    rows = [(i, None if i % 4 == 3 else f"g{i % 4}", "n" * (i % 3)) for i in range(40)] + [(None, "g0", "late"), (500, "alone", "")]
+    target = spark.createDataFrame([("g0", 7), ("g1", None), (None, 9)], "g string, sort_order int")
+    got = append_in_group(target, spark.createDataFrame(rows, "seq long, g string, notes string"), ["g"], "seq", block_rows=1000)
+    assert sorted(counted) == [("blocks", 1), ("large-groups", 1)]
+    assert [p.name.split("-")[0] for p in set(shared.glob("*")) - there if "-" in p.name] == ["positions"]
+    plan = got.collect()
+    places = {(r.g, r.seq): r.sort_order for r in plan}
+    assert len(plan) == 42 and places["g0", None] == 8 and places["alone", 500] == 1
+    for g, first in (("g0", 9), ("g1", 1), ("g2", 1), (None, 1)):
+        assert [places[g, i] for i in range(40) if (None if i % 4 == 3 else f"g{i % 4}") == g] == list(range(first, first + 10))
