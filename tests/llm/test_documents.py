@@ -653,6 +653,22 @@ def test_lines_meet_in_any_number_of_passes(spark, prose):
     assert found[0] == found[1] and found[0]
 
 
+def test_rows_of_crowded_keys_meet_the_bitmap_before_they_are_dealt(spark, monkeypatch):
+    """Rows of other keys are not shuffled to be joined with the crowded ones; many crowded keys are looked up in passes, with the same rows."""
+    rows = [(i, 100 + i, 0, [1, 2 + i % 2, 100 + i, 10_000 + i]) for i in range(300)]
+    distinct = spark.createDataFrame(rows, "f1 long, size int, sketch long, blocks array<long>")
+    keys = lines.line_keys(distinct, lines.Lines(), "f1").groupBy("key").count().where("count > 1").select("key")
+    comps = spark.createDataFrame([(0, 0), (2, 0)], "node long, root long")
+    plans, write = [], lines.materialized
+    monkeypatch.setattr(lines, "materialized", lambda df, purpose: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, purpose))
+    found = [{(r.f1, r.key, r.root, r.top) for r in lines.crowd_rows(distinct, keys, comps, plan).collect()} for plan in (lines.Lines(), lines.Lines(scarce=0))]
+    assert found[0] == found[1] and len(found[0]) == 300 and {r[0] for r in found[0]} == set(range(300))
+    assert len(plans) == 2 + lines.Lines().passes + 1
+    for plan in [plans[0], *plans[2:-1]]:
+        joins = re.findall(r"Join (\w+), .*", plan)
+        assert "LeftSemi" not in joins and "key#" in re.search(r"Join \w+, .*", plan)[0]
+
+
 def test_sets_go_when_pairs_are_confirmed(spark):
     words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
     df = spark.createDataFrame([(i, " ".join(words * 2 + [f"end{i}"])) for i in range(4)], "doc_id long, text string")
