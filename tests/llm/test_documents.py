@@ -669,6 +669,28 @@ def test_rows_of_crowded_keys_meet_the_bitmap_before_they_are_dealt(spark, monke
         assert "LeftSemi" not in joins and "key#" in re.search(r"Join \w+, .*", plan)[0]
 
 
+def test_pairs_are_confirmed_in_passes_by_their_number(spark, monkeypatch):
+    """Words are counted once per line, repeated ones too; many pairs of few texts take more passes, and give what the edit distance says."""
+    base = "the old bridge over the river is closed for repairs on this cold winter day the the"
+    norms = [base, base.replace("old", "odd"), base.replace("cold winter", "warm summer"), base + " the", " ".join(reversed(base.split())),
+             "the the the the the the the the the the the the"]
+    split = [n.split(" ") for n in norms]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(norms)], "doc_id long, text string")
+    names = lines.occurrences(docs, lines.Lines(), "doc_id", "text")
+    distinct = names.select("f1", F.struct("doc_id", "of", "pos").alias("at"))
+    texts = lines.texts_of(distinct.select("f1"), distinct, docs, "doc_id", "text")
+    known = {r.norm: r for r in texts.collect()}
+    assert {n: (r.words, r.distinct) for n, r in known.items()} == {n: (len(w), len(set(w))) for n, w in zip(norms, split)}
+    pairs = [(known[x].f1, known[y].f1) for i, x in enumerate(norms) for y in norms[:i]]
+    some = spark.createDataFrame(pairs, "a long, b long")
+    writes, write = [], lines.materialized
+    monkeypatch.setattr(lines, "materialized", lambda df, purpose: writes.append(purpose) or write(df, purpose))
+    found = {tuple(r) for r in lines.confirmed(some, texts, lines.Lines(passes=1)).collect()}
+    assert writes == ["line-links"] * 2
+    text = {r.f1: r.norm for r in known.values()}
+    assert found == {(a, b) for a, b in pairs if edit_distance(text[a], text[b]) * 10 <= max(len(text[a]), len(text[b]))} and 3 <= len(found) < len(pairs)
+
+
 def test_sets_go_when_pairs_are_confirmed(spark):
     words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
     df = spark.createDataFrame([(i, " ".join(words * 2 + [f"end{i}"])) for i in range(4)], "doc_id long, text string")
